@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import copy
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import add
 
@@ -92,7 +92,7 @@ def describe_rules(spark, rules: Mapping = R.INTENTS) -> DataFrame:
 
 
 def _all_hits(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
 
 
 def scheduling_entities(text: Column) -> dict[str, Column]:
@@ -102,23 +102,25 @@ def scheduling_entities(text: Column) -> dict[str, Column]:
     }
 
 
-def emergency_entities(text: Column) -> dict[str, Column]:
+def emergency_entities(text: Column, patterns: Sequence[str] = R.PAIN_PATTERNS,
+                       symptoms: Sequence[str] = R.SYMPTOM_WORDS) -> dict[str, Column]:
     return {
-        "pain_description": F.concat(*[_all_hits(text, "(?i)" + p) for p in R.PAIN_PATTERNS]),
-        "symptoms": T.matched(F.lower(text), R.SYMPTOM_WORDS),
+        "pain_description": F.concat(*[_all_hits(text, "(?i)" + p) for p in patterns]),
+        "symptoms": T.matched(F.lower(text), symptoms),
     }
 
 
-def insurance_entities(text: Column) -> dict[str, Column]:
+def insurance_entities(text: Column, providers: Sequence[str] = R.INTENT_PROVIDERS,
+                       terms: Sequence[str] = R.INTENT_COVERAGE_TERMS) -> dict[str, Column]:
     low = F.lower(text)
     return {
-        "insurance_providers": T.matched(low, R.INTENT_PROVIDERS),
-        "coverage_terms": T.matched(low, R.INTENT_COVERAGE_TERMS),
+        "insurance_providers": T.matched(low, providers),
+        "coverage_terms": T.matched(low, terms),
     }
 
 
-def treatment_entities(text: Column) -> dict[str, Column]:
-    return {"treatments_mentioned": T.matched(F.lower(text), R.TREATMENTS)}
+def treatment_entities(text: Column, treatments: Sequence[str] = R.TREATMENTS) -> dict[str, Column]:
+    return {"treatments_mentioned": T.matched(F.lower(text), treatments)}
 
 
 _BY_INTENT = {

@@ -16,7 +16,7 @@ from operator import add, or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
+SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
 NOT_KEPT = r"[^\p{L}\p{N}_ .,!?-]"
 OMITTED = "\n\n[... middle of conversation omitted for length ...]\n\n"
 _SEP = "\x1f"
