@@ -127,7 +127,7 @@ def forecast_recommendations(forecast: DataFrame, profile: str | Mapping = "defa
     low = F.filter("by_day", lambda d: d["volume"] < limits["low_volume"] * F.col("mean"))
     g = g.withColumns({"high": high, "low": low})
     peak_volume = F.array_max(F.transform("high", lambda d: d["volume"]))
-    g = g.withColumn("peak", F.filter("high", lambda d: d["volume"] == peak_volume)[0])
+    g = g.withColumn("peak", F.get(F.filter("high", lambda d: d["volume"] == peak_volume), F.lit(0)))
     above = F.format_string("%.0f", (F.col("peak.volume") / F.col("mean") - 1) * 100)
     volume = F.format_string("%.0f", F.col("peak.volume"))
     busy, quiet = (F.col("calls") > 0) & (F.size("high") > 0), (F.col("calls") > 0) & (F.size("low") > 0)

@@ -72,7 +72,7 @@ def file_to_call(spark: SparkSession, directory: str, pattern: str, recursive: b
             *[F.col(c) for c in _call_columns() if c != "source_file"], path.alias("source_file")) \
             .select(*_call_columns())
     if suffix == "txt":
-        rows = reader.option("wholetext", True).text(directory)
+        rows = reader.text(directory, wholetext=True)
         return as_calls(rows, call_id=stem, transcript=F.col("value"), file_type=F.lit("text"), source_file=path)
     if suffix in AUDIO:
         rows = reader.format("binaryFile").load(directory)  # only names are used; contents are pruned
@@ -142,7 +142,7 @@ def load_history(spark: SparkSession, path: str) -> DataFrame:
 
 def source_registry(spark: SparkSession, path: str) -> DataFrame:
     """Enabled and disabled sources of a registry file (an object with ``sources`` or a bare array)."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     schema = f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in S.SOURCE.split(', '))}>>"
     listed = F.coalesce(F.from_json(F.get_json_object("value", "$.sources"), schema), F.from_json("value", schema))
     return text.select(F.inline(listed)).withColumns({

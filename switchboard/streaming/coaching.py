@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Mapping
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from switchboard import rules as R
@@ -175,7 +176,8 @@ def coaching_sink(responses_path: str, reports_path: str, staff: DataFrame | Non
             responses = batch.where(~F.col("session_ended")).drop("session_ended")
             responses.write.mode("overwrite").parquet(f"{responses_path}/batch_id={batch_id}")
             ended = batch.where("session_ended").select("call_id").distinct()
-            stored = spark.read.schema(responses.schema.add("batch_id", "int")).parquet(responses_path)
+            schema = StructType([*responses.schema.fields, StructField("batch_id", IntegerType())])
+            stored = spark.read.schema(schema).parquet(responses_path)
             told = stored.where(F.col("batch_id") <= batch_id).drop("batch_id").join(ended, "call_id", "left_semi")
             report = C.final_report(told)
             report.write.mode("overwrite").parquet(f"{reports_path}/batch_id={batch_id}")

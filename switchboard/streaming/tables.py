@@ -51,7 +51,7 @@ def call_stream(spark: SparkSession, directory: str, pattern: str = "*.json", so
     path = F.col("_metadata.file_path")
     if pattern.lower().endswith(".txt"):
         stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
-        rows = reader.option("wholetext", True).text(directory)
+        rows = reader.text(directory, wholetext=True)
         calls = C.as_calls(rows, call_id=stem, transcript=F.col("value"), file_type=F.lit("text"), source_file=path)
     else:
         rows = reader.schema(S.CALL).option("multiLine", True).json(directory)
