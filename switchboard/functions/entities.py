@@ -148,4 +148,5 @@ def all_entities(text: Column) -> Column:
 
 def entity_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row per entity."""
-    return df.select(key, F.inline(all_entities(F.col(text))))
+    rows = df.select(key, F.explode_outer(all_entities(F.col(text))).alias("e")).where(F.col("e").isNotNull())
+    return rows.select(key, "e.*")

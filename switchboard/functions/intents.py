@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import copy
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import add
@@ -14,6 +15,23 @@ from switchboard import rules as R
 from switchboard.functions import text as T
 
 
+def pattern_found(norm: Column, pattern: str) -> Column:
+    """Whether a pattern occurs.
+
+    ``first.*last`` rescans the rest of the text from every ``first``; a text
+    without any ``last`` is sorted out before, in one pass.
+    """
+    head, gap, last = pattern.rpartition(".*")
+    test = F.rlike(norm, F.lit(pattern))
+    if gap:
+        try:
+            re.compile(last)
+        except re.error:
+            return test
+        return F.rlike(norm, F.lit(last)) & test
+    return test
+
+
 def intent_score(norm: Column, rule: Mapping) -> Column:
     """Weighted share of keywords, phrases and patterns found, plus the boost."""
     score = F.lit(0.0)
@@ -23,7 +41,7 @@ def intent_score(norm: Column, rule: Mapping) -> Column:
             score = score + T.keyword_hits(norm, entries) / len(entries) * R.INTENT_WEIGHTS[part]
     patterns = rule.get("patterns") or []
     if patterns:
-        hits = reduce(add, [F.rlike(norm, F.lit(p)).cast("int") for p in patterns])
+        hits = reduce(add, [pattern_found(norm, p).cast("int") for p in patterns])
         score = score + hits / len(patterns) * R.INTENT_WEIGHTS["patterns"]
     return score
 

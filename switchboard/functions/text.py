@@ -17,6 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
+# any run of white space but a single blank: rare, so that few replacements are made
+ODD_SPACE = r"(?:[\s\x0b\x1c-\x1f\x85\p{Z}&&[^ ]]| [\s\x0b\x1c-\x1f\x85\p{Z}])[\s\x0b\x1c-\x1f\x85\p{Z}]*"
 NOT_KEPT = r"[^\p{L}\p{N}_ .,!?-]"
 OMITTED = "\n\n[... middle of conversation omitted for length ...]\n\n"
 _SEP = "\x1f"
@@ -101,21 +103,24 @@ def urgency_label(low: Column, lexicon: Mapping[str, Sequence[str]], match: str
 
 def normalise_text(text: Column) -> Column:
     """Lower case, single spaces, trimmed, only word characters and . , ! ? - kept."""
-    spaced = F.trim(F.regexp_replace(F.lower(text), SPACE, " "))
-    return F.regexp_replace(spaced, NOT_KEPT, "")
+    return F.regexp_replace(single_spaced(F.lower(text)), NOT_KEPT, "")
+
+
+def single_spaced(text: Column) -> Column:
+    """White space runs as one blank, none at the ends."""
+    return F.trim(F.regexp_replace(text, ODD_SPACE, " "))
 
 
 def word_count(text: Column) -> Column:
     """Number of whitespace-separated words, 0 for blank text."""
-    bare = F.trim(F.regexp_replace(text, SPACE, " "))
+    bare = single_spaced(text)
     return F.when(bare == "", F.lit(0)).otherwise(
         F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1)
 
 
 def words(text: Column) -> Column:
     """Whitespace-separated words without empty ones."""
-    bare = F.trim(F.regexp_replace(text, SPACE, " "))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, " "))
+    return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
 def count_occurrences(text: Column, phrase: str) -> Column:

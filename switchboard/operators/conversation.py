@@ -48,19 +48,15 @@ def topic_shifts(chunks: DataFrame, minor: float = 0.3, major: float = 0.1,
     """Adjacent segments whose word sets overlap less than ``minor`` (Jaccard)."""
     slim = chunks.select("call_id", "seq", "text")
     rows = O.sequence_rows(slim, KEY, "seq", 1, ["text"], long_calls)
-    rows = (rows.withColumn("_previous", F.lag("text").over(O.window(KEY, ["seq"])))
-            .where(~F.col(O.HALO) & F.col("_previous").isNotNull())
-            .select("call_id", "seq", T.words(F.lower("text")).alias("_now"),
-                    T.words(F.lower("_previous")).alias("_before")))
-    sized = rows.select("call_id", "seq",
-                        F.size(F.array_intersect("_now", "_before")).alias("_both"),
-                        F.size(F.array_union("_now", "_before")).alias("_either"))
-    similarity = F.col("_both") / F.col("_either")
-    return (sized.where(F.col("_either") > 0)
-            .withColumn("similarity", similarity)
-            .where(F.col("similarity") < minor)
-            .select("call_id", "seq", "similarity",
-                    F.when(F.col("similarity") < major, "major").otherwise("minor").alias("shift_type")))
+    rows = rows.withColumn("_previous", F.lag("text").over(O.window(KEY, ["seq"])))
+    # the pair is the argument of a lambda, so that its words are split once per use of the result
+    pair = F.array(F.struct(T.words(F.lower("text")).alias("now"), T.words(F.lower("_previous")).alias("before")))
+    overlap = F.transform(pair, lambda p: F.try_divide(
+        F.size(F.array_intersect(p["now"], p["before"])), F.size(F.array_union(p["now"], p["before"]))))
+    shifts = (rows.where(~F.col(O.HALO) & F.col("_previous").isNotNull())
+              .select("call_id", "seq", overlap[0].alias("similarity"))
+              .where(F.col("similarity") < minor))
+    return shifts.withColumn("shift_type", F.when(F.col("similarity") < major, "major").otherwise("minor"))
 
 
 def sentiment_progression(chunks: DataFrame, lexicon: Mapping = R.SEGMENT_SENTIMENT) -> DataFrame:
@@ -102,9 +98,9 @@ def conversation_coherence(segments: DataFrame, key: str, seq: str, vector: str,
 def concern_counts(chunks: DataFrame, concerns: Mapping[str, Sequence[str]] = R.CONCERNS) -> DataFrame:
     """How many chunks of a call raised each concern."""
     low = chunks.select("call_id", F.lower("text").alias("_low"))
-    raised = low.select("call_id", F.explode(T.compact_strings(
+    raised = low.select("call_id", F.explode_outer(T.compact_strings(
         [F.when(T.any_of(F.col("_low"), words), F.lit(name)) for name, words in concerns.items()]
-    )).alias("concern"))
+    )).alias("concern")).where(F.col("concern").isNotNull())
     return raised.groupBy("call_id", "concern").agg(F.count("*").alias("mentions"))
 
 
@@ -113,7 +109,9 @@ def key_themes(calls: DataFrame, key: str = "call_id", text: str = "transcript",
                stop_words: Sequence[str] | None = None) -> DataFrame:
     """Of a call's ``most`` frequent tokens, those known or repeated; at most ``keep``."""
     stop = TP.stop_words() if stop_words is None else stop_words
-    words = calls.select(key, F.posexplode(T.tokens(F.col(text), stop)).alias("pos", "token"))
+    # the outer form, because the inner one would tokenise once more to test for emptiness
+    words = calls.select(key, F.posexplode_outer(T.tokens(F.col(text), stop)).alias("pos", "token")) \
+        .where(F.col("token").isNotNull())
     counted = words.groupBy(key, "token").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
     frequent = Window.partitionBy(key).orderBy(F.desc("n"), "first_pos")
     top = counted.withColumn("rank", F.row_number().over(frequent)).where(F.col("rank") <= most)

@@ -18,7 +18,7 @@ from switchboard.functions import topics as TP
 
 MIN_DOC_TOKENS = 5
 MIN_DOCS = 3
-SALTS = 16
+HOT_TOKENS = 1000
 
 
 def tokenise(calls: DataFrame, text: str = "transcript", stop_words: Sequence[str] | None = None) -> DataFrame:
@@ -122,23 +122,28 @@ def _bit(mask: str, position: str):
     return F.call_function("shiftright", F.col(mask), F.col(position)).bitwiseAND(F.lit(1)) == 1
 
 
-def key_phrases(tokenised: DataFrame, key: str = "call_id", n: int = 10, salts: int = SALTS) -> DataFrame:
+def key_phrases(tokenised: DataFrame, key: str = "call_id", n: int = 10) -> DataFrame:
     """The ``n`` heaviest tokens of each call by TF-IDF.
 
-    Document frequencies are joined on the token; a token that occurs in most
-    documents is spread over ``salts`` partitions, with its single frequency row
-    repeated in each.
+    Document frequencies are joined on the token.  A token holding a thousandth
+    of all pairs or more is hot; there can be no more than a thousand of those,
+    so they are broadcast.  The rows of hot tokens are spread over a key of
+    their own in the join that finds the frequencies of all other tokens.
     """
-    tf = tokenised.select(key, F.explode("tokens").alias("token")).groupBy(key, "token").agg(
-        F.count("*").alias("tf"))
+    tokens = tokenised.select(key, F.explode_outer("tokens").alias("token")).where(F.col("token").isNotNull())
+    tf = tokens.groupBy(key, "token").agg(F.count("*").alias("tf"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     n_docs = tokenised.agg(F.count("*")).scalar()
-    weights = df.select(
-        "token", F.log((n_docs + 1) / (F.col("df") + 1)).alias("idf"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    salted = tf.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-    scored = salted.join(weights, ["token", "_salt"]).select(
-        key, "token", "tf", (F.col("tf") * F.col("idf")).alias("score"))
+    n_pairs = df.agg(F.sum("df")).scalar()
+    is_hot = F.col("df") * HOT_TOKENS >= n_pairs
+    hot = df.where(is_hot).withColumnRenamed("df", "_hot_df")
+    cold = df.where(~is_hot).withColumnRenamed("token", "_token")
+    marked = tf.join(F.broadcast(hot), "token", "left")
+    own = F.concat(F.lit("\x00"), F.xxhash64(key).cast("string"))
+    joined = marked.withColumn("_k", F.when(F.col("_hot_df").isNull(), F.col("token")).otherwise(own)).join(
+        cold, F.col("_k") == F.col("_token"), "left")
+    idf = F.log((n_docs + 1) / (F.coalesce("_hot_df", "df") + 1))
+    scored = joined.select(key, "token", "tf", (F.col("tf") * idf).alias("score"))
     heaviest = Window.partitionBy(key).orderBy(F.desc("score"), "token")
     return scored.withColumn("rank", F.row_number().over(heaviest)).where(F.col("rank") <= n)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from switchboard import rules as R
 from switchboard.functions import text as T
+from switchboard.session import spread
 
 EPOCH = 1_704_067_200  # 2024-01-01
 TURN_SECONDS = 150
@@ -44,7 +45,7 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select(
+    return spread(read(spark, d, "documents"), "doc_id").select(
         F.col("doc_id").cast("string").alias("call_id"), F.col("text").alias("transcript"),
         F.col("source").alias("source_id"), F.col("n_chars").cast("double").alias("duration"), "lang")
 
@@ -64,7 +65,7 @@ def chunks_of(df: DataFrame) -> DataFrame:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunks_of(read(spark, d, "conversations"))
+    return chunks_of(spread(read(spark, d, "conversations"), "conv_id"))
 
 
 CHUNKS = (f"chunks AS (SELECT CAST(conv_id AS VARCHAR) AS call_id, CAST(turn AS INT) AS seq, "

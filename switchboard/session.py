@@ -31,6 +31,7 @@ def build_session(app: str = "switchboard", master: str | None = None,
     return builder.getOrCreate()
 
 
+ONE_SPLIT = 128 * 1024 * 1024
 _LOCAL_SCRATCH: dict[str, str] = {}
 
 
@@ -55,3 +56,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Gives every core a share of a table too small to be split by the reader.
+
+    A file below one split is read by a single task, which is slow for heavy
+    text expressions.  Larger inputs arrive in many partitions already and are
+    returned as they are, without a shuffle.
+    """
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism, key) if size < ONE_SPLIT else df

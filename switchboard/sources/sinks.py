@@ -49,8 +49,12 @@ def append_insights(df: DataFrame, path: str, mode: str = "skip") -> None:
 
 
 def write_by_day(df: DataFrame, path: str, ts: str = "ts", rows_per_file: int = 1_000_000) -> None:
-    """Appends parquet partitioned by day; a large day becomes several files and tasks."""
-    dated = df.withColumn("day", F.to_date(ts))
+    """Appends parquet partitioned by day.
+
+    The rebalance hint brings a day's rows together so that few files are
+    written, and lets adaptive execution split a day that is too large.
+    """
+    dated = df.withColumn("day", F.to_date(ts)).hint("rebalance", "day")
     (dated.write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy("day").parquet(path))
 
 
