@@ -132,7 +132,7 @@ def normalise_landed_files(files: DataFrame, extensions: Sequence[str] = (".txt"
 
 
 def load_history(spark: SparkSession, path: str) -> DataFrame:
-    """Stored insights from a JSON array; unreadable records are dropped, times are parsed."""
+    """Stored insights from JSON arrays, times parsed; a file that cannot be read whole adds nothing."""
     schema = S.INSIGHT.replace("ts timestamp", "timestamp timestamp") + ", _corrupt_record string"
     rows = (spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
