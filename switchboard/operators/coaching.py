@@ -452,7 +452,7 @@ def final_report(responses: DataFrame) -> DataFrame:
     g = slim.groupBy("call_id").agg(
         F.min("ts").alias("start_time"), F.max("ts").alias("end_time"),
         F.count("*").alias("interaction_count"),
-        F.max_by(F.struct(*R.SCORES, "overall"), "seq").alias("_final"),
+        *[F.max_by(s, "seq").alias(s) for s in [*R.SCORES, "overall"]],
         F.sum("_alerts").alias("total_alerts"), F.sum("_critical").alias("critical_alerts"),
         *[F.sum(f"_{c}").alias(f"alerts_{c}") for c in ALERT_CATEGORIES],
         F.sum("_suggestions").alias("coaching_interventions"),
@@ -460,9 +460,8 @@ def final_report(responses: DataFrame) -> DataFrame:
         F.max_by("sentiment", "seq").alias("final_sentiment"),
         F.min("sentiment").alias("lowest_point"), F.max("sentiment").alias("highest_point"),
         F.stddev_pop("sentiment").alias("volatility"))
-    out = g.select("*", "_final.*").drop("_final")
     scores = {s: F.col(s) for s in R.SCORES}
-    out = out.withColumns({
+    out = g.withColumns({
         "call_duration": (F.unix_micros("end_time") - F.unix_micros("start_time")) / 1_000_000,
         "sentiment_improvement": F.col("final_sentiment") - F.col("initial_sentiment"),
         "performance_improvement": F.col("overall") - R.START_SCORE,
@@ -475,12 +474,12 @@ def final_report(responses: DataFrame) -> DataFrame:
 # --- sessions, staff and customers ---------------------------------------------------------
 
 def chunks_with_session(chunks: DataFrame, sessions: DataFrame) -> DataFrame:
-    return chunks.join(sessions.select("call_id").distinct(), "call_id", "left_semi")
+    return chunks.join(sessions.select("call_id"), "call_id", "left_semi")
 
 
 def orphan_chunks(chunks: DataFrame, sessions: DataFrame) -> DataFrame:
     """Chunks of calls without an open session."""
-    return chunks.join(sessions.select("call_id").distinct(), "call_id", "left_anti")
+    return chunks.join(sessions.select("call_id"), "call_id", "left_anti")
 
 
 def staff_baseline(performance: DataFrame, last: int = 10) -> DataFrame:

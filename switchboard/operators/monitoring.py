@@ -44,29 +44,32 @@ def keep_greedily(times: np.ndarray, resolved: np.ndarray, last: int | None, win
     return keep, last
 
 
-def suppress_repeats(alerts: DataFrame, seconds: int = 3600, keys: Sequence[str] = ("component", "message"),
-                     block_seconds: int = 86_400) -> DataFrame:
+def suppress_repeats(alerts: DataFrame, seconds: int = 3600,
+                     keys: Sequence[str] = ("component", "message")) -> DataFrame:
     """Drops an alert that follows a kept equal one within ``seconds``.
 
     Whether an alert is kept depends on the last kept one, so a key is walked in
-    time order.  A gap of ``seconds`` ends every dependency: the table is cut
-    there and the pieces are walked in parallel, in constant memory, jumping
-    from kept alert to kept alert by binary search.
+    time order.  A gap of ``seconds`` ends every dependency, and an empty time
+    slot of that length is such a gap: the slots in use, a small table, give the
+    pieces of a key that are walked in parallel.  A walk needs constant memory
+    and jumps from kept alert to kept alert by binary search.
     """
     keys = list(keys)
     order = ["ts", "alert_id"]
-    rows = O.with_halo(O.cut_time(alerts, "ts", block_seconds), keys, order, 1, [])
-    rows = rows.withColumn("_previous", F.lag("ts").over(O.window(keys, order))).where(~F.col(O.HALO))
-    gap = F.unix_micros("ts") - F.unix_micros("_previous") >= seconds * 1_000_000
-    rows = rows.withColumn("_start", F.when(F.col("_previous").isNull() | gap, F.col("ts")))
-    rows = O.with_carry(rows, keys, {"_last_start": F.max("_start")},
-                        {"_before": F.max("_last_start").over(O.earlier_blocks(keys))})
-    piece = F.coalesce(F.max("_start").over(O.running(keys, order)), F.col("_before"))
-    rows = rows.withColumns({"_piece": piece, "_us": F.unix_micros("ts")}).drop(
-        O.BLOCK, O.HALO, "_previous", "_start", "_before")
+    window = seconds * 1_000_000
+    slotted = alerts.withColumns({"_us": F.unix_micros("ts"), "_slot": F.floor(F.unix_micros("ts") / window)})
+    used = slotted.select(*keys, "_slot").distinct()
+    in_order = Window.partitionBy(*keys).orderBy("_slot")
+    before = F.lag("_slot").over(in_order)
+    starts = used.withColumn("_start", F.when(before.isNull() | (F.col("_slot") - before > 1), F.col("_slot")))
+    pieces = starts.select(*[F.col(c).alias(f"_p_{c}") for c in keys], F.col("_slot").alias("_p_slot"),
+                           F.max("_start").over(in_order.rowsBetween(Window.unboundedPreceding, 0)).alias("_piece"))
+    same = F.col("_slot") == F.col("_p_slot")
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_p_{c}"))
+    rows = slotted.join(pieces, same).drop("_slot", "_p_slot", *[f"_p_{c}" for c in keys])
     unit = [*keys, "_piece"]
     laid = rows.repartition(*unit).sortWithinPartitions(*unit, *order)
-    window = seconds * 1_000_000
     schema = laid.schema
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -136,7 +136,9 @@ def load_history(spark: SparkSession, path: str) -> DataFrame:
     schema = S.INSIGHT.replace("ts timestamp", "timestamp timestamp") + ", _corrupt_record string"
     rows = (spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    return rows.where(F.col("_corrupt_record").isNull() & F.col("call_id").isNotNull()) \
+    # names every field, so that a bad value is noticed whatever is selected later
+    read_whole = F.to_json(F.struct(*[c for c in rows.columns if c != "_corrupt_record"])) != ""
+    return rows.where(F.col("_corrupt_record").isNull() & F.col("call_id").isNotNull() & read_whole) \
         .drop("_corrupt_record").withColumnRenamed("timestamp", "ts")
 
 

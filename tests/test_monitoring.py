@@ -29,7 +29,7 @@ def test_suppression_equals_brute_force(spark, seed):
             kept.add(f"a{i:04d}")
             if not resolved:
                 last[c] = t
-    out = M.suppress_repeats(df.repartition(5), block_seconds=7200)
+    out = M.suppress_repeats(df.repartition(5))
     assert {r["alert_id"] for r in out.collect()} == kept
 
 
