@@ -129,3 +129,14 @@ def insight_stream(spark, d):
     out = ST.run_available(SC.insight_stream(calls, profile=profile), "fallback")
     return out.select("call_id", "primary_intent", num("sentiment_score").alias("sentiment"), big("urgency_level").alias("urgency"),
                       num(F.element_at("emotional_journey", F.lit("middle"))).alias("middle"))
+
+
+@query("archive_processed", f"WITH {B.CALLS} SELECT CAST(count(*) AS BIGINT) AS calls, CAST(count(DISTINCT call_id) AS BIGINT) AS ids FROM calls")
+def archive_processed(spark, d):
+    """Landed call files consumed by a stream that moves them to an archive."""
+    inbox, archive = scratch_path(spark, "inbox"), scratch_path(spark, "archive")
+    B.calls(spark, d).select("call_id", "transcript").write.json(inbox)
+    stream = (spark.readStream.schema("call_id string, transcript string").option("cleanSource", "archive")
+              .option("sourceArchiveDir", archive).json(inbox))
+    out = ST.run_available(stream.select("call_id"), "archived")
+    return out.agg(F.count("*").alias("calls"), F.count_distinct("call_id").alias("ids"))

@@ -38,16 +38,15 @@ class SessionState(StatefulProcessor):
         self.handle = handle
         self.session = handle.getValueState("session", ", ".join([
             "n long, chars long, words long, res long, fru long, neg long, start_us long, last_us long, mark long",
-            *[f"{m} long" for m in self.masks], *[f"{s} double" for s in self.scores], "tail string"]))
+            *[f"{m} long" for m in self.masks], *[f"{s} double" for s in self.scores], "tail string, timer long"]))
 
     def _fresh(self) -> dict:
         return {"n": 0, "chars": 0, "words": 0, "res": 0, "fru": 0, "neg": 0, "start_us": None, "last_us": None,
-                "mark": None, **{m: 0 for m in self.masks}, **{s: self.start for s in self.scores}, "tail": ""}
+                "mark": None, **{m: 0 for m in self.masks}, **{s: self.start for s in self.scores}, "tail": "", "timer": None}
 
     def _load(self) -> dict:
-        if not self.session.exists():
-            return self._fresh()
-        return dict(zip(self._fresh(), self.session.get()))
+        stored = self.session.get()
+        return self._fresh() if stored is None else dict(zip(self._fresh(), stored))
 
     def _add(self, s: dict, row) -> dict:
         hits = {m: int(getattr(row, m)) for m in self.masks}
@@ -99,6 +98,7 @@ class SessionState(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         s = self._load()
+        timer = s["timer"]
         batch = pd.concat(list(rows)).sort_values(["us", "seq"])
         out = []
         for row in batch.itertuples(index=False):
@@ -107,19 +107,22 @@ class SessionState(StatefulProcessor):
                 s = self._fresh()
             else:
                 out.append(self._add(s, row))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+        # the state names its own timer: one call to the state server less than listing them
+        if timer is not None:
+            self.handle.deleteTimer(timer)
         if s["n"]:
+            s["timer"] = s["last_us"] // 1000 + self.gap_ms
+            self.handle.registerTimer(s["timer"])
             self.session.update(tuple(s.values()))
-            self.handle.registerTimer(s["last_us"] // 1000 + self.gap_ms)
         else:
             self.session.clear()
         yield self._frame(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.session.exists():
+        stored = self._load()
+        if not stored["n"]:
             return iter(())
-        closing = self._closing_row(self._load())
+        closing = self._closing_row(stored)
         self.session.clear()
         return iter([self._frame(key, [closing])])
 
@@ -132,7 +135,9 @@ def coach_stream(chunks: DataFrame, profile: str | Mapping = "default", delay: s
     """One response per arriving chunk, and a ``session_ended`` row per finished call.
 
     A chunk spoken by ``end`` closes its call, and so do ``gap_seconds`` of
-    silence in event time.  Chunks later than ``delay`` are dropped.
+    silence in event time.  Chunks later than ``delay`` are dropped.  The chunks
+    of one call within a micro-batch are sorted in memory; ``max_files`` of the
+    source bounds how many those can be.
     """
     spark = chunks.sparkSession
     use_rocksdb(spark)

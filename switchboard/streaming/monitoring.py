@@ -24,7 +24,8 @@ class LastKept(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["us", "alert_id"])
-        last = int(self.last.get()[0]) if self.last.exists() else None
+        stored = self.last.get()
+        last = None if stored is None else int(stored[0])
         keep, last = keep_greedily(batch["us"].to_numpy(), batch["resolved"].to_numpy(dtype=bool), last,
                                    self.window_us)
         if last is not None:
@@ -56,24 +57,27 @@ class Silence(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "us long")
+        self.seen = handle.getValueState("seen", "us long, timer long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("us")
         last = batch.iloc[-1]
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+        stored = self.seen.get()
+        if stored is not None:
+            self.handle.deleteTimer(stored[1])
         if last["closed"]:
             self.seen.clear()
         else:
-            self.seen.update((int(last["us"]),))
-            self.handle.registerTimer(int(last["us"]) // 1000 + self.limit_ms)
+            timer = int(last["us"]) // 1000 + self.limit_ms
+            self.handle.registerTimer(timer)
+            self.seen.update((int(last["us"]), timer))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.seen.exists():
+        stored = self.seen.get()
+        if stored is None:
             return iter(())
-        us = int(self.seen.get()[0])
+        us = int(stored[0])
         self.seen.clear()
         return iter([pd.DataFrame({self.name: [key[0]], "us": [us]})])
 
