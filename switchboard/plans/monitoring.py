@@ -63,7 +63,7 @@ def quality_gate(spark, d):
     return M.quality_gate(scored).select("call_id", "outcome", "severity")
 
 
-@query("keep_latest", f"WITH {B.INSIGHTS} SELECT call_id FROM insights ORDER BY ts DESC, call_id DESC LIMIT 500")
+@query("keep_latest", f"WITH {B.INSIGHTS}, r AS (SELECT call_id, row_number() OVER (ORDER BY ts DESC, call_id DESC) AS rk, count(*) OVER () AS n FROM insights) SELECT call_id FROM r WHERE n <= 1000 OR rk <= 500")
 def keep_latest(spark, d):
     return M.keep_latest(B.insights(spark, d)).select("call_id")
 

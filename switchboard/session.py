@@ -66,5 +66,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     returned as they are, without a shuffle.
     """
     spark = df.sparkSession
+    if not hasattr(df, "_jdf"):  # no plan statistics over a remote session
+        return df
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(spark.sparkContext.defaultParallelism, key) if size < ONE_SPLIT else df
