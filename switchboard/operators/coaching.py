@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from switchboard import rules as R
 from switchboard.functions import text as T
 from switchboard.operators import ordered as O
+from switchboard.session import materialise
 
 KEY = ["call_id"]
 GROUP = 60
@@ -397,10 +398,17 @@ def coaching_responses(state: DataFrame, profile: str | Mapping = "default") ->
 
 def coach_batch(chunks: DataFrame, profile: str | Mapping = "default", long_calls: bool | None = None,
                 block_rows: int = O.BLOCK_ROWS) -> DataFrame:
-    """All coaching responses of recorded calls."""
+    """All coaching responses of recorded calls.
+
+    With long calls the signals are used by the rows, by the rows repeated
+    before each block and by the block totals.  They are written once then, so
+    that the texts are scanned once; without text they are small.
+    """
     if long_calls is None:
         long_calls = O.has_long_keys(chunks, "seq", block_rows)
     signals = chunk_signals(chunks, profile)
+    if long_calls:
+        signals = materialise(signals, "chunk-signals")
     return coaching_responses(running_state(signals, profile, long_calls, block_rows), profile)
 
 
