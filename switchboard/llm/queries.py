@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from switchboard.llm import ngram_join
+from switchboard.llm import decontamination, mixing, ngram_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +25,18 @@ def query(fn: Callable) -> Callable:
 @query
 def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, folder, "documents"), size=3, percent=90)
+
+
+@query
+def op1_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op6_mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
+    planned = mixing.copies_of(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    return planned.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
+                          F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+
+
+ORACLES["op6_mixing_sources"] = mixing.ORACLE
