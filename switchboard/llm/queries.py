@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from switchboard.llm import decontamination, mixing, ngram_join
+from switchboard.llm import decontamination, mixing, ngram_join, token_ids
+from switchboard.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +41,16 @@ def op6_mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op6_mixing_sources"] = mixing.ORACLE
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op10_token_ids(spark: SparkSession, folder: str) -> DataFrame:
+    written = scratch_path(spark, "token-ids")
+    token_ids.write_corpus(table(spark, folder, "documents"), written, tokenizer_path(), end=2, by_word=True)
+    return token_ids.read_corpus(spark, written, with_ids=False)
