@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from switchboard.llm import decontamination, mixing, ngram_join, token_ids
+from switchboard.llm import decontamination, mixing, ngram_join, quality, token_ids
 from switchboard.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,20 @@ def op10_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     written = scratch_path(spark, "token-ids")
     token_ids.write_corpus(table(spark, folder, "documents"), written, tokenizer_path(), end=2, by_word=True)
     return token_ids.read_corpus(spark, written, with_ids=False)
+
+
+def remainder(id_column: str, by: int) -> Column:
+    """crc32 of the id as text, modulo ``by``."""
+    return F.crc32(F.col(id_column).cast("string").cast("binary")) % by
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
+    return quality.train(docs, labels.where(remainder("doc_id", 5) != 0))
+
+
+@query
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = quality.score_quality(docs, quality_model(docs, table(spark, folder, "labels")))
+    return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score",
+                        (F.col("score") >= quality.REJECT_BELOW).cast("int").alias("predicted"))
