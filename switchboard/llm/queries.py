@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from switchboard.llm import decontamination, mixing, ngram_join, quality, token_ids
+from switchboard.llm import decontamination, mixing, ngram_join, quality, rules, token_ids
 from switchboard.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,11 @@ def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     found = quality.score_quality(docs, quality_model(docs, table(spark, folder, "labels")))
     return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score",
                         (F.col("score") >= quality.REJECT_BELOW).cast("int").alias("predicted"))
+
+
+@query
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.apply_rules(table(spark, folder, "documents"))
+
+
+ORACLES["op9_quality_rules"] = rules.ORACLE
