@@ -32,8 +32,8 @@ from switchboard.session import materialise
 FREQUENT = 1 / 400
 #: so many of the most frequent shingles are ordered behind all others; the order never changes the result
 KNOWN_FREQUENT = 50_000
-#: shingles of short lists in a bucket, and shingles of a block of a group
-BUCKET, BLOCK = 1_000_000, 1_000_000
+#: shingles of short lists in a bucket (there are at least so many buckets), and shingles of a block of a group
+BUCKET, LEAST_BUCKETS, BLOCK = 1_000_000, 64, 1_000_000
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,8 +78,12 @@ def most_differing(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def sketch_words(n: np.ndarray, percent: int) -> np.ndarray:
-    """64-bit words of the parity sketch: a power of two, at least two."""
-    bits = np.maximum(4 * most_differing(2 * n, percent), 128)
+    """64-bit words of the parity sketch, a power of two.
+
+    Unrelated sets differ in nearly half the bits, and 2.6 to 5.2 bits for each shingle in which
+    linked sets may differ leave about one unrelated pair in a thousand or fewer.
+    """
+    bits = np.maximum(2.6 * most_differing(2 * n, percent), 64)
     return (1 << np.ceil(np.log2(bits)).astype(np.int64)) // 64
 
 
@@ -348,7 +352,6 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     No frame holds pairs of a group: buckets and blocks give forests.  A group larger than
     ``BLOCK`` shingles is compared block by block, so a task's memory is bounded.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     measured = materialise(texts.mapInArrow(measure(size, percent), "id long, n long, key long, token long, seen long"), "ngram-sets")
     sets = measured.where("n is not null").select("id", "n", "key")
@@ -357,7 +360,7 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col
                                 np.int64).view(np.uint64))
     short = F.expr(f"n - ceil({percent} * n / 100) + 1")
     entries = sets.where("n > 0").agg(F.sum(short)).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(entries) // BUCKET + 1)
+    buckets = max(LEAST_BUCKETS, int(entries) // BUCKET + 1)
     lists = texts.select("text").mapInArrow(prefixes(size, percent, buckets, frequent),
                                             "bucket long, key long, n long, tokens array<long>, sketch binary")
     coarse = lists.groupBy("bucket").applyInArrow(coarse_links(percent), "a long, b long")
@@ -367,7 +370,8 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     members = materialise(groups.join(classes, groups.node == classes.key).select("key", "component", "id", "n", "copies"), "ngram-members")
     blocks = members.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
     members = members.join(blocks, "component").withColumn("block", F.pmod(F.hash("key"), F.col("blocks").cast("int")).cast("long"))
-    found = texts.join(members.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of"))).select(
+    # the texts are shuffled once, at any size
+    found = texts.join(members.withColumnRenamed("id", "of").hint("merge"), F.col("id").eqNullSafe(F.col("of"))).select(
         "text", "key", "component", "n", "copies", "block", "blocks")
     found = found.mapInArrow(set_bytes(size), "tokens binary, key long, component long, n long, copies long, block long, blocks long")
     found = found.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).select(

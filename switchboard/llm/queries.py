@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from switchboard.llm import decontamination, mixing, ngram_join, quality, rules, token_ids
+from switchboard.llm import decontamination, licenses, mixing, ngram_join, quality, rules, token_ids
 from switchboard.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op9_quality_rules"] = rules.ORACLE
+
+
+@query
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_summary(licenses.license_spans(table(spark, folder, "documents"))).drop("spans")

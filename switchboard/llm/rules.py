@@ -107,9 +107,9 @@ def many_digits(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def repeated_lines(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Over 30 % of the lines with a word equal an earlier one."""
+    """Over half of the lines with a word equal an earlier one."""
     total, again = lines(data, at)
-    return 100 * again > 30 * total
+    return 2 * again > total
 
 
 def one_word_dominates(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -228,6 +228,6 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (word_chars < 3 * n_words OR word_chars > 10 * n_words OR 10 * n_symbols > n_words
     OR 100 * marks > 15 * word_chars OR 100 * capitals > 30 * word_chars OR 100 * digits > 20 * word_chars
-    OR 100 * n_dup_lines > 30 * n_lines OR 100 * top > 30 * n_words) AS kept
+    OR 2 * n_dup_lines > n_lines OR 100 * top > 30 * n_words) AS kept
 FROM b
 """
