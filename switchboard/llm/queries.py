@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from switchboard.llm import decontamination, licenses, mixing, ngram_join, quality, rules, token_ids
+from switchboard.llm import decontamination, language, licenses, mixing, ngram_join, quality, rules, token_ids
 from switchboard.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,11 @@ ORACLES["op9_quality_rules"] = rules.ORACLE
 @query
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_summary(licenses.license_spans(table(spark, folder, "documents"))).drop("spans")
+
+
+@query
+def op4_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language.train(docs.where(remainder("doc_id", 4) != 2))
+    return language.languages_of(docs, model).select(
+        "doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
