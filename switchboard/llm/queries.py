@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from switchboard.llm import decontamination, language, licenses, mixing, ngram_join, quality, rules, token_ids
+from switchboard.llm import decontamination, language, licenses, mixing, ngram_join, quality, rules, substrings, token_ids
 from switchboard.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,8 @@ def op4_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
     model = language.train(docs.where(remainder("doc_id", 4) != 2))
     return language.languages_of(docs, model).select(
         "doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, folder, "documents"), with_text=False)
