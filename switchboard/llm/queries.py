@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from switchboard.llm import decontamination, language, licenses, mixing, ngram_join, quality, rules, substrings, token_ids
+from switchboard.llm import decontamination, language, licenses, mixing, ngram_join, quality, rules, substrings, templates, token_ids
 from switchboard.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,8 @@ def op4_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, folder, "documents"), with_text=False)
+
+
+@query
+def op5_html_templates(spark: SparkSession, folder: str) -> DataFrame:
+    return templates.extract_pages(table(spark, folder, "pages"))
