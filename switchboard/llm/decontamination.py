@@ -21,12 +21,11 @@ MIN_SCORE = 10
 #: words of benchmark items that are broadcast together; a larger benchmark goes in several blocks
 BLOCK_WORDS = 200_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def word_array(text: Column) -> Column:
     """Lower-cased words; all ASCII but letters and digits separates."""
-    return F.array_remove(F.split(F.translate(text, UPPER, LOWER), SEPARATORS), "")
+    return F.array_remove(F.split(F.lower(text), SEPARATORS), "")
 
 
 def word_hashes(text: Column) -> Column:
@@ -39,9 +38,13 @@ def seeds(hashes: str, place: str) -> Column:
 
 
 def at_all_places(df: DataFrame, hashes: str, place: str, seed: str) -> DataFrame:
-    """A row for each place and mask of rows with at least ``SPAN`` words."""
-    long = df.where(F.size(hashes) >= SPAN)
-    placed = long.select("*", F.explode_outer(F.sequence(F.lit(0), F.size(hashes) - SPAN)).alias(place))
+    """A row for each place and mask; a row without ``SPAN`` words gives nulls.
+
+    The outer generators stay in one stage of generated code with the join behind them, so the
+    array of a long text isn't copied to its rows.
+    """
+    places = F.when(F.size(hashes) >= SPAN, F.sequence(F.lit(0), F.size(hashes) - SPAN))
+    placed = df.select("*", F.explode_outer(places).alias(place))
     return placed.select("*", F.explode_outer(seeds(hashes, place)).alias(seed))
 
 
@@ -81,16 +84,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     own = materialise(own.withColumn("_n", F.size("_words").cast("long")), "benchmark-items")
     total = own.agg(F.sum("_n")).first()[0] or 0
     blocks = max(1, -(-total * 2 // BLOCK_WORDS)) if total > BLOCK_WORDS else 1
-    texts = docs.select(F.col(id_column).cast("long").alias("_doc"), word_hashes(F.col(text_column)).alias("_h"))
+    texts = docs.select(F.col(id_column).cast("long").alias("_doc"), F.col(text_column).alias("_text"))
+    hashed = texts.select("_doc", word_hashes(F.col("_text")).alias("_h"))
     found = None
     for block in range(blocks):
         part = own.where(F.pmod(F.xxhash64("_words"), F.lit(blocks)) == block) if blocks > 1 else own
-        keys = at_all_places(part.select("_item", "_words"), "_words", "_j", "_seed").select("_item", "_words", "_j", "_seed")
-        hits = at_all_places(texts, "_h", "_i", "_seed").join(F.broadcast(keys), "_seed")
-        hits = hits.select("_doc", "_item", best_stretch("_h", "_words", F.col("_i") - F.col("_j")).alias("_b")).where(
-            F.col("_b.score") >= min_score)
+        keys = at_all_places(part.select("_item", "_words"), "_words", "_j", "_seed").select("_item", "_j", "_seed")
+        hits = at_all_places(hashed, "_h", "_i", "_seed").join(F.broadcast(keys), "_seed").select(
+            "_doc", "_item", (F.col("_i") - F.col("_j")).alias("_shift")).distinct()
         found = hits if found is None else found.unionByName(hits)
-    each = found.groupBy("_doc", "_item").agg(F.max(F.struct(F.col("_b.score").alias("score"), (-F.col("_b.first")).alias("first"), F.col("_b.last").alias("last"))).alias("b"))
+    # diagonals with a hit come with the item's words; the texts are shuffled once, at any size
+    found = found.join(own.select("_item", "_words"), "_item").withColumnRenamed("_doc", "_of")
+    near = texts.join(found.hint("merge"), F.col("_doc").eqNullSafe(F.col("_of"))).select(
+        "_doc", "_item", "_words", "_shift", word_hashes(F.col("_text")).alias("_h"))
+    found = near.select("_doc", "_item", best_stretch("_h", "_words", F.col("_shift")).alias("_b"))
+    # the least score is asked for behind the aggregation: a filter before it would move into the join and hash the text anew for every word
+    each = found.groupBy("_doc", "_item").agg(F.max(F.struct(F.col("_b.score").alias("score"), (-F.col("_b.first")).alias("first"), F.col("_b.last").alias("last"))).alias("b")).where(
+        F.col("b.score") >= min_score)
     best = each.groupBy("_doc").agg(
         F.max(F.struct(F.col("b.score").alias("score"), (-F.col("_item")).alias("item"), "b.first", "b.last")).alias("m"),
         F.count("*").alias("n_items"))
