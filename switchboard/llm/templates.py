@@ -162,7 +162,7 @@ def main_text(page: str, template: frozenset[int] | None) -> str:
     for item, is_fixed in zip(items, fixed, strict=True):
         top = stack[-1].number if stack else 0
         if isinstance(item, str):
-            if (stack and stack[-1].aside) or (is_fixed and template is not None and item.strip()):
+            if stack and (stack[-1].aside or (is_fixed and template is not None and item.strip() and not stack[-1].main)):
                 continue
             pieces.append((top, item, len(plain(item))))
             continue
