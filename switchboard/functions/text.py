@@ -50,12 +50,6 @@ def word_mask(low: Column, words: Sequence[str]) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), bits, F.lit(0).cast("bigint"))
 
 
-def matched_text(low: Column, words: Sequence[str], sep: str = ", ",
-                 match: str = "substring") -> Column:
-    """The entries found, in lexicon order, as one string."""
-    return F.concat_ws(sep, *[F.when(found(low, w, match), F.lit(w)) for w in words])
-
-
 def matched(low: Column, words: Sequence[str], match: str = "substring") -> Column:
     """The entries found, in lexicon order, as an array."""
     return compact_strings([F.when(found(low, w, match), F.lit(w)) for w in words])

@@ -29,8 +29,6 @@ KEY = ["call_id"]
 GROUP = 60
 KEEP = R.SCORE_KEEP
 GAIN = 1.0 - R.SCORE_KEEP
-# 0.8 ** 400 is below one part in 10 ** 38: older blocks cannot change a double
-FORGET_BLOCKS = 400
 
 
 def profile_rules(profile: str | Mapping) -> Mapping:
@@ -170,6 +168,24 @@ def with_border_hits(rows: DataFrame, rules: Mapping, before: Column) -> DataFra
     return rows.withColumns({**masks, **counts}).drop("_before")
 
 
+def folded_blocks(ends: DataFrame, values: Sequence[str], blocks: int) -> DataFrame:
+    """Scores after each block of a call, from what the blocks add on their own.
+
+    A block maps a score to ``decay * score + value``.  Such maps are composed with the
+    one 1, 2, 4, ... blocks before until every block has all earlier ones: exact for any
+    number of blocks, with a fixed number of columns for each.
+    """
+    per_call = Window.partitionBy(*KEY).orderBy(O.BLOCK)
+    ends = ends.withColumn("_decay", F.pow(F.lit(KEEP), F.col("_staff")))
+    step = 1
+    while step < blocks:
+        ends = ends.withColumns({
+            "_decay": F.col("_decay") * F.lag("_decay", step, 1.0).over(per_call),
+            **{v: F.col(v) + F.col("_decay") * F.lag(v, step, 0.0).over(per_call) for v in values}})
+        step *= 2
+    return ends
+
+
 def running_state(signals: DataFrame, profile: str | Mapping = "default",
                   long_calls: bool | None = None, block_rows: int = O.BLOCK_ROWS) -> DataFrame:
     """Folds the chunks of each call in order; one row per chunk."""
@@ -213,22 +229,20 @@ def running_state(signals: DataFrame, profile: str | Mapping = "default",
         block_end = rows.groupBy(*KEY, O.BLOCK).agg(F.max_by(F.struct(*local), "seq").alias("_end"))
         ends = block_end.select(*KEY, O.BLOCK, "_end.*")
         earlier = O.earlier_blocks(KEY)
-        recent = O.earlier_blocks(KEY, FORGET_BLOCKS)
         offset = F.coalesce(F.sum("_chars").over(earlier), zero)
         ends = ends.withColumn("_mark_at", offset + F.col("_mark"))
 
-        def decayed(score: str) -> Column:
-            ends_before = F.collect_list(F.struct(F.col("_staff").alias("n"), F.col(f"_v_{score}").alias("v")))
-            return F.aggregate(ends_before.over(recent), F.lit(R.START_SCORE),
-                               lambda s, e: s * F.pow(F.lit(KEEP), e["n"]) + e["v"])
-
+        per_call = Window.partitionBy(*KEY).orderBy(O.BLOCK)
+        last = signals.agg(F.max("seq")).first()[0] or 0
+        ends = folded_blocks(ends, [f"_v_{score}" for score in R.SCORES], last // block_rows + 1)
         carry = ends.select(
             *KEY, O.BLOCK,
             *[F.sum(c).over(earlier).alias("c" + c) for c in ("_n", "_chars", "_words", "_res", "_fru", "_neg")],
             F.min("_start").over(earlier).alias("c_start"),
             F.max("_mark_at").over(earlier).alias("c_mark"),
             *[F.bit_or(f"_{m}").over(earlier).alias(f"c_{m}") for m in masks],
-            *[decayed(s).alias(f"c_v_{s}") for s in R.SCORES])
+            *[(R.START_SCORE * F.lag("_decay", 1, 1.0).over(per_call) + F.lag(f"_v_{s}", 1, 0.0).over(per_call)).alias(f"c_v_{s}")
+              for s in R.SCORES])
         rows = rows.join(carry, [*KEY, O.BLOCK], "left")
     else:
         rows = rows.withColumns({

@@ -126,13 +126,13 @@ def split_segments(calls: DataFrame, key: str = "call_id", text: str = "transcri
     return calls.select(key, F.posexplode(F.split(F.col(text), "\n", -1)).alias("seq", "text"))
 
 
-def concat_segments(chunks: DataFrame, part_rows: int = O.BLOCK_ROWS, separator: str = "\n") -> DataFrame:
-    """Segments joined in order, ``part_rows`` lines to a part.
+def concat_segments(chunks: DataFrame, part_rows: int | None = None, separator: str = "\n") -> DataFrame:
+    """Segments joined in order: one row per call, or ``part_rows`` lines to a part if given.
 
-    A call of ordinary length is one part; a very long one comes as several
-    rows, so that no task has to hold a whole call of unknown size.
+    A whole transcript has to fit a task, as any text column does; ask for parts where calls may be longer.
     """
-    parts = O.cut(chunks.select("call_id", "seq", "text"), "seq", part_rows)
+    lines = chunks.select("call_id", "seq", "text")
+    parts = O.cut(lines, "seq", part_rows) if part_rows else lines.withColumn(O.BLOCK, F.lit(0).cast("bigint"))
     return (parts.groupBy("call_id", F.col(O.BLOCK).alias("part"))
             .agg(F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("_lines"))
             .select("call_id", "part",

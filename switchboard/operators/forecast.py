@@ -127,7 +127,7 @@ def forecast(models: Forecasters, insights: DataFrame, start: Column, days: int
 
 # --- anomalous days --------------------------------------------------------------------
 
-SAMPLE = 256
+SAMPLE_ROWS = 256  # rows of an isolation tree, unless the caller asks for others
 EULER = 0.5772156649015329
 NODE = "tree int, node int, feature int, split double, left int, right int, size int"
 
@@ -161,18 +161,17 @@ def _grow(tree: int, data: np.ndarray, seed: int) -> list[tuple]:
 
 
 def isolation_trees(df: DataFrame, key: str, features: Sequence[str], trees: int = 100,
-                    seed: int = 42) -> DataFrame:
-    """Trees over independent samples of at most 256 rows each.
+                    seed: int = 42, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Trees over independent samples of at most ``sample_rows`` rows each.
 
-    Sampling is the operator itself: a hash order gives at most
-    ``trees * 256`` candidate rows, of which every tree takes its own 256.
+    Sampling is the operator itself: every tree has its own hash order of all rows and takes
+    the first of it; the rank limit is applied before the shuffle.
     """
-    candidates = (df.select(F.xxhash64(F.lit(seed), key).alias("_h"),
-                            F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]).alias("x"))
-                  .orderBy("_h").limit(trees * SAMPLE))
+    candidates = df.select(F.xxhash64(F.lit(seed), key).alias("_h"),
+                           F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]).alias("x"))
     per_tree = candidates.select("_h", "x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     drawn = Window.partitionBy("tree").orderBy(F.xxhash64("_h", "tree"))
-    samples = per_tree.withColumn("_r", F.row_number().over(drawn)).where(F.col("_r") <= SAMPLE)
+    samples = per_tree.withColumn("_r", F.row_number().over(drawn)).where(F.col("_r") <= sample_rows)
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         data = np.stack(group.sort_values("_h")["x"].to_numpy())
@@ -215,9 +214,9 @@ def anomaly_scores(df: DataFrame, trees: DataFrame, features: Sequence[str]) ->
 
 
 def anomalous_days(daily: DataFrame, features: Sequence[str], contamination: float = 0.1,
-                   trees: int = 100, seed: int = 42) -> DataFrame:
+                   trees: int = 100, seed: int = 42, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Days with their isolation score and whether they are among the most unusual."""
-    scored = anomaly_scores(daily, isolation_trees(daily, "day", features, trees, seed), features)
+    scored = anomaly_scores(daily, isolation_trees(daily, "day", features, trees, seed, sample_rows), features)
     cut = scored.agg(F.percentile_approx("anomaly_score", 1 - contamination, 10000))
     return scored.withColumn("is_anomaly", F.col("anomaly_score") > cut.scalar())
 

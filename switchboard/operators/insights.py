@@ -224,8 +224,9 @@ def dedupe_analyses(calls: DataFrame, analyse: Callable[[DataFrame], DataFrame],
                     text: str = "transcript", prefix: int = 200) -> DataFrame:
     """Runs an expensive step once per (call_id, opening) and shares its result.
 
-    The shuffle carries hashes, not texts.  Equal openings of one call_id are
-    one unit of work by definition; the first in text order is analysed.
+    Equal openings of one call_id are one unit of work by definition; the first in text order is
+    analysed.  Finding it sorts and shuffles the texts of each input partition's first ones; the join
+    back needs the texts by key once more unless the analyses are small enough to broadcast.
     """
     keyed = calls.withColumn("_opening", F.sha2(F.substring(F.col(text), 1, prefix), 256))
     chosen = keyed.groupBy("call_id", "_opening").agg(F.min(text).alias(text))

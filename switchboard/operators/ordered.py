@@ -7,7 +7,7 @@ block needs from the blocks before it is passed on separately:
 
 * ``with_halo`` repeats the last ``n`` rows before a block in front of it, for
   operators that look back a fixed number of rows (previous row, rolling mean);
-* ``with_carry`` joins values folded over all earlier blocks, for running
+* windows over one summary row per block (``earlier_blocks``) fold the blocks before it, for running
   totals.
 
 Both only move one small summary row per block between blocks.
@@ -15,9 +15,9 @@ Both only move one small summary row per block between blocks.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 1024
@@ -75,21 +75,8 @@ def with_halo(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
     return df.withColumn(HALO, F.lit(False)).unionByName(halo, allowMissingColumns=True)
 
 
-def with_carry(df: DataFrame, keys: Sequence[str], partials: Mapping[str, Column],
-               carried: Mapping[str, Column]) -> DataFrame:
-    """Joins values folded over the earlier blocks of a key.
-
-    ``partials`` are aggregates of one block; ``carried`` are expressions over
-    those, already windowed with ``earlier_blocks``.  Null in the first block.
-    """
-    summary = df.groupBy(*keys, BLOCK).agg(*[c.alias(n) for n, c in partials.items()])
-    carry = summary.select(*keys, BLOCK, *[c.alias(n) for n, c in carried.items()])
-    return df.join(carry, [*keys, BLOCK], "left")
-
-
-def earlier_blocks(keys: Sequence[str], last: int | None = None) -> WindowSpec:
-    start = Window.unboundedPreceding if last is None else -last
-    return Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(start, -1)
+def earlier_blocks(keys: Sequence[str]) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def sequence_rows(df: DataFrame, keys: Sequence[str], seq: str, look_back: int,

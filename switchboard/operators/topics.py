@@ -40,11 +40,16 @@ def call_topics(calls: DataFrame, text: str = "transcript", topics: Mapping = R.
 
 
 def train_topics(tokenised: DataFrame, num_topics: int = 10, passes: int = 20, seed: int = 42,
-                 min_docs: int = 2, max_share: float = 0.7, vocabulary: int = 1 << 18) -> PipelineModel | None:
-    """Term counts and an LDA model; None for fewer than three usable documents."""
+                 min_docs: int = 2, max_share: float = 0.7, vocabulary: int | None = None) -> PipelineModel | None:
+    """Term counts and an LDA model; None for fewer than three usable documents.
+
+    All terms count unless ``vocabulary`` asks for the most frequent ones only.
+    """
     usable = tokenised.where(F.size("tokens") > MIN_DOC_TOKENS)
     if usable.select("tokens").limit(MIN_DOCS).count() < MIN_DOCS:
         return None
+    if vocabulary is None:
+        vocabulary = max(1, usable.select(F.explode("tokens")).distinct().count())
     stages = [CountVectorizer(inputCol="tokens", outputCol="counts", minDF=min_docs, maxDF=max_share,
                               vocabSize=vocabulary),
               LDA(k=num_topics, maxIter=passes, seed=seed, optimizer="online", featuresCol="counts")]
@@ -54,12 +59,9 @@ def train_topics(tokenised: DataFrame, num_topics: int = 10, passes: int = 20, s
 def top_terms(model: PipelineModel, n: int = 10) -> DataFrame:
     """(topic, rank, term, weight); as many rows as topics times ``n``."""
     vectoriser, lda = model.stages
-    words = F.array(*[F.lit(w) for w in vectoriser.vocabulary]) if len(vectoriser.vocabulary) < 500 else None
     described = lda.describeTopics(n).select(
         "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
     flat = described.select("topic", "rank", F.col("t.termIndices").alias("i"), F.col("t.termWeights").alias("weight"))
-    if words is not None:
-        return flat.select("topic", "rank", F.get(words, F.col("i")).alias("term"), "weight")
     spark = flat.sparkSession
     used = {r["i"] for r in flat.select("i").distinct().collect()}  # topics * n at most
     names = spark.createDataFrame([(i, vectoriser.vocabulary[i]) for i in sorted(used)], "i int, term string")
@@ -111,6 +113,8 @@ def topic_coherence(tokenised: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def _presence(words: Sequence[str]):
+    if len(words) > 63:
+        raise ValueError("a bit mask holds at most 63 terms of a topic")
     mask = F.lit(0).cast("bigint")
     for i, w in enumerate(words):
         mask = mask.bitwiseOR(F.when(F.array_contains("tokens", w), F.lit(1 << i).cast("bigint"))

@@ -11,22 +11,9 @@ from switchboard.plans import tables as B
 from switchboard.plans.registry import big, num, query
 from switchboard.session import scratch_path
 
-TREES, DEPTH, PASSES, TOPICS = 30, 6, 8, 5
-
-
-_TRAINED: dict = {}
-
-
-def _once(kind, spark, d, train):
-    """A model is trained once per session and folder, however many queries use it."""
-    key = (kind, spark.sparkContext.applicationId, d)
-    if key not in _TRAINED:
-        _TRAINED[key] = train()
-    return _TRAINED[key]
-
 
 def _forecasters(spark, d):
-    return _once("forecast", spark, d, lambda: FC.train_forecasters(B.orders_as_insights(spark, d), trees=TREES, depth=DEPTH))
+    return FC.train_forecasters(B.orders_as_insights(spark, d))
 
 
 @query("train_forecasters")
@@ -54,7 +41,7 @@ _FEATURES = ["sentiment_mean", "call_volume", "urgency_mean", "revenue_sum", "co
 
 
 def _flagged(spark, d):
-    return FC.anomalous_days(D.daily_rollup(B.orders_as_insights(spark, d)), _FEATURES, trees=50)
+    return FC.anomalous_days(D.daily_rollup(B.orders_as_insights(spark, d)), _FEATURES)
 
 
 @query("anomalous_days")
@@ -79,7 +66,7 @@ def _tokenised(spark, d):
 
 
 def _topic_model(spark, d):
-    return _once("topics", spark, d, lambda: TO.train_topics(_tokenised(spark, d), TOPICS, PASSES))
+    return TO.train_topics(_tokenised(spark, d))
 
 
 @query("train_topics")

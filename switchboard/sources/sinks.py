@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,10 +138,6 @@ def staff_performance_rows(reports: DataFrame, staff: DataFrame) -> DataFrame:
         F.array_join("areas_for_improvement", "; ").alias("coaching_notes"), F.col("end_time").alias("ended_at"))
 
 
-def append_table(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
-
-
 def quarantine_rows(failed: DataFrame, error: Column, at: Column, text: str = "transcript", keep: int = 200) -> DataFrame:
     """call_id, error, time and an excerpt for the operator's log."""
     body = F.col(text)
@@ -154,7 +148,3 @@ def quarantine_rows(failed: DataFrame, error: Column, at: Column, text: str = "t
 def latest_results(df: DataFrame, n: int = 100) -> DataFrame:
     """The ``n`` newest results (a report of fixed length)."""
     return df.orderBy(F.desc("ts"), F.desc("call_id")).limit(n)
-
-
-def join_path(*parts: str) -> str:
-    return os.path.join(*parts)

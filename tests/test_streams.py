@@ -10,7 +10,7 @@ from switchboard.streaming import coaching as SCO
 from switchboard.streaming import monitoring as SM
 from switchboard.streaming import tables as ST
 from tests.conftest import rows
-from tests.talks import CLINIC, chunks
+from tests.talks import BILLING, chunks
 from tests.test_coaching import random_talk
 
 CHUNK = "call_id string, seq int, ts timestamp, speaker string, text string, staff_id string"
@@ -34,14 +34,14 @@ def test_stream_equals_batch_over_several_batches(spark, tmp_path, profile):
 
 
 def test_end_marker_writes_the_report(spark, tmp_path):
-    talk = chunks(spark, CLINIC + [("c1", 4, "end", ""), ("c9", 0, "staff", "hello")])
+    talk = chunks(spark, BILLING + [("c1", 4, "end", ""), ("c9", 0, "staff", "hello")])
     path, responses, reports, staff = (str(tmp_path / n) for n in ("chunks", "responses", "reports", "staff"))
     talk.coalesce(1).write.parquet(path)
     sink = SCO.coaching_sink(responses, reports, spark.createDataFrame([("c1", "staff_1")], "call_id string, staff_id string"), staff)
     ST.run_batches(SCO.coach_stream(ST.table_stream(spark, path, CHUNK)), sink, "end")
     assert spark.read.parquet(responses).count() == 5
     report = spark.read.parquet(reports).collect()
-    want = CO.final_report(CO.coach_batch(chunks(spark, CLINIC))).first()
+    want = CO.final_report(CO.coach_batch(chunks(spark, BILLING))).first()
     assert [r["call_id"] for r in report] == ["c1"] and report[0]["overall"] == pytest.approx(want["overall"])
     assert spark.read.parquet(staff).first()["staff_id"] == "staff_1"
 
@@ -49,7 +49,7 @@ def test_end_marker_writes_the_report(spark, tmp_path):
 def test_silence_ends_a_session(spark, tmp_path):
     path = str(tmp_path / "chunks")
     late = chunks(spark, [("c3", 0, "staff", "much later")]).withColumn("ts", F.col("ts") + F.expr("interval 5 hours"))
-    chunks(spark, CLINIC).coalesce(1).write.parquet(path)
+    chunks(spark, BILLING).coalesce(1).write.parquet(path)
     late.coalesce(1).write.mode("append").parquet(path)
     stream = SCO.coach_stream(ST.table_stream(spark, path, CHUNK, max_files=1), gap_seconds=1800)
     out = ST.run_available(stream, "silence")
