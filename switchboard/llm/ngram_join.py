@@ -402,3 +402,23 @@ def one_per_component(docs: DataFrame, size: int = 5, percent: int = 80, id_colu
     place = F.row_number().over(Window.partitionBy(id_column).orderBy(F.col(text_column).asc_nulls_last()))
     once = docs.join(kept, F.col(id_column) == F.col("_kept"), "left_semi").withColumn("_place", place).where("_place = 1").drop("_place")
     return once.union(docs.where(F.col(id_column).isNull()))
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+half AS (
+  SELECT x, y FROM pair JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * o >= 90 * (p.n + q.n - o)),
+link AS (SELECT x, y FROM half UNION ALL SELECT y, x FROM half),
+reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, l.y FROM reach r JOIN link l ON l.x = r.other),
+named AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id),
+degree AS (SELECT x AS doc_id, count(*) AS n_links FROM link GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN named ON named.doc_id = d.doc_id LEFT JOIN degree ON degree.doc_id = d.doc_id
+"""

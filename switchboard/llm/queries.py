@@ -28,6 +28,9 @@ def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, folder, "documents"), size=3, percent=90)
 
 
+ORACLES["op8_ngram_jaccard_join"] = ngram_join.ORACLE
+
+
 @query
 def op1_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -99,6 +102,9 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, folder, "documents"), with_text=False)
 
 
+ORACLES["op2_substring_dedup"] = substrings.ORACLE
+
+
 @query
 def op5_html_templates(spark: SparkSession, folder: str) -> DataFrame:
     return templates.extract_pages(table(spark, folder, "pages"))

@@ -272,3 +272,19 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
         F.collect_set(F.when(F.col("kind") == COVERED, F.col("code"))).alias("covered"))
     schema = "doc long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return by_doc(texts, lists, "left").mapInArrow(cleaned(with_text), schema).withColumnRenamed("doc", id_column)
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+repeated AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS least FROM windows) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + o AS p FROM repeated, range(13) t(o)),
+word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+kept AS (
+  SELECT word.doc_id, count(*) AS n, count(gone.p) AS r, string_agg(CASE WHEN gone.p IS NULL THEN x END, ' ' ORDER BY word.p) AS k
+  FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.p = word.p GROUP BY word.doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(r, 0)::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
