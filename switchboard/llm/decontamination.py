@@ -112,3 +112,42 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, id_column: str = "d
     """The rows of ``docs`` whose id isn't contaminated; rows with a null id stay only if no such row is."""
     bad = contaminated(docs, benchmark, id_column, text_column).select(F.col(id_column).alias("_bad"))
     return docs.join(bad, F.col(id_column).cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+
+
+def _seed_sql(words: str, place: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {{id}}, {place}, {k} AS mask, " + " || ' ' || ".join(f"{words}[{place} + {i}]" for i in mask) + " AS seed FROM {table}" for k, mask in enumerate(MASKS))
+
+
+ORACLE = f"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(text), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (
+  SELECT min(item_id) AS item_id, w FROM (
+    SELECT item_id, list_filter(string_split_regex(lower(text), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM benchmark)
+  WHERE len(w) >= {SPAN} GROUP BY w),
+dp AS (SELECT doc_id, w, unnest(range(1, len(w) - {SPAN - 2})) AS i FROM d WHERE len(w) >= {SPAN}),
+bp AS (SELECT item_id, w, unnest(range(1, len(w) - {SPAN - 2})) AS j FROM b),
+ds AS ({_seed_sql("w", "i").format(id="doc_id", table="dp")}),
+bs AS ({_seed_sql("w", "j").format(id="item_id", table="bp")}),
+hit AS (SELECT DISTINCT doc_id, item_id, i - j AS shift FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed),
+step AS (
+  SELECT hit.*, k, CASE WHEN d.w[k + shift] = b.w[k] THEN 1 ELSE -1 END AS gain
+  FROM hit JOIN d ON d.doc_id = hit.doc_id JOIN b ON b.item_id = hit.item_id,
+    LATERAL (SELECT unnest(range(greatest(1, 1 - shift), least(len(b.w), len(d.w) - shift) + 1)) AS k)),
+total AS (SELECT *, sum(gain) OVER (PARTITION BY doc_id, item_id, shift ORDER BY k) AS p FROM step),
+low AS (
+  SELECT *, least(0, coalesce(min(p) OVER (PARTITION BY doc_id, item_id, shift ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS m,
+    min(k) OVER (PARTITION BY doc_id, item_id, shift) AS k0 FROM total),
+top AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY p - m DESC, k) AS r FROM low),
+stretch AS (
+  SELECT t.doc_id, t.item_id, (t.p - t.m)::BIGINT AS score, t.k - 1 AS last,
+    coalesce(max(s.k) FILTER (WHERE s.p = t.m), t.k0 - 1) AS first
+  FROM top t LEFT JOIN total s ON s.doc_id = t.doc_id AND s.item_id = t.item_id AND s.shift = t.shift AND s.k < t.k
+  WHERE t.r = 1 AND t.p - t.m >= {MIN_SCORE} GROUP BY t.doc_id, t.item_id, t.shift, t.p, t.m, t.k, t.k0),
+each AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, first, last DESC) AS r FROM stretch),
+best AS (
+  SELECT *, count(*) OVER (PARTITION BY doc_id) AS n_items, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id, first, last DESC) AS q
+  FROM each WHERE r = 1)
+SELECT doc_id, item_id, score, first::BIGINT AS first_word, last::BIGINT AS last_word, n_items FROM best WHERE q = 1
+"""

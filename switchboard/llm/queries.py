@@ -36,6 +36,9 @@ def op1_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+ORACLES["op1_benchmark_decontamination"] = decontamination.ORACLE
+
+
 @query
 def op6_mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
     planned = mixing.copies_of(table(spark, folder, "documents").select("doc_id", "text", "source"))
