@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,17 +74,17 @@ def medical_terms(text: Column, terms: Sequence[str] | None = None,
     return F.array_compact(F.array(*out)).cast(f"array<{ENTITY}>")
 
 
+def phrase_patterns(terms: Sequence[str] | None = None) -> list[str]:
+    """One regex for the terms of several words and one for single words, on word edges."""
+    terms = list(terms if terms is not None else all_terms())
+    groups = [[t for t in terms if " " in t], [t for t in terms if " " not in t]]
+    bodies = ["|".join(re.escape(t) for t in sorted(group, key=len, reverse=True)) for group in groups if group]
+    return [rf"(?<![\p{{L}}\p{{N}}_])(?:{body})(?![\p{{L}}\p{{N}}_])" for body in bodies]
+
+
 def phrase_terms(text: Column, terms: Sequence[str] | None = None) -> Column:
     """Terms on word edges, every occurrence, case kept; longer terms first."""
-    terms = list(terms if terms is not None else all_terms())
-    several = [t for t in terms if " " in t]
-    single = [t for t in terms if " " not in t]
-    parts = []
-    for group in (several, single):
-        if group:
-            body = "|".join(re.escape(t) for t in sorted(group, key=len, reverse=True))
-            parts.append(hits(text, rf"(?<![\p{{L}}\p{{N}}_])(?:{body})(?![\p{{L}}\p{{N}}_])"))
-    return F.concat(*parts)
+    return F.concat(*[hits(text, p) for p in phrase_patterns(terms)])
 
 
 def token_entities(text: Column, patterns: Mapping[str, str] = R.TOKEN_PATTERNS) -> Column:
@@ -97,33 +96,32 @@ def token_entities(text: Column, patterns: Mapping[str, str] = R.TOKEN_PATTERNS)
     return F.concat(*[labelled(name, p) for name, p in patterns.items()])
 
 
-def located_entities(text: Column, patterns: Iterable[tuple[str, str, float]],
-                     window: int = R.CONTEXT_CHARS) -> Column:
-    """Every regex match with its offsets and surroundings.
+def located(text: Column, pattern: str, label: str, confidence: float, window: int = R.CONTEXT_CHARS) -> Column:
+    """Every match of one regex with its offsets and surroundings.
 
-    No built-in reports the position of the k-th match, so this one runs as an
-    Arrow function; texts that cannot match are screened out before and never
-    leave the JVM.
+    Splitting at the pattern gives what lies between the matches, so a match begins where
+    the texts and matches before it end: one fold, without leaving the JVM.
     """
-    specs = [(label, pattern, conf) for label, pattern, conf in patterns]
+    found = hits(text, pattern)
+    between = F.split(text, "(?U)" + pattern, -1)
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{ENTITY}>").alias("out"))
 
-    @F.pandas_udf(f"array<{ENTITY}>")
-    def locate(texts: pd.Series) -> pd.Series:
-        compiled = [(label, re.compile(p), conf) for label, p, conf in specs]
+    def add(state: Column, pair: Column) -> Column:
+        start = state["at"] + F.length(pair["before"])
+        end = start + F.length(pair["hit"])
+        entity = F.struct(pair["hit"].alias("text"), F.lit(label).alias("label"), start.alias("start"), end.alias("end"),
+                          F.lit(confidence).alias("confidence"), _context(text, start, end, window).alias("context"))
+        return F.struct(end.alias("at"), F.concat(state["out"], F.array(entity)).cast(f"array<{ENTITY}>").alias("out"))
 
-        def one(t):
-            return None if t is None else [
-                {"text": m.group(), "label": label, "start": m.start(), "end": m.end(),
-                 "confidence": conf, "context": t[max(0, m.start() - window):m.end() + window]}
-                for label, rx, conf in compiled for m in rx.finditer(t)]
+    pairs = F.arrays_zip(found.alias("hit"), F.slice(between, F.lit(1), F.size(found)).alias("before"))
+    entities = F.aggregate(pairs, empty, add, lambda state: state["out"])
+    # most texts match nothing and are only scanned once
+    return F.when(F.rlike(text, F.lit("(?U)" + pattern)), entities).otherwise(F.array().cast(f"array<{ENTITY}>"))
 
-        return texts.map(one)
 
-    screen = None
-    for _, pattern, _ in specs:
-        test = F.rlike(text, F.lit("(?U)" + pattern))
-        screen = test if screen is None else screen | test
-    return F.coalesce(locate(F.when(screen, text)), F.array().cast(f"array<{ENTITY}>"))
+def located_entities(text: Column, patterns: Iterable[tuple[str, str, float]], window: int = R.CONTEXT_CHARS) -> Column:
+    """Matches of several (label, regex, confidence), pattern by pattern."""
+    return F.concat(*[located(text, pattern, label, confidence, window) for label, pattern, confidence in patterns])
 
 
 def phone_entities(text: Column) -> Column:
@@ -135,15 +133,23 @@ def email_entities(text: Column) -> Column:
 
 
 def contact_entities(text: Column) -> Column:
-    """Phones, then e-mails, in one pass."""
-    return located_entities(
-        text, [("PHONE", p, R.ENTITY_CONFIDENCE["PHONE"]) for p in R.PHONE_PATTERNS]
-        + [("EMAIL", R.EMAIL_PATTERN, R.ENTITY_CONFIDENCE["EMAIL"])])
+    """Phones, then e-mails."""
+    return F.concat(phone_entities(text), email_entities(text))
+
+
+def located_tokens(text: Column, patterns: Mapping[str, str] = R.TOKEN_PATTERNS) -> Column:
+    """Token-shape matches with offsets and surroundings."""
+    return located_entities(text, [(name, p, R.ENTITY_CONFIDENCE["TOKEN"]) for name, p in patterns.items()])
+
+
+def located_phrases(text: Column, terms: Sequence[str] | None = None) -> Column:
+    """Terms on word edges with offsets and surroundings; longer terms first."""
+    return located_entities(text, [("PHRASE", p, R.ENTITY_CONFIDENCE["PHRASE"]) for p in phrase_patterns(terms)])
 
 
 def all_entities(text: Column) -> Column:
-    """Contacts and medical terms of a text, repeats kept."""
-    return F.concat(contact_entities(text), medical_terms(text))
+    """Contacts, medical terms, token shapes and phrases of a text, repeats kept."""
+    return F.concat(contact_entities(text), medical_terms(text), located_tokens(text), located_phrases(text))
 
 
 def entity_rows(df: DataFrame, key: str, text: str) -> DataFrame:

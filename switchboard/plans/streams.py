@@ -49,7 +49,7 @@ def call_stream(spark, d):
 def analyse_stream(spark, d):
     from switchboard.plans.text import RULES
 
-    stream = SC.analyse_stream(_calls(spark, d), lexicon=B.SENTIMENT, topics=B.TOPICS, intents=RULES, terms=B.TERMS)
+    stream = SC.analyse_stream(_calls(spark, d), spread=spark.sparkContext.defaultParallelism, lexicon=B.SENTIMENT, topics=B.TOPICS, intents=RULES, terms=B.TERMS)
     out = ST.run_available(stream.select("call_id", "priority", "dominant_topic", "primary_intent", "key_insights"), "analysed")
     return out.select("call_id", "priority", F.col("dominant_topic").alias("topic"), F.col("primary_intent").alias("intent"),
                       joined("key_insights").alias("key_insights"))

@@ -252,7 +252,15 @@ def phone_entities(spark, d):
     return found.where(F.size("e") > 0).select("call_id", joined(F.transform("e", lambda x: x["text"])).alias("phones"))
 
 
-@query("email_entities")
+_EMAIL = R.EMAIL_PATTERN
+_EMAIL_AT = "(coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))"
+
+
+@query("email_entities", f"WITH {B.CALLS}, m AS (SELECT call_id, transcript, regexp_extract_all(transcript, {q(_EMAIL)}) AS hits, string_split_regex(transcript, {q(_EMAIL)}) AS gaps "
+       f"FROM calls WHERE regexp_matches(transcript, {q(_EMAIL)})), e AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m), "
+       f"p AS (SELECT call_id, transcript, hits[i] AS text, CAST({_EMAIL_AT} AS INT) AS start FROM e) "
+       f"SELECT call_id, text, 'EMAIL' AS label, start, CAST(start + length(text) AS INT) AS \"end\", CAST({R.ENTITY_CONFIDENCE['EMAIL']} AS DOUBLE) AS confidence, "
+       "substring(transcript, greatest(start - 50, 0) + 1, start + length(text) + 50 - greatest(start - 50, 0)) AS context FROM p")
 def email_entities(spark, d):
     found = B.calls(spark, d).select("call_id", E.email_entities(F.col("transcript")).alias("e"))
     return found.where(F.size("e") > 0).select("call_id", F.inline("e"))

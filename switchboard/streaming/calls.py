@@ -11,8 +11,14 @@ from switchboard.operators import insights as I
 from switchboard.sources import sinks
 
 
-def analyse_stream(calls: DataFrame, **options) -> DataFrame:
-    """Accepted calls with all engines' results; the batch projection, unchanged."""
+def analyse_stream(calls: DataFrame, spread: int | None = None, **options) -> DataFrame:
+    """Accepted calls with all engines' results; the batch projection, unchanged.
+
+    ``spread`` deals the calls of a batch out to so many tasks first, for sources whose few
+    large files would be read by as few.
+    """
+    if spread is not None:
+        calls = calls.repartition(spread)
     return I.analyse_calls(I.acceptable_call(calls).where(F.col("status") == "accepted"), **options)
 
 

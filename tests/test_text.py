@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +140,18 @@ def test_topic_label(spark):
 def test_tokens(spark):
     assert one(spark, "Um, the Tooth-ache x2 is really um bad été", T.tokens(F.col("transcript"), TP.stop_words())) == [
         "tooth", "ache", "really", "bad", "été"]
+
+
+def test_offsets_equal_a_regex_walk(spark):
+    rng = random.Random(1)
+    parts = ["555-123-4567", "(555) 123-4567", "1555-123-4567", "jo@x.org", "a.b@c-d.co", "call", "é", "at 10 am", "root canal", "crown", " ", "x", "."]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(1, 12))) for _ in range(120)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    specs = [("PHONE", p) for p in R.PHONE_PATTERNS] + [("EMAIL", R.EMAIL_PATTERN)]
+    for r in df.select("i", E.contact_entities(F.col("t")).alias("e"), E.all_entities(F.col("t")).alias("a")).collect():
+        t = texts[r["i"]]
+        want = [] if t is None else [(m.group(), label, m.start(), m.end(), t[max(0, m.start() - 50):m.end() + 50])
+                                     for label, p in specs for m in re.finditer(p, t)]
+        assert [(x["text"], x["label"], x["start"], x["end"], x["context"]) for x in r["e"]] == want
+        phrases = [(x["text"], x["start"]) for x in r["a"] if x["label"] == "PHRASE" and x["text"] in ("root canal", "crown")]
+        assert phrases == ([] if t is None else [(m.group(), m.start()) for w in ("root canal", "crown") for m in re.finditer(rf"(?<!\w){w}(?!\w)", t)])
