@@ -13,6 +13,9 @@ commits each task's files once, so a lost executor leaves no part of a block beh
 
 from __future__ import annotations
 
+import os
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -23,70 +26,124 @@ from pyspark.sql import functions as F
 
 from switchboard.llm import words as W
 
-#: distinct words whose ids a task remembers before it starts anew
-KNOWN_WORDS = 1_000_000
+#: distinct pieces whose ids a worker remembers before it starts anew
+KNOWN_PIECES = 4_000_000
 #: ids of a block, but for a single longer document
 BLOCK_IDS = 1 << 20
 #: bytes of text of a shard
 SHARD_BYTES = 32 << 20
 
 
+class Known:
+    """Ids of pieces of text seen before, by the piece's hash.
+
+    ``main`` and the small ``recent`` are sorted (hash, first id, number of ids); the ids themselves are only appended.
+    """
+
+    def __init__(self) -> None:
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        self.main, self.recent = none, none
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def __len__(self) -> int:
+        return len(self.main[0]) + len(self.recent[0])
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First id and number of ids of each hash; -1 if it isn't known."""
+        begin, size = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
+        for part in (self.main, self.recent):
+            if len(part[0]):
+                place = np.minimum(np.searchsorted(part[0], hashes), len(part[0]) - 1)
+                has = part[0][place] == hashes
+                begin[has], size[has] = part[1][place[has]], part[2][place[has]]
+        return begin, size
+
+    def add(self, hashes: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """New pieces in order of their hashes."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.recent = inserted(self.recent, (hashes, self.used + np.cumsum(size) - size, size))
+        self.used += len(ids)
+        if len(self.recent[0]) > 100_000:
+            self.main, self.recent = inserted(self.main, self.recent), tuple(x[:0] for x in self.recent)
+
+
+def inserted(table: tuple, rows: tuple) -> tuple:
+    place = np.searchsorted(table[0], rows[0])
+    return tuple(np.insert(a, place, b) for a, b in zip(table, rows, strict=True))
+
+
+def of_this_process(name: str, make):
+    """One object for all tasks that a worker process runs."""
+    shelf = sys.modules.setdefault("switchboard_worker_shelf", types.ModuleType("switchboard_worker_shelf"))
+    if not hasattr(shelf, name):
+        setattr(shelf, name, make())
+    return getattr(shelf, name)
+
+
 class Encoder:
-    """Whole texts to ids, one library call for the new distinct words of many texts.
+    """Whole texts to ids; with ``by_word`` one library call encodes the new distinct pieces of many texts.
 
-    Only for tokenizers that drop white space and split at it, so that the ids of a text are those of its words
-    (``word_bpe_49k``); for others use ``by_word=False``, which encodes text by text.
+    That is only for tokenizers that split at white space and drop it, ignore case, and
+    split between a letter and another ASCII character that isn't an apostrophe (``word_bpe_49k``): there the ids of a
+    text are those of its pieces.  Others encode text by text.  A worker keeps the ids of
+    ``KNOWN_PIECES`` pieces between its tasks.
     """
 
     def __init__(self, path: str, by_word: bool) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
+        self.by_word, self.name = by_word, f"known {path}"
+        self.tokenizer = of_this_process(f"tokenizer {path}", lambda: Tokenizer.from_file(path))
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.begin = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def learn(self, hashes: np.ndarray, strings: list[str]) -> None:
-        """Adds new words; ``known`` stays sorted by hash."""
-        found = [e.ids for e in self.tokenizer.encode_batch(strings, add_special_tokens=False)]
-        size = np.array([len(x) for x in found], np.int64)
-        ids = np.array([i for x in found for i in x], np.uint32)
-        known = np.concatenate([self.known, hashes])
-        begin = np.concatenate([self.begin[:-1], self.begin[-1] + np.cumsum(size) - size])
-        length = np.concatenate([np.diff(self.begin), size])
-        order = np.argsort(known, kind="stable")
-        all_ids = np.concatenate([self.ids, ids])
-        self.known, length = known[order], length[order]
-        self.ids = all_ids[ranges(begin[order], length)]
-        self.begin = np.concatenate([[0], np.cumsum(length)])
+
+    def ids_of(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all strings and the number of each; a few thousand at a time, as the library's results are large."""
+        ids, size = [np.zeros(0, np.uint32)], []
+        for lo in range(0, len(strings), 4096):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(strings[lo:lo + 4096], add_special_tokens=False)]
+            size += map(len, found)
+            ids.append(np.fromiter((i for x in found for i in x), np.uint32))
+        return np.concatenate(ids), np.array(size, np.int64)
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each text."""
+        raw = data.tobytes()
         if not self.by_word:
-            raw = data.tobytes()
-            found = [e.ids for e in self.tokenizer.encode_batch(
-                [raw[i:j].decode() for i, j in zip(at[:-1], at[1:], strict=True)], add_special_tokens=False)]
-            return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
-        w = W.words(data, at)
-        if not len(w.row):
+            return self.ids_of([raw[i:j].decode() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+        cuts = None
+        if b"<|" not in raw:  # else there may be special tokens, which are case-sensitive
+            data = W.lower(data)
+            raw, cuts = data.tobytes(), piece_borders(data)
+        row, start, end = W.spans(W.space(data), at, cuts)
+        if not len(row):
             return np.zeros(0, np.uint32), np.zeros(len(at) - 1, np.int64)
-        distinct, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > KNOWN_WORDS:
-            self.forget()
-        place = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
-        new = self.known[place] != distinct if len(self.known) else np.ones(len(distinct), bool)
+        hashes, first, back = np.unique(W.hash_spans(data, start, end), return_index=True, return_inverse=True)
+        known = of_this_process(self.name, Known)
+        if len(known) + len(hashes) > KNOWN_PIECES:
+            known.__init__()
+        begin, size = known.find(hashes)
+        new = begin < 0
         if new.any():
-            raw = data.tobytes()
             own = first[new]
-            self.learn(distinct[new], [raw[i:j].decode() for i, j in zip(w.start[own].tolist(), w.end[own].tolist(), strict=True)])
-        place = np.searchsorted(self.known, distinct)[back]
-        size = (self.begin[1:] - self.begin[:-1])[place]
-        counts = np.bincount(w.row, size, len(at) - 1).astype(np.int64)
-        return self.ids[ranges(self.begin[place], size)], counts
+            ids, count = self.ids_of([raw[i:j].decode() for i, j in zip(start[own].tolist(), end[own].tolist(), strict=True)])
+            begin[new], size[new] = known.used + np.cumsum(count) - count, count
+            known.add(hashes[new], count, ids)
+        size = size[back]
+        return known.ids[ranges(begin[back], size)], np.bincount(row, size, len(at) - 1).astype(np.int64)
+
+
+def piece_borders(data: np.ndarray) -> np.ndarray:
+    """Places between an ASCII letter and an ASCII character that is neither letter nor apostrophe."""
+    kind = np.full(256, 2, np.uint8)
+    kind[97:123] = 1
+    kind[65:91] = 1
+    kind[ord("'")] = 0
+    kind[128:] = 0
+    of = kind[data]
+    return np.flatnonzero((of[1:] | of[:-1]) == 3) + 1
 
 
 def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: bytes of text handled together; a single longer text is handled alone
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 ODD = 0x9E3779B97F4A7C15
 STEP = 0xBF58476D1CE4E5B9
 M64 = (1 << 64) - 1
@@ -74,8 +74,8 @@ def space(data: np.ndarray) -> np.ndarray:
     return (data == 32) | ((data >= 9) & (data <= 13))
 
 
-def spans(blank: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start and end of each run of bytes that aren't ``blank``; runs end with their row."""
+def spans(blank: np.ndarray, at: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of each run of bytes that aren't ``blank``; runs end with their row, and at ``cuts``."""
     n = len(blank)
     if n == 0:
         none = np.zeros(0, np.int64)
@@ -83,6 +83,8 @@ def spans(blank: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     first = np.ones(n + 1, bool)
     first[1:n] = blank[:-1]
     first[at[at < n]] = True
+    if cuts is not None:
+        first[cuts] = True
     start = np.flatnonzero(first[:n] & ~blank)
     last = first[1:]  # the next byte begins something
     last[:-1] |= blank[1:]
