@@ -14,12 +14,17 @@ from switchboard.streaming.tables import use_rocksdb
 
 
 class LastKept(StatefulProcessor):
-    """Keeps an alert unless an equal one was kept less than a window ago."""
+    """Keeps an alert unless an equal one was kept less than a window ago.
+
+    Once the watermark is a window past the last kept alert, that one no longer matters
+    and its state goes.
+    """
 
     def __init__(self, window_us: int, columns: list[str]):
         self.window_us, self.columns = window_us, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -28,11 +33,21 @@ class LastKept(StatefulProcessor):
         last = None if stored is None else int(stored[0])
         keep, last = keep_greedily(batch["us"].to_numpy(), batch["resolved"].to_numpy(dtype=bool), last,
                                    self.window_us)
-        if last is not None:
+        if last is not None and (stored is None or last != stored[0]):
+            if stored is not None:
+                self.handle.deleteTimer(self._over(int(stored[0])))
             self.last.update((int(last),))
+            self.handle.registerTimer(self._over(int(last)))
         if keep.any():
             yield batch.loc[keep, self.columns]
 
+    def _over(self, last: int) -> int:
+        return (last + self.window_us) // 1000 + 1
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
@@ -45,7 +60,7 @@ def alert_stream(alerts: DataFrame, seconds: int = 3600, delay: str = "10 minute
         "alert_id", F.unix_micros("ts").alias("us"), "severity", "component", "message", "resolved")
     kept = rows.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=LastKept(seconds * 1_000_000, rows.columns), outputStructType=rows.schema,
-        outputMode="Append", timeMode="None")
+        outputMode="Append", timeMode="EventTime")
     return kept.withColumn("ts", F.timestamp_micros("us")).drop("us")
 
 
@@ -60,8 +75,11 @@ class Silence(StatefulProcessor):
         self.seen = handle.getValueState("seen", "us long, timer long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("us")
-        last = batch.iloc[-1]
+        last = None
+        for batch in rows:  # only the latest row counts
+            latest = batch.iloc[batch["us"].to_numpy().argmax()]
+            if last is None or latest["us"] >= last["us"]:
+                last = latest
         stored = self.seen.get()
         if stored is not None:
             self.handle.deleteTimer(stored[1])

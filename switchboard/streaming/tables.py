@@ -20,8 +20,8 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
-def table_stream(spark: SparkSession, path: str, schema: str, max_files: int | None = None) -> DataFrame:
-    """A parquet folder or file as a stream of its files.
+def table_stream(spark: SparkSession, path: str, schema: str, max_files: int | None = 16) -> DataFrame:
+    """A parquet folder or file as a stream of its files, ``max_files`` to a batch, which bounds what a key gets at once.
 
     The stream source takes a single file only through a pattern, so the path
     is given as one that matches itself; that suits folders as well.
