@@ -148,9 +148,11 @@ def _grow(tree: int, data: np.ndarray, seed: int) -> list[tuple]:
         nodes.append([tree, me, -1, 0.0, -1, -1, len(rows)])
         if parent is not None:
             nodes[parent][side] = me
+        if depth >= limit or len(rows) <= 1:  # a cut at the lowest value leaves one side empty
+            continue
         low, high = data[rows].min(axis=0), data[rows].max(axis=0)
         usable = np.flatnonzero(high > low)
-        if depth >= limit or len(rows) <= 1 or len(usable) == 0:
+        if len(usable) == 0:
             continue
         f = int(rng.choice(usable))
         cut = float(rng.uniform(low[f], high[f]))
