@@ -127,9 +127,11 @@ def save_and_load_topics(spark, d):
 
 @query("intent_model")
 def intent_model(spark, d):
-    """A classifier trained on the labelled documents."""
+    """A classifier trained on four fifths of the labelled documents, held against the rest."""
     labelled = TO.tokenise(B.calls(spark, d)).join(
         B.read(spark, d, "labels").select(F.col("doc_id").cast("string").alias("call_id"), F.col("quality").cast("double").alias("quality")), "call_id")
-    model = TO.train_intent_model(labelled.select("call_id", "tokens", "quality"), "quality")
-    predicted = TO.predict_intent(model, labelled.select("call_id", "tokens", "quality"))
+    labelled = labelled.select("call_id", "tokens", "quality")
+    held_out = F.pmod(F.xxhash64("call_id"), F.lit(5)) == 0
+    model = TO.train_intent_model(labelled.where(~held_out), "quality")
+    predicted = TO.predict_intent(model, labelled.where(held_out))
     return predicted.groupBy("quality", "prediction").agg(F.count("*").alias("calls"))
