@@ -278,13 +278,13 @@ def divide_skip(n: np.ndarray, lists: Lists, q: int, percent: int) -> tuple[np.n
     order = np.argsort(length, kind="stable")
     cut = len(order) - longest
     short, long = order[:cut], order[cut:]
-    # merge: all entries of the short lists together, in order of the document
+    # merge: documents are counted over all entries of the short lists
     total = int(length[short].sum())
     shift = np.repeat(begin[short] - (np.cumsum(length[short]) - length[short]), length[short])
-    merged = np.sort(lists.doc[np.arange(total) + shift], kind="stable")
-    found, count = np.unique(merged, return_counts=True)
-    keep = (found < q) & (count >= need - longest) & (100 * n[found] >= percent * n[q]) & (100 * n[q] >= percent * n[found])
-    found, count = found[keep], count[keep]
+    merged = np.bincount(lists.doc[np.arange(total) + shift], minlength=len(n))[:q]
+    found = np.flatnonzero(merged >= max(need - longest, 1))
+    found = found[(100 * n[found] >= percent * n[q]) & (100 * n[q] >= percent * n[found])]
+    count = merged[found]
     if len(found) and len(long):
         probe = own[long][:, None] * len(n) + found[None, :]
         place = np.minimum(np.searchsorted(lists.entries, probe), len(lists.entries) - 1)
