@@ -41,32 +41,36 @@ NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", r
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                    "head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul").split())
-ASIDE = frozenset("head title nav aside footer form script style noscript template iframe button select option textarea menu dialog svg object".split())
+ASIDE = frozenset("head title nav aside footer script style noscript template iframe button select option textarea menu dialog svg object".split())
 MAIN = frozenset("article main".split())
 WHOLE = frozenset("html body".split()) | MAIN
 CONTAINERS = frozenset("html body div section center table tbody tr td fieldset details".split()) | MAIN
 ASIDE_WORDS = frozenset(("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header "
                          "login menu modal nav navbar navigation newsletter notice popup promo related search share sharing sidebar social sponsor sponsored "
                          "subscribe toolbar widget respond replies").split())
+#: asides that never hold an article, however long they are; elements that no name makes an aside inside an article; marks of other elements' names
+COMMENT_WORDS = frozenset("comment comments disqus respond replies".split())
+TITLES = frozenset("h1 h2 h3 h4 h5 h6 header hgroup section".split())
+NOT_OWN = frozenset("has no with without".split())
 
 
 class Tag:
-    """An opening or closing tag; ``key`` is its token."""
+    """An opening or closing tag; ``key`` is its token, ``words`` those of its names that aside elements have."""
 
-    __slots__ = ("aside", "close", "key", "name")
+    __slots__ = ("close", "key", "name", "words")
 
     def __init__(self, close: bool, name: str, attributes: str) -> None:
         self.close, self.name = close, name
-        words, parts = [], []
+        words, parts = [], set()
         if attributes and not close:
             for _, value in NAMED.findall(attributes):
                 words += value.strip("\"'").lower().split()
             for word in words:
                 own = re.split(r"[^a-z]+", word)
-                if own[0] not in ("has", "no", "with", "without"):
-                    parts += own
+                if own[0] not in NOT_OWN:
+                    parts.update(w for before, w in zip(["", *own], own) if before not in NOT_OWN)
         self.key = ("</" if close else "<") + name + "".join(f".{w}" for w in words if not any(c.isdigit() for c in w))
-        self.aside = name in ASIDE or (name not in WHOLE and any(w in ASIDE_WORDS for w in parts))
+        self.words = parts & ASIDE_WORDS if parts and name not in WHOLE else frozenset()
 
 
 def tokens(page: str) -> Iterator[Tag | str]:
@@ -142,34 +146,51 @@ def host_templates(pages: DataFrame) -> DataFrame:
 
 
 class Element:
-    """An open element, with the template elements around it."""
+    """An open element: asides by name around it, the article it is in, its node."""
 
-    __slots__ = ("aside", "main", "name", "number")
+    __slots__ = ("hard", "main", "name", "node")
 
-    def __init__(self, name: str, aside: bool, main: bool, number: int) -> None:
-        self.name, self.aside, self.main, self.number = name, aside, main, number
+    def __init__(self, name: str, hard: int, main: int, node: int) -> None:
+        self.name, self.hard, self.main, self.node = name, hard, main, node
+
+
+class Main:
+    """An article or main element: its node, asides by name around it, the article around it (-1: none),
+    whether a form or an element named as an aside stands between the two, and characters of text."""
+
+    __slots__ = ("beside", "hard", "name", "node", "outer", "size")
+
+    def __init__(self, name: str, node: int, hard: int, outer: int, beside: bool) -> None:
+        self.name, self.node, self.hard, self.outer, self.beside, self.size = name, node, hard, outer, beside, 0
 
 
 def main_text(page: str, template: frozenset[int] | None) -> str:
-    """The blocks of the article, joined by line breaks; without a template every tag counts as one of it."""
+    """The blocks of the article, joined by line breaks; without a template every tag counts as one of it.
+
+    What may be an aside (a form, a header, or a class, id or role of ``ASIDE_WORDS``) never is one if it holds most of
+    the text around it, and never for an article inside it.  Inside an article such names count only for elements of the host's template.
+    """
     items = list(tokens(page))
     keys = key_hash([t.key if isinstance(t, Tag) else "=" + plain(t) for t in items]).view(np.int64).tolist()
     fixed = [template is None or k in template for k in keys]
     stack: list[Element] = []
-    pieces: list[tuple[int, str | None, int]] = []  # of slots: nesting (a template element's number), text or None at a block's border, characters
-    parents: list[int] = [-1]
-    mains: list[int] = []
+    pieces: list[tuple[int, str | None, int, int]] = []  # of slots: node, text or None at a block's border, asides by name, article
+    parents, soft = [-1], [0]  # of nodes: the node around it; 1 for what may be an aside, 2 if it can't hold an article
+    mains: list[Main] = []
+    size = [0]
     for item, is_fixed in zip(items, fixed, strict=True):
-        top = stack[-1].number if stack else 0
+        top = stack[-1] if stack else Element("", 0, -1, 0)
         if isinstance(item, str):
-            if stack and (stack[-1].aside or (is_fixed and template is not None and item.strip() and not stack[-1].main)):
+            if stack and is_fixed and template is not None and item.strip() and top.main < 0:
                 continue
-            pieces.append((top, item, len(plain(item))))
+            pieces.append((top.node, item, top.hard, top.main))
+            if top.hard == (mains[top.main].hard if top.main >= 0 else 0):
+                size[top.node] += len(plain(item))
             continue
         if item.name in BLOCK:
-            pieces.append((top, None, 0))
+            pieces.append((top.node, None, 0, -1))
         elif item.name == "br":
-            pieces.append((top, " ", 0))
+            pieces.append((top.node, " ", top.hard, top.main))
         if item.name in VOID:
             continue
         if item.close:
@@ -177,53 +198,90 @@ def main_text(page: str, template: frozenset[int] | None) -> str:
                 while stack.pop().name != item.name:
                     pass
             continue
-        number = top
         if item.name in BLOCK:  # a block ends an open paragraph
             for k, e in enumerate(stack):
                 if e.name == "p":
                     del stack[k:]
                     break
-            top = number = stack[-1].number if stack else 0
-        if is_fixed and item.name in CONTAINERS:  # a template element: slots nest in it
-            number = len(parents)
-            parents.append(top)
-            if item.name in MAIN:
-                mains.append(number)
-        inside_main = bool(stack) and stack[-1].main
-        aside = (bool(stack) and stack[-1].aside) or item.aside or (item.name == "header" and not inside_main)
-        stack.append(Element(item.name, aside, inside_main or item.name in MAIN, number))
-    size = [0] * len(parents)
-    for number, _, length in pieces:
-        size[number] += length
-    for number in range(len(parents) - 1, 0, -1):
-        size[parents[number]] += size[number]
-    chosen = 0
-    if mains and any(size[m] for m in mains):
-        # articles inside one another count once
-        inside = {m for m in mains if not any(a in mains for a in above(parents, m))}
-    else:
+            top = stack[-1] if stack else Element("", 0, -1, 0)
+        inside = top.main >= 0
+        is_main = is_fixed and item.name in MAIN
+        aside = 0
+        if item.name == "form" or (item.name == "header" and not inside):
+            aside = 1
+        elif item.words and not (inside and (item.name in TITLES or template is None or not is_fixed or item.words == {"header"})):
+            aside = 2 if item.words & COMMENT_WORDS else 1
+        hard = top.hard + (item.name in ASIDE)
+        node, main = top.node, top.main
+        if aside or is_main or (is_fixed and item.name in CONTAINERS):  # slots nest in it
+            node = len(parents)
+            parents.append(top.node)
+            soft.append(aside)
+            size.append(0)
+        if is_main:
+            beside = any(soft[k] for k in path(parents, top.node, mains[main].node if inside else 0))
+            mains.append(Main(item.name, node, hard, main, beside))
+            main = len(mains) - 1
+        stack.append(Element(item.name, hard, main, node))
+    for node in range(len(parents) - 1, 0, -1):
+        size[parents[node]] += size[node]
+    for m in mains:
+        m.size = size[m.node]
+    # articles inside nav, aside and the like count if there are no others; those inside one another count once
+    depth = min((m.hard for m in mains if m.size), default=-1)
+    chosen = {k for k, m in enumerate(mains) if m.size and m.hard == depth and not any(mains[o].hard == depth for o in outer(mains, k))}
+    lone = {k for k in range(len(mains)) if not any(m.outer == k and m.size and not m.beside and m.hard == mains[k].hard for m in mains)}
+    whole: set[int] = set()
+    if not chosen:
+        found = 0
         while True:  # go down while one template element holds nearly all of the text
-            lower = [k for k in range(1, len(parents)) if parents[k] == chosen and size[k] >= MAIN_SHARE * size[0] and size[k]]
+            lower = [k for k in range(1, len(parents)) if parents[k] == found and size[k] >= MAIN_SHARE * size[0] and size[k]]
             if not lower:
                 break
-            chosen = lower[0]
-        inside = {chosen}
+            found = lower[0]
+        whole = {k for k in range(len(parents)) if found in path(parents, k, -1)}
+
+    def kept(node: int, hard: int, main: int) -> bool:
+        if not chosen:
+            return hard == 0 and node in whole and not any(is_aside(k, 0) for k in path(parents, node, 0))
+        while main >= 0:
+            own = mains[main]
+            if hard != own.hard or any(is_aside(k, own.node) for k in path(parents, node, own.node)):
+                return False
+            if main in chosen:
+                return True
+            # an article beside another one's text: a comment, or a link to another page
+            around = mains[own.outer] if own.outer >= 0 else None
+            if own.beside and around and (around.name == "article" or own.outer not in lone) and any(
+                    is_aside(k, around.node) for k in path(parents, parents[own.node], around.node)):
+                return False
+            node, main = around.node if around else 0, own.outer
+        return False
+
+    def is_aside(node: int, around: int) -> bool:
+        return soft[node] == 2 or (soft[node] == 1 and 2 * size[node] <= size[around])
+
     blocks, block = [], []
-    member = [k in inside or any(a in inside for a in above(parents, k)) for k in range(len(parents))]
-    for number, text, _ in pieces:
+    for node, text, hard, main in pieces:
         if text is None:
             blocks.append("".join(block))
             block = []
-        elif member[number]:
+        elif kept(node, hard, main):
             block.append(text)
     blocks.append("".join(block))
     return "\n".join(b for b in map(plain, blocks) if b)
 
 
-def above(parents: list[int], number: int) -> Iterator[int]:
-    while parents[number] >= 0:
-        number = parents[number]
-        yield number
+def path(parents: list[int], node: int, end: int) -> Iterator[int]:
+    """``node`` and the nodes around it, up to ``end`` and without it."""
+    while node >= 0 and node != end:
+        yield node
+        node = parents[node]
+
+
+def outer(mains: list[Main], main: int) -> Iterator[int]:
+    while (main := mains[main].outer) >= 0:
+        yield main
 
 
 def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

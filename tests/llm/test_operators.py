@@ -311,6 +311,31 @@ def test_pages(spark):
     assert templates.extract_pages(df.limit(0)).count() == 0
 
 
+WRAPPERS = [("<form id='aspnetForm'>", "</form>"), ("<div class='layout-sidebar'>", "</div>"), ("<div id='header-wrap'><div class='social-site'>", "</div></div>"),
+            ("<header>", "</header>"), ("<main><div class='search-page'>", "</div></main>")]
+
+
+def test_names_of_asides_around_and_in_articles(spark):
+    """Article text stays whatever its wrappers and parts are named; asides of the template still go."""
+    inner = ("<header class='entry-header'><h1>Head {k}</h1></header><div class='article-header'><p>By {k}</p></div><p>First {k}</p>"
+             "<section id='related-work'><h2 class='social'>Related {k}</h2><p>Earlier {k}</p></section><div class='share-box'>Share {k}</div><p>Last {k}</p>"
+             "<div id='comments'><article><p>nice {k}</p></article></div>")
+    want = "Head {k}\nBy {k}\nFirst {k}\nRelated {k}\nEarlier {k}\nLast {k}"
+    rows = []
+    for w, (before, after) in enumerate(WRAPPERS):
+        for k in range(10 * w, 10 * w + 10):
+            rows.append((k, f"http://h{w}.example.com/{k}", f"<body><nav>n {k}</nav>{before}<article>{inner.format(k=k)}</article>{after}"
+                         f"<aside><article>Teaser {k}</article></aside><footer>f {k}</footer></body>"))
+    # no article element: a wrapper that holds most of the text is no aside
+    rows += [(90, "http://w1.example.com", "<body><form id=f><div class=menu>a b</div><h1>Head</h1><p>Some long text here</form></body>"),
+             (91, "http://w2.example.com", "<body><div class='page-with-sidebar'><p>Some long text here</p></div><div class=sidebar>c</div></body>"),
+             (92, "http://w3.example.com", "<body><article><div class='notice'>Text of a page alone</div></article></body>")]
+    got = {r["page_id"]: r["text"] for r in templates.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(10 * len(WRAPPERS)):
+        assert got[k] == want.format(k=k), k
+    assert got[90] == "Head\nSome long text here" and got[91] == "Some long text here" and got[92] == "Text of a page alone"
+
+
 def test_template_is_the_shared_tokens(spark):
     rows = [(k, "http://a.example.com", page(k, f"<p>only {k}")) for k in range(10)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("a"))
