@@ -344,6 +344,45 @@ def test_template_is_the_shared_tokens(spark):
     assert hashes("<nav", "<article", "</article", "=We use cookies") <= template and not hashes("=only 3", "=Head 3") & template
 
 
+def test_all_slots_that_vary(spark):
+    """Without an article element every varying slot is text, however the text is split; shared texts go on hosts of two pages, too."""
+    rng = random.Random(5)
+    post = ("<body><div class=top>Buy now</div><div class=post><h1>Head {k}</h1><div class=intro>{a}</div><div class=body>{b}</div></div>"
+            "<div class=bottom>All rights reserved</div></body>")
+    rows, want = [], {}
+    for host, n in (("two", 2), ("many", 12)):
+        for _ in range(n):
+            k = len(rows)
+            a, b = (" ".join(prose(rng, m, 4000).split()) for m in (20, 60))
+            rows.append((k, f"http://{host}.example.com/{k}", post.format(k=k, a=a, b=b)))
+            want[k] = f"Head {k}\n{a}\n{b}"
+    # two pages that share a paragraph keep it; copies of one page keep their text
+    for k in (100, 101):
+        rows.append((k, f"http://near.example.com/{k}", f"<body><div class=top>Buy now</div><div class=post><p>Own {k}</p><p>In both</p></div></body>"))
+        want[k] = f"Own {k}\nIn both"
+        rows.append((k + 100, f"http://copy.example.com/{k}", "<body><form class=post><p>The same text</p></form></body>"))
+        want[k + 100] = "The same text"
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in templates.extract_pages(df).collect()} == want
+
+
+def test_classes_keep_their_order_and_nest(spark):
+    """Tokens that every page has once, but in other orders, are no template; nor are classes that cross."""
+    swapped = ["<div class=c><b class=x>{k}</b></div><i class=y>{k}</i>", "<i class=y>{k}</i><div class=c><b class=x>{k}</b></div>"]
+    rows = [(k, "http://o.example.com", swapped[k % 2].format(k=k)) for k in range(4)]
+    rows += [(k, "http://s.example.com", swapped[0].format(k=k)) for k in range(10, 14)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", templates.host_of(F.col("url")))
+    got = {r["host"]: set(r["template"]) for r in templates.host_templates(df).collect()}
+    hashes = set(templates.key_hash(["<div.c", "<b.x", "<i.y"]).view(np.int64).tolist())
+    assert hashes <= got["s.example.com"] and not hashes & got["o.example.com"]
+    assert templates.order_of([1, 2, 1, 2])[0] == [1, 2] and templates.order_of([1, 2, 2, 1]) is None
+    # 0 encloses 1; 0 and 2 cross, and the smaller goes
+    rank = [(3, 0), (2, -1), (2, -2)]
+    assert templates.crossing([(0, 0), (1, 0), (1, 1), (0, 1), (0, 2)], {0: 3, 1: 2}, rank) == set()
+    assert templates.crossing([(0, 0), (2, 0), (0, 1), (2, 1), (0, 2)], {0: 3, 2: 2}, rank) == {2}
+    assert templates.crossing([(2, 0), (0, 0), (2, 1), (0, 1), (0, 2)], {0: 3, 2: 2}, rank) == {2}
+
+
 def test_quality_model_learns_interactions():
     rng = np.random.default_rng(5)
     x = rng.random((3000, len(quality.FEATURES)))
