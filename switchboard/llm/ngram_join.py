@@ -352,6 +352,15 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     No frame holds pairs of a group: buckets and blocks give forests.  A group larger than
     ``BLOCK`` shingles is compared block by block, so a task's memory is bounded.
     """
+    sets, named = named_classes(docs, size, percent, id_column, text_column)
+    return sets.join(named, (F.col("key") == F.col("of")) & (F.col("n") > 0), "left").select(
+        F.col("id").alias(id_column), F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def named_classes(docs: DataFrame, size: int, percent: int, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
+    """(id, n, key) of every row, and (of, component, component_id, n_links) of every class (key) of equal sets."""
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     measured = materialise(texts.mapInArrow(measure(size, percent), "id long, n long, key long, token long, seen long"), "ngram-sets")
     sets = measured.where("n is not null").select("id", "n", "key")
@@ -383,24 +392,41 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col
         "key", "id", "copies", F.coalesce("component", "key").alias("component"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
     named = named.join(least, "component").join(counted, "key", "left").select(
-        "key", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return sets.join(named, (sets.key == named.key) & (sets.n > 0), "left").select(
-        F.col("id").alias(id_column), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        F.col("key").alias("of"), "component", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return sets, named
+
+
+def text_keys(size: int):
+    """Batches of (..., text) with the text replaced by the key of its set, null for an empty one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, at in W.slices(batch.column(batch.num_columns - 1)):
+                row, value, n = shingle_sets(data, at, size)
+                key = pa.array(set_keys(row, value, n).view(np.int64), mask=n == 0)
+                rest = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*rest.columns[:-1], key], [*rest.schema.names[:-1], "_key"])
+
+    return run
 
 
 def one_per_component(docs: DataFrame, size: int = 5, percent: int = 80, id_column: str = "doc_id",
                       text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their component: one document of each group of near duplicates.
+    """One row of each group of near duplicates: that of the smallest id, of rows that repeat it the smallest text.
 
-    Of rows that repeat such an id the one with the smallest text stays.  Rows with a null id
-    cannot name a component and are all kept.
+    Rows that repeat an id stay, each in its own group, if their texts don't link; blank texts of one id are one group.
+    Rows with a null id cannot name a component and are all kept.
     """
-    found = ngram_jaccard_join(docs, size, percent, id_column, text_column)
-    kept = found.where(F.col(id_column) == F.col("component_id")).select(F.col(id_column).alias("_kept")).distinct()
-    place = F.row_number().over(Window.partitionBy(id_column).orderBy(F.col(text_column).asc_nulls_last()))
-    once = docs.join(kept, F.col(id_column) == F.col("_kept"), "left_semi").withColumn("_place", place).where("_place = 1").drop("_place")
+    sets, named = named_classes(docs, size, percent, id_column, text_column)
+    found = sets.join(named, (F.col("key") == F.col("of")) & (F.col("n") > 0), "left").where("id is not null").where("n = 0 or id = component_id")
+    # the component's row is looked for among the rows of its smallest id
+    kept = found.select(F.col("id").alias("_kept"), F.when(F.col("n") > 0, F.col("key")).alias("_of"), F.col("component").alias("_component")).distinct()
+    kept = materialise(kept, "ngram-kept")
+    few = docs.join(kept.select("_kept").distinct(), F.col(id_column).cast("long") == F.col("_kept"), "left_semi")
+    keyed = few.withColumn("_text", F.col(text_column))
+    keyed = keyed.mapInArrow(text_keys(size), few.withColumn("_key", F.lit(None).cast("long")).schema)
+    once = keyed.join(kept, (F.col(id_column).cast("long") == F.col("_kept")) & F.col("_key").eqNullSafe(F.col("_of")))
+    place = F.row_number().over(Window.partitionBy(id_column, "_component").orderBy(F.col(text_column).asc_nulls_last()))
+    once = once.withColumn("_place", place).where("_place = 1").select(*docs.columns)
     return once.union(docs.where(F.col(id_column).isNull()))
 
 

@@ -76,6 +76,16 @@ def test_join_equals_brute_force(spark, size, percent, monkeypatch):
     assert ngram_join.one_per_component(table(spark, rows)).columns == SCHEMA.replace(",", "").split()[::2]
 
 
+def test_unlinked_texts_of_one_id_stay(spark):
+    rng = random.Random(9)
+    first, alone, other = (prose(rng, 60, 5000) for _ in range(3))
+    near = "a " + first  # of the two texts of id 7 the smaller one, a near copy of id 1
+    rows = [(1, first), (7, near), (7, alone), (8, other), (8, alone), (8, other), (9, ""), (9, None), (9, other + " end")]
+    kept = ngram_join.one_per_component(table(spark, rows), 5, 80).select("doc_id", "text").collect()
+    assert sorted((i, t or "") for i, t in kept) == sorted([(1, first), (7, alone), (8, other), (9, "")])
+    assert near < alone
+
+
 def test_sketches_lose_no_link():
     rng = np.random.default_rng(3)
     for percent, n in ((90, 40), (90, 700), (80, 90), (80, 2000)):
