@@ -79,7 +79,8 @@ def session_start(spark, d):
     customers = B.read(spark, d, "customer").select((F.col("c_custkey") - 1).cast("string").alias("call_id"),
                                                     (F.col("c_acctbal") < 1000).alias("is_new_patient"))
     first = _chunks(spark, d).where("seq = 0").select("call_id", "staff_id", "ts")
-    opened = CO.opening_advice(CO.with_staff_baseline(first.join(customers, "call_id"), baseline))
+    # calls of unknown customers open no session here
+    opened = CO.session_start(first, customers, baseline).where("is_new_patient is not null")
     out = ST.run_available(opened.select("call_id", "staff_id", "baseline_empathy", "opening_tips"), "opened")
     return out.select("call_id", "staff_id", "baseline_empathy", F.when(F.size("opening_tips") > 3, "new").otherwise("known").alias("customer"))
 

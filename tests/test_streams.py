@@ -1,15 +1,17 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from switchboard.operators import coaching as CO
+from switchboard.plans.catalogue import QUERIES
 from switchboard.sources import sinks as K
 from switchboard.streaming import calls as SC
 from switchboard.streaming import coaching as SCO
 from switchboard.streaming import monitoring as SM
 from switchboard.streaming import tables as ST
-from tests.conftest import rows
+from tests.conftest import TESTDATA, rows
 from tests.talks import BILLING, chunks
 from tests.test_coaching import random_talk
 
@@ -104,3 +106,10 @@ def test_silent_components_and_stalled_runs(spark, tmp_path):
             "run_id", F.timestamp_seconds("t").alias("ts"), "status").coalesce(1).write.mode("append").parquet(runs)
     stalled = ST.run_available(SM.stalled_run_stream(ST.table_stream(spark, runs, "run_id string, ts timestamp, status string", max_files=1)), "runs")
     assert rows(stalled, "run_id") == [("r2",)]
+
+
+@pytest.mark.skipif(not os.path.isdir(TESTDATA), reason="needs the conversation tables")
+def test_session_start_query_runs_the_operator(spark, monkeypatch):
+    seen, operator = [], CO.session_start
+    monkeypatch.setattr(CO, "session_start", lambda first, *given: seen.append(first.isStreaming) or operator(first, *given))
+    assert QUERIES["session_start"](spark, TESTDATA).count() > 0 and seen == [True]
