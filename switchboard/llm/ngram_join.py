@@ -350,7 +350,9 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     compared by 64-bit shingle hashes.
 
     No frame holds pairs of a group: buckets and blocks give forests.  A group larger than
-    ``BLOCK`` shingles is compared block by block, so a task's memory is bounded.
+    ``BLOCK`` shingles is compared block by block, which bounds the memory of a task of
+    ``exact_links`` and sends every set to all blocks of its group.  An inverted list is not cut:
+    its sketches are in one task of ``coarse_links``, which takes about L * L / 2 comparisons for L classes.
     """
     sets, named = named_classes(docs, size, percent, id_column, text_column)
     return sets.join(named, (F.col("key") == F.col("of")) & (F.col("n") > 0), "left").select(
