@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from switchboard.llm import decontamination, language, licenses, mixing, ngram_join, quality, rules, substrings, templates, token_ids
+from switchboard.llm import audit, decontamination, language, licenses, mixing, ngram_join, quality, rules, substrings, templates, token_ids
 from switchboard.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,11 @@ ORACLES["op2_substring_dedup"] = substrings.ORACLE
 @query
 def op5_html_templates(spark: SparkSession, folder: str) -> DataFrame:
     return templates.extract_pages(table(spark, folder, "pages"))
+
+
+@query
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+ORACLES["op11_filter_audit"] = audit.ORACLE
