@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from switchboard.llm import audit, decontamination, language, licenses, mixing, ngram_join, packing, quality, rules, substrings, templates, token_ids
+from switchboard.llm import audit, decontamination, language, licenses, mixing, ngram_join, packing, quality, rules, substrings, templates, token_ids, vector_codes
 from switchboard.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,11 @@ ORACLES["op11_filter_audit"] = audit.ORACLE
 @query
 def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path(), end=2, by_word=True, with_ids=False)
+
+
+@query
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compress(table(spark, folder, "embeddings"))
+
+
+ORACLES["op13_vector_codes"] = vector_codes.ORACLE
