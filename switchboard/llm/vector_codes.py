@@ -280,7 +280,7 @@ def planted(dims: int, parts: int):
             for lo in range(0, batch.num_rows, BLOCK):
                 some = batch.slice(lo, BLOCK)
                 values = quantised(some.column(2), dims)
-                forest = plant(values.reshape(len(values), parts, -1))
+                forest = plant(values.reshape(len(values), parts, dims // parts))
                 lists = [pa.ListArray.from_arrays(pa.array([0, some.num_rows], pa.int32()), some.column(c)) for c in (0, 1)]
                 binary = [pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in (values, *forest)]
                 yield pa.RecordBatch.from_arrays([*lists, *binary], ["ids", "labels", "vectors", *Forest._fields])
@@ -360,7 +360,7 @@ def train(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds
         raise ValueError(f"{dims} components can't be cut into {parts} equal parts")
     kept = kept.where(F.size("v") == dims)
     first = [r["v"] for r in kept.orderBy(*order).limit(entries).collect()]
-    books = quantised(pa.array(first, pa.list_(pa.float64())), dims).astype(np.int64).reshape(len(first), parts, -1).transpose(1, 0, 2)
+    books = quantised(pa.array(first, pa.list_(pa.float64())), dims).astype(np.int64).reshape(len(first), parts, dims // parts).transpose(1, 0, 2)
     blocks = materialise(kept.mapInArrow(planted(dims, parts), BLOCKS), "vector-trees")
     for _ in range(rounds if len(first) else 0):
         found = blocks.drop("ids", "labels").mapInArrow(entry_sums(books), "part long, entry long, place long, total long, n long").groupBy(
