@@ -89,7 +89,7 @@ def test_stored_insights_stay_unique(spark, tmp_path):
     first = table(spark, insight(), insight(call_id="b"))
     K.append_insights(first, path)
     K.append_insights(table(spark, insight(), insight(call_id="c"), insight(call_id="c")), path)
-    assert rows(K.read_insights(spark, path), "call_id") == [("b",), ("c",), ("test_call_001",)]
+    assert rows(K.read_insights(spark, path), "call_id") == [("b",), ("c",), ("ring-7",)]
     with pytest.raises(K.DuplicateCalls):
         K.append_insights(table(spark, insight(call_id="d"), insight(call_id="b")), path, "atomic")
     with pytest.raises(K.DuplicateCalls):
@@ -107,7 +107,7 @@ def test_exports(spark, tmp_path):
                               "resolution_status", "revenue_opportunity", "service_requests", "pain_points", "success_factors", "next_actions", "confidence_score"}
     K.export_csv(df, str(tmp_path / "c"))
     c = {r["call_id"]: r for r in spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "c")).collect()}
-    assert c["test_call_001"]["pain_points"] == "a, b" and c["b"]["clinic_mentioned"] == 'say "hi", now'
+    assert c["ring-7"]["pain_points"] == "a, b" and c["b"]["clinic_mentioned"] == 'say "hi", now'
     assert c["b"]["timestamp"].startswith("2024-05-01T00:00:00")
 
 
