@@ -66,52 +66,88 @@ def best_stretch(doc: str, item: str, shift: Column) -> Column:
     return F.aggregate(F.sequence(low, high), zero, step)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-                 item_column: str = "item_id", item_text: str = "text", min_score: int = MIN_SCORE) -> DataFrame:
-    """(id, item_id, score, first_word, last_word, n_items) of each document that overlaps a benchmark item.
+def row_key(id_column: str | Column, text_column: str | Column) -> list[Column]:
+    """What tells a row by its id and text, never null: rows with equal keys are equal in both."""
+    number = F.col(id_column) if isinstance(id_column, str) else id_column
+    return [F.coalesce(number.cast("long"), F.lit(0).cast("long")), number.isNull(), F.xxhash64(text_column)]
 
-    ``item_id`` is the item with the best score (of equals the smallest id); the words are
-    those of the item, from 0, that the overlap covers.  Items or texts of fewer than
-    eleven words (null: none) have no seed and match nothing; items with equal words count once, under their
-    smallest id.  Rows that repeat a document id give one row; null ids give one row together.  An
-    empty benchmark gives no rows.  Other columns are ignored.
 
-    The benchmark is cut into blocks of at most ``BLOCK_WORDS`` words (or one item), each
-    broadcast to one pass over the documents, so what is sent never grows with either table.
-    """
+KEY = ["_id", "_no_id", "_sum"]
+
+
+def short_hits(hashed: DataFrame, items: DataFrame) -> DataFrame:
+    """(key, item, score, first, last) of rows that hold all words of an item of fewer than ``SPAN`` words, one behind the other."""
+    lengths = sorted(r[0] for r in items.select("_n").distinct().collect())  # fewer than SPAN
+    run = lambda words, place, n: F.xxhash64(F.lit(n), *(F.get(F.col(words), place + i) for i in range(n)))
+    keys = items.select("_item", "_n", F.coalesce(*(F.when(F.col("_n") == n, run("_words", F.lit(0), n)) for n in lengths)).alias("_seed"))
+    found = None
+    for n in lengths:
+        own = keys.where(F.col("_n") == n).select("_item", "_seed")
+        places = hashed.where(F.size("_h") >= n).select(*KEY, "_h", F.explode(F.sequence(F.lit(0), F.size("_h") - n)).alias("_i"))
+        hits = places.select(*KEY, run("_h", F.col("_i"), n).alias("_seed")).join(own, "_seed").select(
+            *KEY, "_item", F.lit(n).alias("score"), F.lit(0).alias("first"), F.lit(n - 1).alias("last")).distinct()
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+             item_column: str = "item_id", item_text: str = "text", min_score: int = MIN_SCORE) -> DataFrame:
+    """(``KEY``, _item, b: struct of score, -first, last) of each row and item that overlap; ``KEY`` is ``row_key``."""
     own = benchmark.select(F.col(item_column).cast("long").alias("_item"), word_hashes(F.col(item_text)).alias("_words"))
-    own = own.where(F.size("_words") >= SPAN).groupBy("_words").agg(F.min("_item").alias("_item"))
+    own = own.where(F.size("_words") > 0).groupBy("_words").agg(F.min("_item").alias("_item"))
     own = materialise(own.withColumn("_n", F.size("_words").cast("long")), "benchmark-items")
+    small, own = own.where(F.col("_n") < SPAN), own.where(F.col("_n") >= SPAN)
     total = own.agg(F.sum("_n")).first()[0] or 0
     blocks = max(1, -(-total * 2 // BLOCK_WORDS)) if total > BLOCK_WORDS else 1
-    texts = docs.select(F.col(id_column).cast("long").alias("_doc"), F.col(text_column).alias("_text"))
-    hashed = texts.select("_doc", word_hashes(F.col("_text")).alias("_h"))
+    texts = docs.select(*(c.alias(name) for c, name in zip(row_key(id_column, text_column), KEY, strict=True)), F.col(text_column).alias("_text"))
+    hashed = texts.select(*KEY, word_hashes(F.col("_text")).alias("_h"))
     found = None
     for block in range(blocks):
         part = own.where(F.pmod(F.xxhash64("_words"), F.lit(blocks)) == block) if blocks > 1 else own
         keys = at_all_places(part.select("_item", "_words"), "_words", "_j", "_seed").select("_item", "_j", "_seed")
         hits = at_all_places(hashed, "_h", "_i", "_seed").join(F.broadcast(keys), "_seed").select(
-            "_doc", "_item", (F.col("_i") - F.col("_j")).alias("_shift")).distinct()
+            *KEY, "_item", (F.col("_i") - F.col("_j")).alias("_shift")).distinct()
         found = hits if found is None else found.unionByName(hits)
     # diagonals with a hit come with the item's words; the texts are shuffled once, at any size
-    found = found.join(own.select("_item", "_words"), "_item").withColumnRenamed("_doc", "_of")
-    near = texts.join(found.hint("merge"), F.col("_doc").eqNullSafe(F.col("_of"))).select(
-        "_doc", "_item", "_words", "_shift", word_hashes(F.col("_text")).alias("_h"))
-    found = near.select("_doc", "_item", best_stretch("_h", "_words", F.col("_shift")).alias("_b"))
+    found = found.join(own.select("_item", "_words"), "_item")
+    near = texts.join(found.hint("merge"), KEY).select(*KEY, "_item", "_words", "_shift", word_hashes(F.col("_text")).alias("_h"))
+    found = near.select(*KEY, "_item", best_stretch("_h", "_words", F.col("_shift")).alias("_b"))
     # the least score is asked for behind the aggregation: a filter before it would move into the join and hash the text anew for every word
-    each = found.groupBy("_doc", "_item").agg(F.max(F.struct(F.col("_b.score").alias("score"), (-F.col("_b.first")).alias("first"), F.col("_b.last").alias("last"))).alias("b")).where(
+    each = found.groupBy(*KEY, "_item").agg(F.max(F.struct(F.col("_b.score").alias("score"), (-F.col("_b.first")).alias("first"), F.col("_b.last").alias("last"))).alias("b")).where(
         F.col("b.score") >= min_score)
-    best = each.groupBy("_doc").agg(
+    if small.isEmpty():
+        return each
+    whole = short_hits(hashed, small).select(*KEY, "_item", F.struct("score", (-F.col("first")).alias("first"), "last").alias("b"))
+    return each.select(*KEY, "_item", F.struct(*(F.col(f"b.{c}").cast("int").alias(c) for c in ("score", "first", "last"))).alias("b")).unionByName(whole)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+                 item_column: str = "item_id", item_text: str = "text", min_score: int = MIN_SCORE) -> DataFrame:
+    """(id, item_id, score, first_word, last_word, n_items) of each document that overlaps a benchmark item.
+
+    ``item_id`` is the item with the best score (of equals the smallest id); the words are
+    those of the item, from 0, that the overlap covers.  An item of fewer than eleven words has no seed: it counts
+    where all its words stand one behind the other, with its number of words as score.  Texts and items without words (null: none)
+    match nothing; items with equal words count once, under their
+    smallest id.  Rows that repeat a document id give one row, the best of them all; null ids give one row together.  An
+    empty benchmark gives no rows.  Other columns are ignored.
+
+    The benchmark is cut into blocks of at most ``BLOCK_WORDS`` words (or one item), each
+    broadcast to one pass over the documents, so what is sent never grows with either table.
+    """
+    each = overlaps(docs, benchmark, id_column, text_column, item_column, item_text, min_score).groupBy("_id", "_no_id", "_item").agg(F.max("b").alias("b"))
+    best = each.groupBy("_id", "_no_id").agg(
         F.max(F.struct(F.col("b.score").alias("score"), (-F.col("_item")).alias("item"), "b.first", "b.last")).alias("m"),
         F.count("*").alias("n_items"))
-    return best.select(F.col("_doc").alias(id_column), (-F.col("m.item")).alias("item_id"), F.col("m.score").cast("long").alias("score"),
+    return best.select(F.when(~F.col("_no_id"), F.col("_id")).alias(id_column), (-F.col("m.item")).alias("item_id"), F.col("m.score").cast("long").alias("score"),
                        (-F.col("m.first")).cast("long").alias("first_word"), F.col("m.last").cast("long").alias("last_word"), "n_items")
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id isn't contaminated; rows with a null id stay only if no such row is."""
-    bad = contaminated(docs, benchmark, id_column, text_column).select(F.col(id_column).alias("_bad"))
-    return docs.join(bad, F.col(id_column).cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of ``docs`` that overlap no benchmark item; every row is judged by its own text, whatever its id."""
+    bad = overlaps(docs, benchmark, id_column, text_column).select(*KEY).distinct()
+    same = [c == bad[name] for c, name in zip(row_key(docs[id_column], docs[text_column]), KEY, strict=True)]
+    return docs.join(bad, same, "left_anti")
 
 
 def _seed_sql(words: str, place: str) -> str:
@@ -125,9 +161,9 @@ WITH d AS (
 b AS (
   SELECT min(item_id) AS item_id, w FROM (
     SELECT item_id, list_filter(string_split_regex(lower(text), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM benchmark)
-  WHERE len(w) >= {SPAN} GROUP BY w),
+  WHERE len(w) > 0 GROUP BY w),
 dp AS (SELECT doc_id, w, unnest(range(1, len(w) - {SPAN - 2})) AS i FROM d WHERE len(w) >= {SPAN}),
-bp AS (SELECT item_id, w, unnest(range(1, len(w) - {SPAN - 2})) AS j FROM b),
+bp AS (SELECT item_id, w, unnest(range(1, len(w) - {SPAN - 2})) AS j FROM b WHERE len(w) >= {SPAN}),
 ds AS ({_seed_sql("w", "i").format(id="doc_id", table="dp")}),
 bs AS ({_seed_sql("w", "j").format(id="item_id", table="bp")}),
 hit AS (SELECT DISTINCT doc_id, item_id, i - j AS shift FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed),
@@ -145,7 +181,12 @@ stretch AS (
     coalesce(max(s.k) FILTER (WHERE s.p = t.m), t.k0 - 1) AS first
   FROM top t LEFT JOIN total s ON s.doc_id = t.doc_id AND s.item_id = t.item_id AND s.shift = t.shift AND s.k < t.k
   WHERE t.r = 1 AND t.p - t.m >= {MIN_SCORE} GROUP BY t.doc_id, t.item_id, t.shift, t.p, t.m, t.k, t.k0),
-each AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, first, last DESC) AS r FROM stretch),
+short AS (
+  SELECT doc_id, item_id, len(b.w)::BIGINT AS score, len(b.w) - 1 AS last, 0 AS first
+  FROM d JOIN b ON len(b.w) < {SPAN} AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(b.w, ' ') || ' ')),
+each AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, first, last DESC) AS r
+  FROM (SELECT doc_id, item_id, score, last, first FROM stretch UNION ALL SELECT * FROM short)),
 best AS (
   SELECT *, count(*) OVER (PARTITION BY doc_id) AS n_items, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id, first, last DESC) AS q
   FROM each WHERE r = 1)

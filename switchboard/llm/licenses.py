@@ -130,36 +130,38 @@ SPAN = "array<struct<label string, first_word long, last_word long, edits long,
 
 
 def spans_of(notices: Sequence[Notice]):
-    """Batches of (id, text) as (id, spans)."""
+    """Batches of (id, text) as (id, n_words, spans)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, table = Scanner(notices), byte_table()
         kind = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("edits", pa.int64()),
                                    ("similarity", pa.float64()), ("base", pa.bool_())]))
         for batch in batches:
             for i, j, data, at in W.slices(batch.column(1)):
-                raw, rows = data.tobytes().translate(table), []
+                raw, rows, sizes = data.tobytes().translate(table), [], []
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    text = b" ".join(raw[a:b].split()).decode()
+                    found = raw[a:b].split()
+                    sizes.append(len(found))
+                    text = b" ".join(found).decode()
                     spans, place, word = [], 0, 0
                     for k, begin, end, edits in scanner.scan(text):
                         word += text.count(" ", place, begin)
                         place, notice = begin, notices[k]
                         spans.append((notice.label, word, word + text.count(" ", begin, end), edits, 1 - edits / len(notice.words), notice.base and edits == 0))
                     rows.append(spans)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(
-                    [[dict(zip(("label", "first_word", "last_word", "edits", "similarity", "base"), s, strict=True)) for s in r] for r in rows], kind)], ["id", "spans"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(
+                    [[dict(zip(("label", "first_word", "last_word", "edits", "similarity", "base"), s, strict=True)) for s in r] for r in rows], kind)], ["id", "n_words", "spans"])
 
     return run
 
 
 def license_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", notices: Sequence[Notice] = (*BASE, *MORE)) -> DataFrame:
-    """(id, spans) of every row: each place of each notice with its words, edits and similarity, in order.
+    """(id, n_words, spans) of every row: each place of each notice with its words, edits and similarity, in order.
 
-    A null or empty text has no spans.  Fuzzy places that overlap an exact place of the same notice, or each
+    A null or empty text has no words and no spans.  Fuzzy places that overlap an exact place of the same notice, or each
     other, count once.  Repeated rows and null ids stay rows of their own; other columns are ignored.
     """
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    return texts.mapInArrow(spans_of(notices), f"id long, spans {SPAN}").withColumnRenamed("id", id_column)
+    return texts.mapInArrow(spans_of(notices), f"id long, n_words long, spans {SPAN}").withColumnRenamed("id", id_column)
 
 
 def license_summary(spans: DataFrame) -> DataFrame:

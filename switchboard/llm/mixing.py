@@ -12,10 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from switchboard.llm.names import unused
 from switchboard.session import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
+#: columns that a plan of copies adds
+COPIES = ("_size", "_source", "_source_size", "_target", "_copies")
 #: a source table of more rows is joined by a shuffle
 BROADCAST_SOURCES = 50_000
 
@@ -65,25 +68,30 @@ def uniform(id_column: str, text_column: str) -> Column:
 def copies_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """``docs`` with _size, _source_size, _target and _copies, the number of times each row is emitted.
 
+    Where ``docs`` has a column of such a name, the new one has an underscore more at its end.
+
     A null text has no words.  A source without words has target 0 and rate 0: its rows are
     not emitted.  Null is a source of its own.  Rows that repeat an id share its random number.  Reruns
     agree, whatever the partitioning.
     """
-    sized = docs.withColumn("_size", size_of(F.col(text_column)))
-    targets = materialise(source_targets(sized, source_column, "_size"), "mix-targets").withColumnsRenamed(
-        {"source": "_source", "source_size": "_source_size", "target": "_target"})
+    size, source, source_size, target, copies = unused(docs, *COPIES)
+    sized = docs.withColumn(size, size_of(F.col(text_column)))
+    targets = materialise(source_targets(sized, source_column, size), "mix-targets").withColumnsRenamed(
+        {"source": source, "source_size": source_size, "target": target})
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
-    joined = sized.join(targets, F.col(source_column).eqNullSafe(F.col("_source"))).drop("_source")
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
+    joined = sized.join(targets, F.col(source_column).eqNullSafe(F.col(source))).drop(source)
+    rate = F.when(F.col(source_size) > 0, F.col(target) / F.col(source_size)).otherwise(F.lit(0.0))
     extra = uniform(id_column, text_column) < rate - F.floor(rate)
-    return joined.withColumn("_copies", (F.floor(rate) + extra.cast("long")).cast("long"))
+    return joined.withColumn(copies, (F.floor(rate) + extra.cast("long")).cast("long"))
 
 
 def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """The mixed corpus: rows of ``docs``, each as often as its source's repetition rate asks."""
-    planned = copies_of(docs, id_column, text_column, source_column).where("_copies > 0")
-    return planned.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).drop("_copy")
+    copies = F.col(unused(docs, *COPIES)[-1])
+    (copy,) = unused(docs, "_copy")
+    planned = copies_of(docs, id_column, text_column, source_column).where(copies > 0)
+    return planned.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias(copy)).drop(copy)
 
 
 ORACLE = """

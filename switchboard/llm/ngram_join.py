@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from switchboard.llm import words as W
 from switchboard.llm.components import connected_components
+from switchboard.llm.names import unused
 from switchboard.session import materialise
 
 #: a shingle is frequent if this share of the documents of an input partition has it
@@ -97,9 +98,9 @@ def sketches(row: np.ndarray, value: np.ndarray, n: np.ndarray, percent: int) ->
 
 
 def measure(size: int, percent: int):
-    """Batches of (id, text) as (id, n, key) of each document and (token, seen) of frequent shingles."""
+    """Batches of (id, text, digest) as (id, digest, n, key) of each document and (token, seen) of frequent shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n", "key", "token", "seen"]
+        names = ["id", "digest", "n", "key", "token", "seen"]
         docs, heavy = 0, []
         for batch in batches:
             for i, j, data, at in W.slices(batch.column(1)):
@@ -111,12 +112,12 @@ def measure(size: int, percent: int):
                     heavy = [merge_counts(heavy)]
                 none = pa.nulls(j - i, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(n), W.signed(set_keys(row, value, n)), none, none], names)
+                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(n), W.signed(set_keys(row, value, n)), none, none], names)
         if heavy:
             token, seen = merge_counts(heavy)
             often = seen >= max(8, docs * FREQUENT)
             none = pa.nulls(int(often.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, W.signed(token[often]), pa.array(seen[often])], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, W.signed(token[often]), pa.array(seen[often])], names)
 
     return run
 
@@ -363,9 +364,9 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col
 
 def named_classes(docs: DataFrame, size: int, percent: int, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
     """(id, n, key) of every row, and (of, component, component_id, n_links) of every class (key) of equal sets."""
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    measured = materialise(texts.mapInArrow(measure(size, percent), "id long, n long, key long, token long, seen long"), "ngram-sets")
-    sets = measured.where("n is not null").select("id", "n", "key")
+    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("digest"))
+    measured = materialise(texts.mapInArrow(measure(size, percent), "id long, digest long, n long, key long, token long, seen long"), "ngram-sets")
+    sets = measured.where("n is not null").select("id", "digest", "n", "key")
     often = measured.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen"))
     frequent = np.sort(np.array([r[0] for r in often.orderBy(F.desc("seen"), "token").limit(KNOWN_FREQUENT).collect()],
                                 np.int64).view(np.uint64))
@@ -377,12 +378,17 @@ def named_classes(docs: DataFrame, size: int, percent: int, id_column: str, text
     coarse = lists.groupBy("bucket").applyInArrow(coarse_links(percent), "a long, b long")
     groups = connected_components(coarse, "ngram-groups")
 
-    classes = sets.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.count("*").alias("copies"))
-    members = materialise(groups.join(classes, groups.node == classes.key).select("key", "component", "id", "n", "copies"), "ngram-members")
+    # a class is shown by one of its texts: the row is told by an id that is never null, and its text's digest
+    row = [F.col("id").isNull(), F.coalesce("id", F.lit(0).cast("long")), F.col("digest")]
+    shown = F.min(F.struct(*(c.alias(name) for c, name in zip(row, ("no_id", "number", "digest"), strict=True))))
+    classes = sets.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), shown.alias("row"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    members = materialise(groups.join(classes, groups.node == classes.key).select("key", "component", "row.*", "n", "copies"), "ngram-members")
     blocks = members.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
     members = members.join(blocks, "component").withColumn("block", F.pmod(F.hash("key"), F.col("blocks").cast("int")).cast("long"))
-    # the texts are shuffled once, at any size
-    found = texts.join(members.withColumnRenamed("id", "of").hint("merge"), F.col("id").eqNullSafe(F.col("of"))).select(
+    # the texts are shuffled once, at any size; equal rows give their text once
+    same = ["no_id", "number", "digest"]
+    found = texts.select("text", *(c.alias(name) for c, name in zip(row, same, strict=True))).join(members.hint("merge"), same)
+    found = found.groupBy(*same, "key", "component", "n", "copies", "block", "blocks").agg(F.first("text").alias("text")).select(
         "text", "key", "component", "n", "copies", "block", "blocks")
     found = found.mapInArrow(set_bytes(size), "tokens binary, key long, component long, n long, copies long, block long, blocks long")
     found = found.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).select(
@@ -406,7 +412,7 @@ def text_keys(size: int):
                 row, value, n = shingle_sets(data, at, size)
                 key = pa.array(set_keys(row, value, n).view(np.int64), mask=n == 0)
                 rest = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*rest.columns[:-1], key], [*rest.schema.names[:-1], "_key"])
+                yield pa.RecordBatch.from_arrays([*rest.columns[:-1], key], [*rest.schema.names[:-1], "key of a text"])
 
     return run
 
@@ -421,14 +427,15 @@ def one_per_component(docs: DataFrame, size: int = 5, percent: int = 80, id_colu
     sets, named = named_classes(docs, size, percent, id_column, text_column)
     found = sets.join(named, (F.col("key") == F.col("of")) & (F.col("n") > 0), "left").where("id is not null").where("n = 0 or id = component_id")
     # the component's row is looked for among the rows of its smallest id
-    kept = found.select(F.col("id").alias("_kept"), F.when(F.col("n") > 0, F.col("key")).alias("_of"), F.col("component").alias("_component")).distinct()
+    name, text, key, of, component, place = unused(docs, "_kept", "_text", "_key", "_of", "_component", "_place")
+    kept = found.select(F.col("id").alias(name), F.when(F.col("n") > 0, F.col("key")).alias(of), F.col("component").alias(component)).distinct()
     kept = materialise(kept, "ngram-kept")
-    few = docs.join(kept.select("_kept").distinct(), F.col(id_column).cast("long") == F.col("_kept"), "left_semi")
-    keyed = few.withColumn("_text", F.col(text_column))
-    keyed = keyed.mapInArrow(text_keys(size), few.withColumn("_key", F.lit(None).cast("long")).schema)
-    once = keyed.join(kept, (F.col(id_column).cast("long") == F.col("_kept")) & F.col("_key").eqNullSafe(F.col("_of")))
-    place = F.row_number().over(Window.partitionBy(id_column, "_component").orderBy(F.col(text_column).asc_nulls_last()))
-    once = once.withColumn("_place", place).where("_place = 1").select(*docs.columns)
+    few = docs.join(kept.select(name).distinct(), F.col(id_column).cast("long") == F.col(name), "left_semi")
+    keyed = few.withColumn(text, F.col(text_column))
+    keyed = keyed.mapInArrow(text_keys(size), few.withColumn(key, F.lit(None).cast("long")).schema)
+    once = keyed.join(kept, (F.col(id_column).cast("long") == F.col(name)) & F.col(key).eqNullSafe(F.col(of)))
+    ranked = F.row_number().over(Window.partitionBy(id_column, component).orderBy(F.col(text_column).asc_nulls_last()))
+    once = once.withColumn(place, ranked).where(F.col(place) == 1).select(*docs.columns)
     return once.union(docs.where(F.col(id_column).isNull()))
 
 

@@ -202,7 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     """
     chosen = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("_id")).agg(
         F.min(label_column).cast("int").alias("label")).orderBy(F.xxhash64("_id"), "_id").limit(most)
-    rows = docs.join(F.broadcast(chosen), F.col(id_column) == F.col("_id")).select(F.col("_id").alias("id"), "label", F.col(text_column).alias("text"))
+    texts = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("text"))
+    rows = texts.join(F.broadcast(chosen), "_id").select(F.col("_id").alias("id"), "label", "text")
     rows = rows.mapInArrow(with_features, "id long, label int, x array<double>").groupBy("id").agg(F.min(F.struct("x", "label")).alias("r"))
     rows = rows.orderBy("id").select("r.x", "r.label").toPandas()  # at most ``most``
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES))

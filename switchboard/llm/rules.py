@@ -163,9 +163,10 @@ def trial(rules: Sequence[Rule]):
 
 
 def ordered_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rules: Sequence[Rule] = RULES, sample: int = SAMPLE) -> list[Rule]:
-    """The rules by falling rejections per second on ``sample`` documents; unmeasured ones keep their order."""
-    chosen = docs.select(F.col(id_column).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(sample).distinct()
-    texts = docs.join(F.broadcast(chosen), F.col(id_column) == F.col("_id"), "left_semi").select(F.col(text_column).alias("text"))
+    """The rules by falling rejections per second on ``sample`` rows, equal ones once; unmeasured rules keep their order."""
+    texts = docs.select(F.xxhash64(F.col(id_column), F.col(text_column)).alias("key"), F.col(text_column).alias("text"))
+    chosen = texts.select("key").orderBy("key").limit(sample).distinct()
+    texts = texts.join(F.broadcast(chosen), "key", "left_semi").dropDuplicates(["key"]).select("text")
     found = texts.mapInArrow(trial(rules), "rule long, seconds double, rejected long, seen long").groupBy("rule").agg(
         (F.sum("rejected") / F.sum("seconds")).alias("rate")).collect()  # a row for each rule
     rate = {r["rule"]: r["rate"] or 0.0 for r in found}

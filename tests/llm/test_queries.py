@@ -78,8 +78,8 @@ def test_licenses(spark, texts):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", texts[r["doc_id"]].translate(LOW))
         places = [(k, n.label) for n in licenses.BASE for q in [n.words.split()] for k in range(len(w)) if w[k:k + len(q)] == q]
         at = [k for k, _ in places]
-        assert (r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (
-            len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})))
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (
+            len(w), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})))
         assert set(r["base_labels"].split(",")) <= {*r["labels"].split(","), ""} and 0 <= r["score"] <= 1
 
 
