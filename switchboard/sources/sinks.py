@@ -7,57 +7,24 @@ from pyspark.sql import functions as F
 
 from switchboard import rules as R
 from switchboard import schema as S
+from switchboard.sources import store
+from switchboard.sources.files import Folder
+from switchboard.sources.store import DuplicateCalls  # noqa: F401  (raised by append_insights)
 
 
-class DuplicateCalls(ValueError):
-    """A batch holds a call that is stored already, or twice."""
-
-
-def _stored_ids(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path).select("call_id")
-    except Exception as e:  # nothing stored yet
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return None
-        raise
-
-
-def append_insights(df: DataFrame, path: str, mode: str = "skip") -> None:
-    """Appends insights, stored by day, with ``call_id`` unique.
-
-    ``skip`` leaves out calls stored already and repeats within the batch;
-    ``atomic`` writes nothing and raises if there is any such call.  Only ids
-    are read from what is stored.
-    """
-    stored = _stored_ids(df.sparkSession, path)
-    if mode == "atomic":
-        repeated = df.groupBy("call_id").agg(F.count("*").alias("n")).where("n > 1").select("call_id")
-        if stored is not None:
-            repeated = repeated.unionByName(df.select("call_id").join(stored, "call_id", "left_semi"))
-        if not repeated.limit(1).isEmpty():
-            raise DuplicateCalls("call_id is not unique; nothing was written")
-        fresh = df
-    elif mode == "skip":
-        fresh = df.dropDuplicates(["call_id"])
-        if stored is not None:
-            fresh = fresh.join(stored, "call_id", "left_anti")
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
-    write_by_day(fresh, path)
+def append_insights(df: DataFrame, path: str, mode: str = "skip", writer: str | None = None, batch: int | None = None) -> int:
+    """Appends insights, stored by day, with ``call_id`` unique; see ``store.append``."""
+    return store.append(df, path, mode, writer=writer, batch=batch)
 
 
 def write_by_day(df: DataFrame, path: str, ts: str = "ts", rows_per_file: int = 1_000_000) -> None:
-    """Appends parquet partitioned by day.
-
-    The rebalance hint brings a day's rows together so that few files are
-    written, and lets adaptive execution split a day that is too large.
-    """
-    dated = df.withColumn("day", F.to_date(ts)).hint("rebalance", "day")
-    (dated.write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy("day").parquet(path))
+    """Appends to a plain folder partitioned by day, whose ids needn't be unique."""
+    store.write_days(df, path, ts, rows_per_file)
 
 
 def read_insights(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The committed rows of a store, or all rows of a plain folder."""
+    return store.read(spark, path) if Folder(spark, path).exists("commits") else spark.read.parquet(path)
 
 
 def insights_of_days(spark: SparkSession, path: str, start, end) -> DataFrame:

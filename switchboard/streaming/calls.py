@@ -22,13 +22,13 @@ def analyse_stream(calls: DataFrame, spread: int | None = None, **options) -> Da
     return I.analyse_calls(I.acceptable_call(calls).where(F.col("status") == "accepted"), **options)
 
 
-def insights_sink(path: str, mode: str = "skip") -> Callable[[DataFrame, int], None]:
+def insights_sink(path: str, mode: str = "skip", writer: str = "stream") -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` writer of insights.
 
-    A repeated batch finds its calls stored already and adds nothing.
+    The store's commit names the last batch of each ``writer``, so a repeated batch is not even read.
     """
-    def write(batch: DataFrame, _: int) -> None:
-        sinks.append_insights(batch, path, mode)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        sinks.append_insights(batch, path, mode, writer, batch_id)
 
     return write
 
