@@ -482,8 +482,13 @@ def final_report(responses: DataFrame) -> DataFrame:
         F.max_by("sentiment", "seq").alias("final_sentiment"),
         F.min("sentiment").alias("lowest_point"), F.max("sentiment").alias("highest_point"),
         F.stddev_pop("sentiment").alias("volatility"))
+    return with_findings(g)
+
+
+def with_findings(told: DataFrame) -> DataFrame:
+    """Durations, improvements and advice that follow from the counted columns of a report."""
     scores = {s: F.col(s) for s in R.SCORES}
-    out = g.withColumns({
+    out = told.withColumns({
         "call_duration": (F.unix_micros("end_time") - F.unix_micros("start_time")) / 1_000_000,
         "sentiment_improvement": F.col("final_sentiment") - F.col("initial_sentiment"),
         "performance_improvement": F.col("overall") - R.START_SCORE,
@@ -493,6 +498,51 @@ def final_report(responses: DataFrame) -> DataFrame:
     return out.withColumn("recommended_training", recommend_training(F.col("areas_for_improvement")))
 
 
+#: key of a live session: a call may have several, one after the other
+SESSION = ["call_id", "opened"]
+KINDS = {"alerts_triggered": ("alerts", "category"), "coaching_suggestions": ("suggestions", "type"), "scripts_used": ("scripts", "category"), "escalation_flags": ("escalation_flags", "type")}
+
+
+def report_parts(responses: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """What a report needs of some responses of a session, in a form that adds up (``merged_parts``).
+
+    Counts, sums and extremes, the first and last values with their places, and the distinct kinds of advice.  Sentiments are
+    kept as number, sum and sum of squares of their differences from 0.
+    """
+    def n_alerts(field: str, value: str) -> Column:
+        return F.size(F.filter("alerts", lambda a: a[field] == value))
+
+    # distinct kinds are a handful of rule names, so the sets stay small
+    kinds = {name: F.flatten(F.collect_set(F.array_distinct(F.transform(column, lambda a: a[field])))) for name, (column, field) in KINDS.items()}  # noqa: B023
+    return responses.groupBy(*key).agg(
+        F.min("ts").alias("start_time"), F.max("ts").alias("end_time"), F.count("*").alias("n"),
+        F.min(F.struct("seq", "sentiment")).alias("first"), F.max(F.struct("seq", "sentiment", *R.SCORES, "overall")).alias("last"),
+        F.sum(F.size("alerts")).alias("total_alerts"), F.sum(n_alerts("priority", "critical")).alias("critical_alerts"),
+        *[F.sum(n_alerts("category", c)).alias(f"alerts_{c}") for c in ALERT_CATEGORIES],
+        F.sum(F.size("suggestions")).alias("coaching_interventions"),
+        F.min("sentiment").alias("lowest_point"), F.max("sentiment").alias("highest_point"),
+        F.sum("sentiment").alias("sentiment_sum"), F.sum(F.col("sentiment") * F.col("sentiment")).alias("sentiment_squares"),
+        *[F.array_distinct(c).alias(name) for name, c in kinds.items()])
+
+
+def merged_parts(parts: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """One row of parts for each session from any number of them."""
+    by = {"start_time": F.min, "end_time": F.max, "first": F.min, "last": F.max, "lowest_point": F.min, "highest_point": F.max}
+    return parts.groupBy(*key).agg(*[
+        F.array_distinct(F.flatten(F.collect_set(c))).alias(c) if c in KINDS else by.get(c, F.sum)(c).alias(c) for c in parts.columns if c not in key])
+
+
+def report_of_parts(parts: DataFrame) -> DataFrame:
+    """The columns of ``final_report`` from merged parts."""
+    mean = F.col("sentiment_sum") / F.col("n")
+    spread = F.greatest(F.col("sentiment_squares") / F.col("n") - mean * mean, F.lit(0.0))
+    told = parts.select(
+        "call_id", "start_time", "end_time", F.col("n").alias("interaction_count"), *[F.col(f"last.{s}").alias(s) for s in [*R.SCORES, "overall"]],
+        "total_alerts", "critical_alerts", *[f"alerts_{c}" for c in ALERT_CATEGORIES], "coaching_interventions",
+        F.col("first.sentiment").alias("initial_sentiment"), F.col("last.sentiment").alias("final_sentiment"), "lowest_point", "highest_point", F.sqrt(spread).alias("volatility"))
+    return with_findings(told)
+
+
 # --- sessions, staff and customers ---------------------------------------------------------
 
 def chunks_with_session(chunks: DataFrame, sessions: DataFrame) -> DataFrame:

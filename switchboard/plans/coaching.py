@@ -282,6 +282,5 @@ def customer_insights(spark, d):
        "CASE WHEN a_emergency > 0 THEN 'emergency' END, CASE WHEN a_legal > 0 THEN 'legal' END, CASE WHEN a_sentiment > 0 THEN 'sentiment' END) AS alerts_triggered, "
        f"round({_OVERALL}, 6) AS final_performance_score FROM g) SELECT * FROM k")
 def coaching_sessions(spark, d):
-    r = responses(spark, d)
-    rows = sinks.coaching_session_rows(CO.final_report(r), r)
+    rows = sinks.coaching_session_rows(responses(spark, d))
     return rows.select("call_id", joined("alerts_triggered").alias("alerts_triggered"), num("final_performance_score").alias("final_performance_score"))

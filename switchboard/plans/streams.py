@@ -85,20 +85,39 @@ def session_start(spark, d):
     return out.select("call_id", "staff_id", "baseline_empathy", F.when(F.size("opening_tips") > 3, "new").otherwise("known").alias("customer"))
 
 
-@query("session_end", _G + f" SELECT call_id, CAST(chunks AS BIGINT) AS chunks, round({_OVERALL}, 6) AS overall, CAST({_TOTAL} AS BIGINT) AS alerts FROM g")
-def session_end(spark, d):
-    """An end marker after the last chunk closes every session; its report is written."""
+def _ended_sessions(spark, d):
+    """Folder of what the stream writes when an end marker after its last chunk closes every call."""
     talks = B.read(spark, d, "conversations")
     ends = talks.groupBy("conv_id").agg((F.max("turn") + 1).alias("turn")).select("conv_id", "turn", F.lit("end").alias("role"), F.lit("").alias("text"))
-    path = scratch_path(spark, "chunks-with-ends")
+    path, root = scratch_path(spark, "chunks-with-ends"), SCO.sink_root(spark)
     talks.unionByName(ends).write.parquet(path)
+    staff = B.chunks(spark, d).groupBy("call_id").agg(F.min("staff_id").alias("staff_id"))
     stream = SCO.coach_stream(B.chunks_of(ST.table_stream(spark, path, B.CONVERSATION_SCHEMA)), X)
-    responses, reports = SCO.sink_paths(spark)
-    ST.run_batches(stream, SCO.coaching_sink(responses, reports), "coaching")
-    r = spark.read.parquet(reports)
+    ST.run_batches(stream, SCO.coaching_sink(root, staff), "coaching")
+    return root
+
+
+@query("session_end", _G + f" SELECT call_id, CAST(chunks AS BIGINT) AS chunks, round({_OVERALL}, 6) AS overall, CAST({_TOTAL} AS BIGINT) AS alerts FROM g")
+def session_end(spark, d):
+    """The reports of sessions as they end."""
+    r = SCO.written(spark, _ended_sessions(spark, d), "reports")
     return r.select("call_id", big("interaction_count").alias("chunks"), num("overall").alias("overall"), big("total_alerts").alias("alerts"))
 
 
+@query("session_end_rows", ORACLES["coaching_sessions"])
+def session_end_rows(spark, d):
+    """The stored rows of sessions as they end."""
+    r = SCO.written(spark, _ended_sessions(spark, d), "sessions")
+    return r.select("call_id", joined("alerts_triggered").alias("alerts_triggered"), num("final_performance_score").alias("final_performance_score"))
+
+
+@query("session_end_performance", ORACLES["staff_performance"])
+def session_end_performance(spark, d):
+    """Scores of the staff as their sessions end."""
+    r = SCO.written(spark, _ended_sessions(spark, d), "performance")
+    return r.select("staff_id", "call_id", *[num(f"{s}_score").alias(f"{s}_score") for s in R.SCORES], num("overall_score").alias("overall_score"), "coaching_notes")
+
+
 @query("metric_threshold_stream", ORACLES["metric_thresholds"])
 def metric_threshold_stream(spark, d):
     return ST.run_available(M.metric_thresholds(B.metrics_of(_events(spark, d))).select("reading_id", "name", "value", "severity"), "thresholds")

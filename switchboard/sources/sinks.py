@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from switchboard import rules as R
 from switchboard import schema as S
+from switchboard.operators import coaching as C
 from switchboard.sources import store
 from switchboard.sources.files import Folder
 from switchboard.sources.store import DuplicateCalls  # noqa: F401  (raised by append_insights)
@@ -73,28 +74,14 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
     predictions.write.mode("append").partitionBy("prediction_type").parquet(path)
 
 
-def coaching_session_rows(reports: DataFrame, responses: DataFrame) -> DataFrame:
-    """One stored row per call: kinds of advice given and the final score."""
-    def kinds(column: str, field: str) -> Column:
-        return F.sort_array(F.collect_set(F.col(f"{column}.{field}")))
-
-    # distinct kinds are a handful of rule names, so the sets stay small
-    given = responses.select(
-        "call_id", F.explode(F.concat(
-            F.transform("alerts", lambda a: F.struct(F.lit("alert").alias("list"), a["category"].alias("name"))),
-            F.transform("suggestions", lambda a: F.struct(F.lit("suggestion").alias("list"), a["type"].alias("name"))),
-            F.transform("scripts", lambda a: F.struct(F.lit("script").alias("list"), a["category"].alias("name"))),
-            F.transform("escalation_flags", lambda a: F.struct(F.lit("flag").alias("list"), a["type"].alias("name"))),
-        )).alias("g")).select("call_id", "g.*").groupBy("call_id").agg(
-        *[F.sort_array(F.collect_set(F.when(F.col("list") == kind, F.col("name")))).alias(column)
-          for kind, column in [("alert", "alerts_triggered"), ("suggestion", "coaching_suggestions"),
-                               ("script", "scripts_used"), ("flag", "escalation_flags")]])
-    none = F.array().cast("array<string>")
-    joined = reports.join(given, "call_id", "left")
-    return joined.select("call_id", "start_time", "end_time", *[
-        F.coalesce(c, none).alias(c) for c in ("alerts_triggered", "coaching_suggestions", "scripts_used",
-                                               "escalation_flags")],
-        F.col("overall").alias("final_performance_score"))
+def coaching_session_rows(responses: DataFrame) -> DataFrame:
+    """One stored row per call: times, kinds of advice given and the final score."""
+    return coaching_session_rows_of_parts(C.report_parts(responses))
+
+
+def coaching_session_rows_of_parts(parts: DataFrame) -> DataFrame:
+    """The same from merged parts of reports, as a live session leaves them."""
+    return parts.select("call_id", "start_time", "end_time", *[F.sort_array(c).alias(c) for c in C.KINDS], F.col("last.overall").alias("final_performance_score"))
 
 
 def staff_performance_rows(reports: DataFrame, staff: DataFrame) -> DataFrame:

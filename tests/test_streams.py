@@ -1,6 +1,7 @@
 import json
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,15 +38,80 @@ def test_stream_equals_batch_over_several_batches(spark, tmp_path, profile):
 
 def test_end_marker_writes_the_report(spark, tmp_path):
     talk = chunks(spark, BILLING + [("c1", 4, "end", ""), ("c9", 0, "staff", "hello")])
-    path, responses, reports, staff = (str(tmp_path / n) for n in ("chunks", "responses", "reports", "staff"))
+    path, root = str(tmp_path / "chunks"), str(tmp_path / "out")
     talk.coalesce(1).write.parquet(path)
-    sink = SCO.coaching_sink(responses, reports, spark.createDataFrame([("c1", "staff_1")], "call_id string, staff_id string"), staff)
+    sink = SCO.coaching_sink(root, spark.createDataFrame([("c1", "staff_1")], "call_id string, staff_id string"))
     ST.run_batches(SCO.coach_stream(ST.table_stream(spark, path, CHUNK)), sink, "end")
-    assert spark.read.parquet(responses).count() == 5
-    report = spark.read.parquet(reports).collect()
+    assert SCO.written(spark, root, "responses").count() == 5
+    report = SCO.written(spark, root, "reports").collect()
     want = CO.final_report(CO.coach_batch(chunks(spark, BILLING))).first()
     assert [r["call_id"] for r in report] == ["c1"] and report[0]["overall"] == pytest.approx(want["overall"])
-    assert spark.read.parquet(staff).first()["staff_id"] == "staff_1"
+    assert SCO.written(spark, root, "performance").first()["staff_id"] == "staff_1"
+    assert [r["call_id"] for r in SCO.open_sessions(spark, root).collect()] == ["c9"]
+
+
+def approx_rows(df, by):
+    return {tuple(r[c] for c in by): {k: pytest.approx(v, abs=1e-9) if isinstance(v, float) else v for k, v in r.asDict(recursive=True).items() if k not in by} for r in df.collect()}
+
+
+def test_reports_add_up_over_batches(spark, tmp_path):
+    """Reports and session rows from parts equal those of all responses at once; no batch reads the responses of another."""
+    talks = random_talk(17, calls=5, turns=15)
+    ends = [(f"r{c}", 99, "end", "") for c in range(3)]
+    talk = chunks(spark, talks + ends)
+    path, root = str(tmp_path / "chunks"), str(tmp_path / "out")
+    for low, high in ((0, 5), (5, 6), (6, 15), (99, 100)):
+        talk.where(F.col("seq").between(low, high - 1)).coalesce(1).write.mode("append").parquet(path)
+    stream = SCO.coach_stream(ST.table_stream(spark, path, CHUNK, max_files=1), delay="2 hours")
+    plain, sink = [], SCO.coaching_sink(root)
+
+    def write(batch, number):
+        for old in (tmp_path / "out" / "responses").glob("*"):  # gone, so nothing can read them again
+            old.rename(tmp_path / f"moved-{old.name}")
+        sink(batch, number)
+        plain.append(number)
+
+    ST.run_batches(stream, write, "parts")
+    assert len(plain) >= 4 and len(list((tmp_path / "out" / "open").glob("batch_id=*"))) <= 2
+    whole = CO.coach_batch(chunks(spark, talks))
+    ended = [e[0] for e in ends]
+    want = CO.final_report(whole).where(F.col("call_id").isin(ended))
+    got = SCO.written(spark, root, "reports")
+    assert set(got.columns) == set(want.columns) and len(ended) == 3
+    assert {k: v for k, v in approx_rows(got, ["call_id"]).items()} == approx_rows(want, ["call_id"])
+    assert approx_rows(SCO.written(spark, root, "sessions"), ["call_id"]) == approx_rows(K.coaching_session_rows(whole).where(F.col("call_id").isin(ended)), ["call_id"])
+
+
+def test_a_call_may_have_several_sessions(spark, tmp_path):
+    talk = chunks(spark, [("c1", 0, "staff", "hello"), ("c1", 1, "end", ""), ("c1", 2, "staff", "sorry again"), ("c1", 3, "customer", "fine"), ("c1", 4, "end", ""), ("c1", 5, "staff", "x")])
+    path, root = str(tmp_path / "chunks"), str(tmp_path / "out")
+    talk.coalesce(1).write.parquet(path)
+    ST.run_batches(SCO.coach_stream(ST.table_stream(spark, path, CHUNK)), SCO.coaching_sink(root), "twice")
+    assert rows(SCO.written(spark, root, "reports"), "call_id", "interaction_count") == [("c1", 1), ("c1", 2)]
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    path, root = str(tmp_path / "chunks"), str(tmp_path / "out")
+    chunks(spark, BILLING).coalesce(1).write.parquet(path)
+    chunks(spark, [("c1", 4, "end", "")]).coalesce(1).write.mode("append").parquet(path)
+    sink = SCO.coaching_sink(root)
+
+    def twice(batch, number):
+        sink(batch, number)
+        sink(batch, number)
+
+    ST.run_batches(SCO.coach_stream(ST.table_stream(spark, path, CHUNK, max_files=1), delay="2 hours"), twice, "repeat")
+    assert rows(SCO.written(spark, root, "reports"), "call_id", "interaction_count") == [("c1", 4)]
+    assert SCO.written(spark, root, "responses").count() == 4
+
+
+def test_scores_of_long_calls_stay_exact():
+    rng = np.random.default_rng(1)
+    x, s, want = rng.random(5000), 0.5, [0.5]
+    for v in x:
+        s = 0.8 * s + 0.2 * v
+        want.append(s)
+    assert np.allclose(SCO.decayed(x, 0.5, 0.8), want, rtol=0, atol=1e-12)
 
 
 def test_silence_ends_a_session(spark, tmp_path):
