@@ -94,20 +94,16 @@ def append(df: DataFrame, path: str, mode: str = "skip", ts: str = "ts", writer:
     if writer is not None and batch is not None and batch <= now.batches.get(writer, -1):
         return now.version
     bucket = bucket_of(F.col("call_id"), now.buckets)
-    # at most as many rows as there are buckets; of the batch only ids are read here
-    hit = sorted(r[0] for r in df.select(bucket.alias("bucket")).distinct().collect())
+    # a row for each bucket; of the batch only ids are read here
+    found = df.groupBy("call_id").agg(F.count("*").alias("n")).groupBy(bucket.alias("bucket")).agg(F.max("n").alias("n")).collect()
+    hit, repeats = sorted(r["bucket"] for r in found), any(r["n"] > 1 for r in found)
     known = stored_ids(spark, path, now, hit)
-    if mode == "atomic":
-        repeated = df.groupBy("call_id").agg(F.count("*").alias("n")).where("n > 1").select("call_id")
-        if known is not None:
-            repeated = repeated.unionByName(df.select("call_id").join(known, df["call_id"].eqNullSafe(known["call_id"]), "left_semi"))
-        if not repeated.isEmpty():
-            raise DuplicateCalls("call_id is not unique; nothing was written")
-        fresh = df
-    else:
-        fresh = one_per_call(df, ts)
-        if known is not None:
-            fresh = fresh.join(known, fresh["call_id"].eqNullSafe(known["call_id"]), "left_anti")
+    same = None if known is None else df["call_id"].eqNullSafe(known["call_id"])
+    if mode == "atomic" and (repeats or known is not None and not df.select("call_id").join(known, same, "left_semi").isEmpty()):
+        raise DuplicateCalls("call_id is not unique; nothing was written")
+    fresh = one_per_call(df, ts) if repeats else df
+    if mode == "skip" and known is not None:
+        fresh = fresh.join(known, fresh["call_id"].eqNullSafe(known["call_id"]), "left_anti")
     version = now.version + 1
     rows, ids = f"{path}/rows/version={version}", f"{path}/ids/version={version}"
     write_days(fresh, rows, ts, rows_per_file, "overwrite")
