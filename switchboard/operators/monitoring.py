@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -44,33 +46,80 @@ def keep_greedily(times: np.ndarray, resolved: np.ndarray, last: int | None, win
     return keep, last
 
 
+#: time slots of the window's length in a block
+BLOCK_SLOTS = 64
+#: a time before all others
+NEVER = -(1 << 62)
+
+
+def last_of_chain(times: np.ndarray, window: int) -> np.ndarray:
+    """For each alert, the last one that is kept if it is kept itself.
+
+    Every alert points to the next one at least ``window`` later; pointers are doubled until they leave the array.
+    """
+    m = len(times)
+    after = np.append(np.searchsorted(times, times + window, "left"), m)
+    end = np.arange(m)
+    while (inside := after[:m] < m).any():
+        end[inside] = end[after[:m][inside]]
+        after = after[after]
+    return end
+
+
+def passage(times: np.ndarray, first: int, last: int, window: int) -> tuple[list[int], list[int]]:
+    """What an alert kept before a block does to the block, as a step function (bounds, exits).
+
+    ``times`` are those of the block's unresolved alerts in order; ``first`` and ``last`` are where its first and last slots begin.  If the
+    last alert before the block was kept at a, and ``bounds[i]`` is the first bound that isn't below a, the last slot's kept alert
+    comes at ``exits[i]``, ``NEVER`` if it has none; the last exit is for later a, the first one for none.
+    """
+    inside = int(np.searchsorted(times, first + window, "left"))
+    exits = np.append(times[last_of_chain(times, window)], NEVER)[:inside + 1]
+    exits = np.where(exits >= last, exits, NEVER)
+    new = np.flatnonzero(exits[1:] != exits[:-1])
+    return (times[new] - window).tolist(), exits[np.append(new, inside)].tolist()
+
+
 def suppress_repeats(alerts: DataFrame, seconds: int = 3600,
-                     keys: Sequence[str] = ("component", "message")) -> DataFrame:
+                     keys: Sequence[str] = ("component", "message"), block_slots: int = BLOCK_SLOTS) -> DataFrame:
     """Drops an alert that follows a kept equal one within ``seconds``.
 
-    Whether an alert is kept depends on the last kept one, so a key is walked in
-    time order.  A gap of ``seconds`` ends every dependency, and an empty time
-    slot of that length is such a gap: the slots in use, a small table, give the
-    pieces of a key that are walked in parallel.  A walk needs constant memory
-    and jumps from kept alert to kept alert by binary search.
+    Whether an alert is kept depends on the last kept one.  Time is cut into slots of ``seconds``, of which each has at most
+    one kept alert, and a key into blocks of ``block_slots`` slots.  What an alert before a block does to it is a step
+    function with few steps (``passage``), since chains that start at different alerts soon meet.  A first pass over the blocks gives
+    one small row for each, these rows are followed through a key, and a second pass walks every block from the alert
+    before it.  A key that raises alerts for ever is as many tasks as it has blocks.
     """
     keys = list(keys)
-    order = ["ts", "alert_id"]
     window = seconds * 1_000_000
-    slotted = alerts.withColumns({"_us": F.unix_micros("ts"), "_slot": F.floor(F.unix_micros("ts") / window)})
-    used = slotted.select(*keys, "_slot").distinct()
-    in_order = Window.partitionBy(*keys).orderBy("_slot")
-    before = F.lag("_slot").over(in_order)
-    starts = used.withColumn("_start", F.when(before.isNull() | (F.col("_slot") - before > 1), F.col("_slot")))
-    pieces = starts.select(*[F.col(c).alias(f"_p_{c}") for c in keys], F.col("_slot").alias("_p_slot"),
-                           F.max("_start").over(in_order.rowsBetween(Window.unboundedPreceding, 0)).alias("_piece"))
-    same = F.col("_slot") == F.col("_p_slot")
-    for c in keys:
-        same = same & F.col(c).eqNullSafe(F.col(f"_p_{c}"))
-    rows = slotted.join(pieces, same).drop("_slot", "_p_slot", *[f"_p_{c}" for c in keys])
-    unit = [*keys, "_piece"]
-    laid = rows.repartition(*unit).sortWithinPartitions(*unit, *order)
-    schema = laid.schema
+    span = window * block_slots
+    cut = alerts.withColumns({"_us": F.unix_micros("ts"), "_block": F.floor(F.unix_micros("ts") / span)})
+    unit = [*keys, "_block"]
+    types = dict(cut.dtypes)
+    kinds = ", ".join(f"`{c}` {types[c]}" for c in unit)
+
+    def passages(group: pd.DataFrame) -> pd.DataFrame:
+        times = np.sort(group["_us"].to_numpy()[~group["resolved"].to_numpy(dtype=bool)])
+        block = int(group["_block"].iloc[0])
+        bounds, exits = passage(times, block * span, (block + 1) * span - window, window)
+        return group[unit].iloc[:1].assign(_bounds=[bounds], _exits=[exits])
+
+    def follow(group: pd.DataFrame) -> pd.DataFrame:
+        group, entries = group.sort_values("_block"), []
+        last, previous = NEVER, None
+        for block, bounds, exits in zip(group["_block"], group["_bounds"], group["_exits"], strict=True):
+            if previous is None or block != previous + 1:  # an alert doesn't reach beyond the next slot
+                last = NEVER
+            entries.append(last)
+            last, previous = int(exits[int(np.searchsorted(np.asarray(bounds, np.int64), last, "left")) if last != NEVER else 0]), block
+        return group[unit].assign(_entry=entries)
+
+    steps = cut.select(*unit, "_us", "resolved").groupBy(*unit).applyInPandas(passages, f"{kinds}, _bounds array<long>, _exits array<long>")
+    entries = steps.groupBy(*keys).applyInPandas(follow, f"{kinds}, _entry long")  # a row for each block
+    known = entries.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(unit)], "_entry")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(unit)])
+    rows = cut.join(known, same).drop(*[f"_k{i}" for i in range(len(unit))])
+    laid = rows.repartition(*unit).sortWithinPartitions(*unit, "ts", "alert_id")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, last = None, None
@@ -78,23 +127,18 @@ def suppress_repeats(alerts: DataFrame, seconds: int = 3600,
             if not len(b):
                 continue
             new = np.ones(len(b), dtype=bool)
-            same = np.ones(len(b) - 1, dtype=bool)
-            for c in unit:
-                v = b[c].to_numpy()
-                same &= v[1:] == v[:-1]
-            new[1:] = ~same
+            new[1:] = ~np.logical_and.reduce([(v[1:] == v[:-1]) | (pd.isna(v[1:]) & pd.isna(v[:-1])) for v in (b[c].to_numpy() for c in unit)])
             edges = [*np.flatnonzero(new), len(b)]
-            times = b["_us"].to_numpy()
-            resolved = b["resolved"].to_numpy(dtype=bool)
+            times, resolved, entry = b["_us"].to_numpy(), b["resolved"].to_numpy(dtype=bool), b["_entry"].to_numpy()
             keep = np.zeros(len(b), dtype=bool)
-            for s, e in zip(edges[:-1], edges[1:]):
-                name = tuple(b[c].iloc[s] for c in unit)
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                name = tuple(None if pd.isna(v) else v for v in (b[c].iloc[s] for c in unit))
                 if name != current:
-                    current, last = name, None
+                    current, last = name, None if entry[s] == NEVER else int(entry[s])
                 keep[s:e], last = keep_greedily(times[s:e], resolved[s:e], last, window)
             yield b[keep]
 
-    return laid.mapInPandas(walk, schema).drop("_piece", "_us")
+    return laid.mapInPandas(walk, laid.schema).drop("_block", "_us", "_entry")
 
 
 def metric_thresholds(metrics: DataFrame, thresholds: Mapping[str, tuple] = R.THRESHOLDS) -> DataFrame:

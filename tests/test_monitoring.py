@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,65 @@ def test_runs(spark):
 def test_quality_gate_compares(spark):
     df = spark.createDataFrame([("a", 0.9), ("b", 0.6), ("c", 0.4)], "call_id string, quality_score double")
     assert rows(M.quality_gate(df), "call_id", "outcome") == [("b", "feedback"), ("c", "alert"), ("c", "feedback")]
+
+
+def plain_walk(alerts, window):
+    """(id) of the kept alerts of one key, one after the other."""
+    last, kept = None, []
+    for us, number, resolved in sorted(alerts):
+        if last is None or us >= last + window:
+            kept.append(number)
+            last = last if resolved else us
+    return kept
+
+
+def test_passages_lead_through_blocks():
+    """Blocks followed by their step functions keep what a walk over all alerts keeps."""
+    rng = random.Random(5)
+    for dense in (1, 5, 60):
+        window, slots = 100, 4
+        span = window * slots
+        times = sorted(rng.randrange(span * 12) for _ in range(12 * slots * dense))
+        times = [t for t in times if not span * 5 <= t < span * 6 + 30]  # a gap, too
+        last, previous, kept = M.NEVER, None, []
+        for block in sorted({t // span for t in times}):
+            own = np.array([t for t in times if t // span == block])
+            last = last if previous == block - 1 else M.NEVER
+            keep, _ = M.keep_greedily(own, np.zeros(len(own), bool), None if last == M.NEVER else last, window)
+            kept += own[keep].tolist()
+            bounds, exits = M.passage(own, block * span, (block + 1) * span - window, window)
+            last = exits[int(np.searchsorted(bounds, last)) if last != M.NEVER else 0]
+            previous = block
+        assert kept == plain_walk_times(times, window)
+
+
+def plain_walk_times(times, window):
+    kept = []
+    for t in times:
+        if not kept or t >= kept[-1] + window:
+            kept.append(t)
+    return kept
+
+
+def test_one_key_that_never_stops_is_many_tasks(spark):
+    """A key with alerts in every slot, some resolved, a key with gaps and a null key, against a walk; blocks are walked apart."""
+    rng = random.Random(6)
+    hour = 3_600_000_000
+    rows, number = [], 0
+    for key, spread in (("hot", 200 * hour), ("gaps", 4000 * hour), (None, 50 * hour)):
+        for _ in range(2500 if key == "hot" else 300):
+            number += 1
+            rows.append((f"a{number:05d}", rng.randrange(spread), rng.random() < 0.1, key, "m", "high"))
+    df = spark.createDataFrame(rows, "alert_id string, us long, resolved boolean, component string, message string, severity string").withColumn(
+        "ts", F.timestamp_micros("us"))
+    want = sorted(x for key in ("hot", "gaps", None) for x in plain_walk([(us, i, r) for i, us, r, c, *_ in rows if c == key], hour))
+    for slots in (1, 3, 64):
+        kept = M.suppress_repeats(df, 3600, block_slots=slots)
+        assert kept.columns == df.columns and sorted(r["alert_id"] for r in kept.collect()) == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = M.suppress_repeats(df.where("component = 'hot'"), 3600, block_slots=8).select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert tasks > 1
+    assert M.suppress_repeats(df.limit(0), 3600).count() == 0
