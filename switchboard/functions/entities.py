@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from switchboard import rules as R
@@ -152,7 +152,22 @@ def all_entities(text: Column) -> Column:
     return F.concat(contact_entities(text), medical_terms(text), located_tokens(text), located_phrases(text))
 
 
-def entity_rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per entity."""
-    rows = df.select(key, F.explode_outer(all_entities(F.col(text))).alias("e")).where(F.col("e").isNotNull())
-    return rows.select(key, "e.*")
+def entity_rows(df: DataFrame, key: str, text: str, entities: Column | None = None) -> DataFrame:
+    """One row per entity; ``listed`` is its place in the list of its text, so matchers' order."""
+    found = all_entities(F.col(text)) if entities is None else entities
+    rows = df.select(key, F.posexplode_outer(found).alias("listed", "e")).where(F.col("e").isNotNull())
+    return rows.select(key, "e.*", "listed")
+
+
+def merged_entities(rows: DataFrame, key: str) -> DataFrame:
+    """One entity of each run of overlapping spans: the longest, then the first, then the one listed first.
+
+    Spans that touch don't overlap; a run goes on as long as each next span begins before the farthest end so far, so it may hold spans
+    that only others connect.  Runs are found by a running maximum and ordered by windows over one text's entities.
+    """
+    along = Window.partitionBy(key).orderBy("start", "end", "listed")
+    farthest = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    runs = rows.withColumn("_new", F.coalesce(F.col("start") >= farthest, F.lit(True)).cast("int"))
+    runs = runs.withColumn("_run", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    best = Window.partitionBy(key, "_run").orderBy(F.desc(F.col("end") - F.col("start")), "start", "listed")
+    return runs.withColumn("_place", F.row_number().over(best)).where("_place = 1").drop("_new", "_run", "_place", "listed")

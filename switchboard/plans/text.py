@@ -284,26 +284,55 @@ def entity_context(spark, d):
     return rows.select("call_id", "context")
 
 
-_TOKEN_SQL = {k: v.replace("(?<![\\d:])", "").replace("(?i)", "(?i)") for k, v in R.TOKEN_PATTERNS.items()}
+def _sql_located(name, table, pattern, label, confidence, window=R.CONTEXT_CHARS, rank=0, only=None):
+    """CTE of every match of a pattern with its offsets and surroundings: offsets are running lengths of matches and of what lies between them."""
+    label = q(label)
+    return (f"{name}_m AS (SELECT call_id, transcript, regexp_extract_all(transcript, {q(pattern)}) AS hits, string_split_regex(transcript, {q(pattern)}) AS gaps FROM {table}), "
+            f"{name}_u AS (SELECT call_id, transcript, unnest(hits) AS text, unnest(gaps[1:len(hits)]) AS gap, unnest(range(1, len(hits) + 1)) AS i FROM {name}_m WHERE len(hits) > 0), "
+            f"{name}_s AS (SELECT call_id, transcript, text, {rank} AS rank, i, CAST(sum(length(gap)) OVER (PARTITION BY call_id ORDER BY i) + sum(length(text)) OVER (PARTITION BY call_id ORDER BY i) - length(text) AS BIGINT) AS start FROM {name}_u), "
+            f"{name} AS (SELECT call_id, {label} AS label, text, start, start + length(text) AS stop, CAST({confidence} AS DOUBLE) AS confidence, "
+            f"substring(transcript, greatest(start - {window}, 0) + 1, start + length(text) + {window} - greatest(start - {window}, 0)) AS context, rank, i FROM {name}_s"
+            + (f" WHERE {only}" if only else "") + ")")
 
 
-@query("pattern_entities", f"WITH {_SPELLED} SELECT call_id, label, text FROM (" + " UNION ALL ".join(
-    f"SELECT call_id, {q(k)} AS label, unnest(regexp_extract_all(transcript, {q(p)})) AS text FROM spelled"
-    for k, p in (("PHONE_0", R.TOKEN_PATTERNS["PHONE_0"]), ("TIME_0", r"(?i)\b\d\s?(?:am|pm)\b"),
-                 ("TIME_1", r"(?i)\b\d{2}\s?(?:am|pm)\b"), ("INSURANCE_1", R.TOKEN_PATTERNS["INSURANCE_1"]))) + ")")
+_SHOWN = "call_id, label, text, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, confidence, context"
+_TOKENS = [("PHONE_0", R.TOKEN_PATTERNS["PHONE_0"]), ("TIME_0", r"(?i)\b\d\s?(?:am|pm)\b"), ("TIME_1", r"(?i)\b\d{2}\s?(?:am|pm)\b"), ("INSURANCE_1", R.TOKEN_PATTERNS["INSURANCE_1"])]
+
+
+def _sql_tokens(first_rank=0):
+    return ", ".join(_sql_located(f"x{k}", "spelled", p, label, R.ENTITY_CONFIDENCE["TOKEN"], rank=first_rank + k) for k, (label, p) in enumerate(_TOKENS))
+
+
+def _shown(rows):
+    return rows.select("call_id", "label", "text", big("start").alias("start"), big("end").alias("stop"), "confidence", "context")
+
+
+@query("pattern_entities", f"WITH {_SPELLED}, {_sql_tokens()} SELECT {_SHOWN} FROM (" + " UNION ALL ".join(f"SELECT * FROM x{k}" for k in range(len(_TOKENS))) + ")")
 def pattern_entities(spark, d):
-    return _spelled(spark, d).select("call_id", F.inline(E.token_entities(F.col("transcript")))).select("call_id", "label", "text")
+    """Token shapes with their places, confidence and surroundings."""
+    return _shown(E.entity_rows(_spelled(spark, d), "call_id", "transcript", E.located_tokens(F.col("transcript"))))
+
+
+_TERMS = ["the", "die", "les", "por"]
 
 
-@query("phrase_entities", f"WITH {B.CALLS} SELECT call_id, CAST(len(list_filter(string_split_regex(transcript, '[^\\p{{L}}\\p{{N}}_]+'), "
-       "lambda x: x IN ('the', 'die', 'les', 'por'))) AS BIGINT) AS terms FROM calls")
+@query("phrase_entities", f"WITH {B.CALLS}, {_sql_located('w', 'calls', '[\\p{L}\\p{N}_]+', 'PHRASE', R.ENTITY_CONFIDENCE['PHRASE'], only='text IN (' + ', '.join(map(q, _TERMS)) + ')')} SELECT {_SHOWN} FROM w")
 def phrase_entities(spark, d):
-    return B.calls(spark, d).select("call_id", big(F.size(E.phrase_terms(F.col("transcript"), ["the", "die", "les", "por"]))).alias("terms"))
+    """Every occurrence of some words in every call, with places, confidence and surroundings."""
+    return _shown(E.entity_rows(B.calls(spark, d), "call_id", "transcript", E.located_phrases(F.col("transcript"), _TERMS)))
+
+
+_ENTITY_RUNS = ("e AS (SELECT * FROM ph UNION ALL " + " UNION ALL ".join(f"SELECT * FROM x{k}" for k in range(len(_TOKENS))) + "), "
+                "n AS (SELECT *, CAST(coalesce(start >= max(stop) OVER (PARTITION BY call_id ORDER BY start, stop, rank, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS INT) AS fresh FROM e), "
+                "r AS (SELECT *, sum(fresh) OVER (PARTITION BY call_id ORDER BY start, stop, rank, i ROWS UNBOUNDED PRECEDING) AS run FROM n), "
+                "b AS (SELECT *, row_number() OVER (PARTITION BY call_id, run ORDER BY stop - start DESC, start, rank, i) AS place FROM r)")
 
 
-@query("all_entities")
+@query("all_entities", f"WITH {_SPELLED}, {_sql_located('ph', 'spelled', R.PHONE_PATTERNS[0], 'PHONE', R.ENTITY_CONFIDENCE['PHONE'])}, {_sql_tokens(1)}, {_ENTITY_RUNS} SELECT {_SHOWN} FROM b WHERE place = 1")
 def all_entities(spark, d):
-    return E.entity_rows(B.calls(spark, d), "call_id", "transcript").groupBy("label").agg(F.count("*").alias("entities"))
+    """All matchers over one text, of overlapping entities the longest."""
+    rows = E.entity_rows(_spelled(spark, d), "call_id", "transcript")
+    return _shown(E.merged_entities(rows, "call_id"))
 
 
 # --- topics -----------------------------------------------------------------------------------

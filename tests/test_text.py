@@ -155,3 +155,20 @@ def test_offsets_equal_a_regex_walk(spark):
         assert [(x["text"], x["label"], x["start"], x["end"], x["context"]) for x in r["e"]] == want
         phrases = [(x["text"], x["start"]) for x in r["a"] if x["label"] == "PHRASE" and x["text"] in ("root canal", "crown")]
         assert phrases == ([] if t is None else [(m.group(), m.start()) for w in ("root canal", "crown") for m in re.finditer(rf"(?<!\w){w}(?!\w)", t)])
+
+
+def test_overlapping_entities_are_merged(spark):
+    listed = [("a", 0, 5, 0), ("a", 3, 9, 1), ("a", 8, 10, 2), ("a", 10, 12, 3), ("a", 20, 23, 4), ("a", 20, 23, 5), ("a", 21, 22, 6), ("b", 0, 5, 0), (None, 1, 2, 0), (None, 0, 3, 1)]
+    rows_ = spark.createDataFrame([(k, "t", f"L{n}", s, e, 0.5, "c", n) for k, s, e, n in listed],
+                                  "id string, text string, label string, start int, end int, confidence double, context string, listed int")
+    got = E.merged_entities(rows_, "id")
+    assert got.columns == ["id", "text", "label", "start", "end", "confidence", "context"]
+    assert rows(got, "id", "label", "start") == sorted([("a", "L1", 3), ("a", "L3", 10), ("a", "L4", 20), ("b", "L0", 0), (None, "L1", 0)], key=str)
+    texts = spark.createDataFrame([("x", "Call 555-123-4567 or (555) 123-4567, aetna at 5 pm; a@b.com. Severe pain"), ("y", None), ("z", "")], "id string, t string")
+    every = E.entity_rows(texts, "id", "t")
+    spans = {(r["start"], r["end"]): (r["label"], r["text"]) for r in E.merged_entities(every, "id").collect()}
+    text = texts.first()["t"]
+    assert all(text[a:b].lower() == t.lower() for (a, b), (_, t) in spans.items()) and len(spans) < every.count()
+    ends = sorted(spans)
+    assert all(b[0] >= a[1] for a, b in zip(ends[:-1], ends[1:], strict=True))
+    assert {"PHONE", "EMAIL", "INSURANCE_1", "TIME_0"} <= {label for label, _ in spans.values()}
