@@ -13,6 +13,7 @@ from switchboard.functions import entities as E
 from switchboard.functions import intents as I
 from switchboard.functions import text as T
 from switchboard.functions import topics as TP
+from switchboard.operators.engines import Engine, with_engines
 
 DEFAULT_PROFILE = {
     "sentiment": R.FALLBACK_SENTIMENT, "intents": R.FALLBACK_INTENTS, "urgency": R.FALLBACK_URGENCY,
@@ -298,12 +299,15 @@ ENGINES = ("sentiment", "entities", "topics", "intent")
 def analyse_calls(calls: DataFrame, engines: Sequence[str] = ENGINES, text: str = "transcript",
                   lexicon: Mapping = R.FALLBACK_SENTIMENT, topics: Mapping = R.TOPICS,
                   intents: Mapping = R.INTENTS, terms: Sequence[str] | None = None,
-                  extra: Mapping[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+                  extra: Mapping[str, Callable[[Column], Column]] | None = None,
+                  guarded: Mapping[str, Engine] | None = None) -> DataFrame:
     """Runs the chosen engines over each call and derives the call's insights.
 
     A projection without shuffles, usable on streams.  An engine left out, like
     one that failed, leaves its columns null and the others untouched; ``extra``
-    adds engines of the caller's own, each a function from text to a column.
+    adds engines of the caller's own, each a function from text to a column.  Engines that may fail on some texts
+    go into ``guarded``, by the column they give (a built-in one is replaced): where one fails its value is null,
+    ``engine_errors`` tells why, and the call's other values and insights are as ever.
     """
     terms = list(terms if terms is not None else E.all_terms())
     base = calls.withColumn("_low", F.lower(F.col(text)))
@@ -335,6 +339,8 @@ def analyse_calls(calls: DataFrame, engines: Sequence[str] = ENGINES, text: str
         out = out.withColumns({"primary_intent": null_s, "intent_confidence": null_d, "urgency": null_s})
     if extra:
         out = out.withColumns({n: f(raw) for n, f in extra.items()})
+    if guarded:
+        out = with_engines(out, guarded, text)
     rules = call_insight_rules(F.col("sentiment_score"), F.size("phone_numbers") > 0, F.col("medical_terms"),
                                F.col("has_insurance"), F.col("dominant_topic"), F.col("primary_intent"))
     out = out.withColumns(rules)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from switchboard.operators import engines, insights
 from switchboard.operators import monitoring as M
 from switchboard.plans import tables as B
-from switchboard.plans.registry import big, num, q, query
+from switchboard.plans.registry import big, num, q, query, sql_sentiment
+from switchboard.session import scratch_path
 from switchboard.sources import sinks
 
 A = f"WITH {B.ALERTS}"
@@ -181,10 +183,36 @@ def backlog_issues(spark, d):
     return M.backlog_issues(queues, 800)
 
 
-@query("quarantine", f"WITH {B.CALLS} SELECT call_id, 'unreadable' AS error, CASE WHEN length(transcript) > 200 THEN left(transcript, 200) || '...' ELSE transcript END AS transcript FROM calls WHERE lang = 'es'")
+def _the_share(text):
+    """An engine that fails on texts without its word."""
+    return len(text) / text.count("the ")
+
+
+_FAILED = (f"WITH {B.CALLS}, f AS (SELECT call_id, transcript, CAST(call_id AS BIGINT) % 48 AS age FROM calls WHERE NOT contains(transcript, 'the ')) ")
+
+
+@query("quarantine", _FAILED + "SELECT call_id, 'share: ZeroDivisionError: division by zero' AS error, "
+       "CASE WHEN length(transcript) > 200 THEN left(transcript, 200) || '...' ELSE transcript END AS transcript FROM f WHERE age < 24")
 def quarantine(spark, d):
-    failed = B.calls(spark, d).where("lang = 'es'")
-    return sinks.quarantine_rows(failed, F.lit("unreadable"), B.as_of()).select("call_id", "error", "transcript")
+    """Calls on which an engine really failed, stored with excerpt and error for a day; older ones are over."""
+    path = scratch_path(spark, "dead-letters")
+    share = {"share": engines.Engine(_the_share, "double")}
+    analysed = insights.analyse_calls(B.calls(spark, d), engines=["sentiment"], lexicon=B.SENTIMENT, terms=B.TERMS, guarded=share)
+    _, failed = engines.failed_calls(analysed)
+    at = B.as_of() - F.make_interval(hours=(F.col("call_id").cast("bigint") % 48).cast("int"))
+    sinks.append_dead_letters(sinks.quarantine_rows(failed, engines.error_text(), at), path)
+    sinks.expire_dead_letters(spark, path, B.as_of())
+    return sinks.dead_letters(spark, path, B.as_of()).select("call_id", "error", "transcript")
+
+
+@query("engine_failures", f"WITH {B.CALLS} SELECT call_id, 0.0::DOUBLE AS nothing, "
+       f"round({sql_sentiment('low', B.SENTIMENT)}, 6) AS sentiment, CASE WHEN contains(transcript, 'the ') THEN round(length(transcript)::DOUBLE / ((length(transcript) - length(replace(transcript, 'the ', ''))) / 4), 6) END AS share, "
+       "CASE WHEN contains(transcript, 'the ') THEN '' ELSE 'share: ZeroDivisionError: division by zero' END AS errors FROM calls")
+def engine_failures(spark, d):
+    """A call that breaks one engine keeps what the others found."""
+    own = {"share": engines.Engine(_the_share, "double"), "nothing": engines.Engine(lambda _: 0.0, "double")}
+    out = insights.analyse_calls(B.calls(spark, d), lexicon=B.SENTIMENT, terms=B.TERMS, topics=B.TOPICS, guarded=own)
+    return out.select("call_id", "nothing", num("sentiment_score").alias("sentiment"), num("share").alias("share"), engines.error_text().alias("errors"))
 
 
 @query("latest_results", f"WITH {B.INSIGHTS} SELECT call_id, primary_intent FROM insights ORDER BY ts DESC, call_id DESC LIMIT 100")

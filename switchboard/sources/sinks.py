@@ -99,6 +99,33 @@ def quarantine_rows(failed: DataFrame, error: Column, at: Column, text: str = "t
     return failed.select("call_id", error.alias("error"), at.alias("ts"), shown.alias("transcript"))
 
 
+def append_dead_letters(rows: DataFrame, path: str) -> None:
+    """Stores quarantined rows by the hour of their failure."""
+    hour = F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd'T'HH")
+    rows.withColumn("hour", hour).write.mode("append").partitionBy("hour").parquet(path)
+
+
+def _oldest_hour(now: Column, hours: int) -> Column:
+    return F.date_format(F.date_trunc("hour", now - F.make_interval(hours=F.lit(hours))), "yyyy-MM-dd'T'HH")
+
+
+def dead_letters(spark: SparkSession, path: str, now: Column, hours: int = 24) -> DataFrame:
+    """Quarantined rows that failed less than ``hours`` before ``now``; older hours aren't opened."""
+    stored = spark.read.option("basePath", path).schema("call_id string, error string, ts timestamp, transcript string, hour string").parquet(path)
+    kept = (F.col("hour") >= _oldest_hour(now, hours)) & (F.col("ts") > now - F.make_interval(hours=F.lit(hours)))
+    return stored.where(kept).drop("hour")
+
+
+def expire_dead_letters(spark: SparkSession, path: str, now: Column, hours: int = 24) -> int:
+    """Deletes the hours that are wholly over; how many."""
+    oldest = spark.range(1).select(_oldest_hour(now, hours)).first()[0]
+    folder = Folder(spark, path)
+    over = [n for n in folder.names() if n.startswith("hour=") and n.removeprefix("hour=") < oldest]
+    for name in over:
+        folder.delete(name)
+    return len(over)
+
+
 def latest_results(df: DataFrame, n: int = 100) -> DataFrame:
     """The ``n`` newest results (a report of fixed length)."""
     return df.orderBy(F.desc("ts"), F.desc("call_id")).limit(n)
