@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram
+from pyspark.ml.feature import IDF, CountVectorizerModel, HashingTF, NGram
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 from switchboard import rules as R
 from switchboard.functions import text as T
 from switchboard.functions import topics as TP
+from switchboard.session import materialise
 
 MIN_DOC_TOKENS = 5
 MIN_DOCS = 3
 HOT_TOKENS = 1000
+#: terms of a topic model
+MOST_TERMS = 200_000
 
 
 def tokenise(calls: DataFrame, text: str = "transcript", stop_words: Sequence[str] | None = None) -> DataFrame:
@@ -39,21 +42,52 @@ def call_topics(calls: DataFrame, text: str = "transcript", topics: Mapping = R.
     return scored.withColumns({"predefined_topic": label, "predefined_score": top})
 
 
+class VocabularyTooLarge(ValueError):
+    """More terms pass the document frequencies than a topic model may have."""
+
+
+def usable_documents(tokenised: DataFrame) -> DataFrame:
+    """Documents with enough tokens for a topic model."""
+    return tokenised.where(F.size("tokens") > MIN_DOC_TOKENS)
+
+
+def topic_vocabulary(usable: DataFrame, min_docs: int = 2, max_share: float = 0.7) -> DataFrame:
+    """(term, docs) of the terms that at least ``min_docs`` documents have, and at most ``max_share`` of all."""
+    docs = usable.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("docs"))
+    return docs.where((F.col("docs") >= min_docs) & (F.col("docs") <= max_share * usable.agg(F.count("*")).scalar()))
+
+
+def vocabulary_loss(usable: DataFrame, vocabulary: DataFrame, kept: int) -> DataFrame:
+    """(terms, kept, tokens, lost): terms of the vocabulary, those a model of ``kept`` terms has, their tokens and how many of these it leaves out."""
+    seen = usable.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("tokens"))
+    chosen = most_frequent(vocabulary, kept).select("term", F.lit(True).alias("chosen"))
+    every = vocabulary.select("term").join(seen, "term").join(F.broadcast(chosen), "term", "left")
+    return every.agg(F.count("*").alias("terms"), F.count("chosen").alias("kept"), F.sum("tokens").alias("tokens"),
+                     F.coalesce(F.sum(F.when(F.col("chosen").isNull(), F.col("tokens"))), F.lit(0)).alias("lost"))
+
+
+def most_frequent(vocabulary: DataFrame, n: int) -> DataFrame:
+    return vocabulary.orderBy(F.desc("docs"), "term").limit(n)
+
+
 def train_topics(tokenised: DataFrame, num_topics: int = 10, passes: int = 20, seed: int = 42,
-                 min_docs: int = 2, max_share: float = 0.7, vocabulary: int | None = None) -> PipelineModel | None:
+                 min_docs: int = 2, max_share: float = 0.7, vocabulary: int | None = None, most_terms: int = MOST_TERMS) -> PipelineModel | None:
     """Term counts and an LDA model; None for fewer than three usable documents.
 
-    All terms count unless ``vocabulary`` asks for the most frequent ones only.
+    Terms are pruned by document frequency on the cluster.  A model, so a matrix of topics times terms and a list of
+    terms on the driver, has at most ``most_terms``: if more pass, that is an error.  ``vocabulary`` asks for
+    so many of the most frequent ones only; ``vocabulary_loss`` tells what that leaves out.
     """
-    usable = tokenised.where(F.size("tokens") > MIN_DOC_TOKENS)
+    usable = usable_documents(tokenised)
     if usable.select("tokens").limit(MIN_DOCS).count() < MIN_DOCS:
         return None
-    if vocabulary is None:
-        vocabulary = max(1, usable.select(F.explode("tokens")).distinct().count())
-    stages = [CountVectorizer(inputCol="tokens", outputCol="counts", minDF=min_docs, maxDF=max_share,
-                              vocabSize=vocabulary),
-              LDA(k=num_topics, maxIter=passes, seed=seed, optimizer="online", featuresCol="counts")]
-    return Pipeline(stages=stages).fit(usable)
+    passed = materialise(topic_vocabulary(usable, min_docs, max_share), "topic-terms")
+    if vocabulary is None and (n := passed.count()) > most_terms:
+        raise VocabularyTooLarge(f"{n} terms pass, a model has at most {most_terms}: raise min_docs or ask for a vocabulary")
+    chosen = [r["term"] for r in most_frequent(passed, min(vocabulary or most_terms, most_terms)).collect()]
+    counts = CountVectorizerModel.from_vocabulary(chosen or [""], inputCol="tokens", outputCol="counts")
+    lda = LDA(k=num_topics, maxIter=passes, seed=seed, optimizer="online", featuresCol="counts").fit(counts.transform(usable))
+    return PipelineModel([counts, lda])
 
 
 def top_terms(model: PipelineModel, n: int = 10) -> DataFrame:
@@ -134,12 +168,13 @@ def key_phrases(tokenised: DataFrame, key: str = "call_id", n: int = 10) -> Data
     so they are broadcast.  The rows of hot tokens are spread over a key of
     their own in the join that finds the frequencies of all other tokens.
     """
-    tokens = tokenised.select(key, F.explode_outer("tokens").alias("token")).where(F.col("token").isNotNull())
-    tf = tokens.groupBy(key, "token").agg(F.count("*").alias("tf"))
+    tokens = tokenised.select(key, F.explode_outer("tokens").alias("token"))
+    # texts are tokenised once: what follows reads the written counts
+    counts = materialise(tokens.groupBy(key, "token").agg(F.count("*").alias("tf")), "key-phrases")
+    tf = counts.where(F.col("token").isNotNull())
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
     n_docs = tokenised.agg(F.count("*")).scalar()
-    n_pairs = df.agg(F.sum("df")).scalar()
-    is_hot = F.col("df") * HOT_TOKENS >= n_pairs
+    is_hot = F.col("df") * HOT_TOKENS >= tf.agg(F.count("*")).scalar()
     hot = df.where(is_hot).withColumnRenamed("df", "_hot_df")
     cold = df.where(~is_hot).withColumnRenamed("token", "_token")
     marked = tf.join(F.broadcast(hot), "token", "left")

@@ -346,6 +346,28 @@ def tokenise(spark, d):
     return t.select("call_id", big(F.size("tokens")).alias("n_tokens"), big(F.size(F.array_distinct("tokens"))).alias("n_distinct"))
 
 
+@query("topic_vocabulary", f"WITH {B.CALLS}, u AS (SELECT call_id, {_TOK} AS tok FROM calls), k AS (SELECT * FROM u WHERE len(tok) > {TO.MIN_DOC_TOKENS}), "
+       "t AS (SELECT term, CAST(count(*) AS BIGINT) AS docs FROM (SELECT unnest(list_distinct(tok)) AS term FROM k) GROUP BY 1) "
+       "SELECT term, docs FROM t WHERE docs >= 3 AND docs <= 0.5 * (SELECT count(*) FROM k)")
+def topic_vocabulary(spark, d):
+    """Terms that a topic model may have, counted and pruned on the cluster."""
+    return TO.topic_vocabulary(TO.usable_documents(TO.tokenise(B.calls(spark, d), stop_words=[])), 3, 0.5)
+
+
+_VOCABULARY = 200
+
+
+@query("vocabulary_loss", f"WITH {B.CALLS}, u AS (SELECT call_id, {_TOK} AS tok FROM calls), k AS (SELECT * FROM u WHERE len(tok) > {TO.MIN_DOC_TOKENS}), "
+       "t AS (SELECT term, count(DISTINCT call_id) AS docs, count(*) AS tokens FROM (SELECT call_id, unnest(tok) AS term FROM k) GROUP BY 1), "
+       "v AS (SELECT *, row_number() OVER (ORDER BY docs DESC, term) AS place FROM t WHERE docs >= 2 AND docs <= 0.7 * (SELECT count(*) FROM k)) "
+       f"SELECT CAST(count(*) AS BIGINT) AS terms, CAST(count(*) FILTER (WHERE place <= {_VOCABULARY}) AS BIGINT) AS kept, CAST(sum(tokens) AS BIGINT) AS tokens, "
+       f"CAST(coalesce(sum(tokens) FILTER (WHERE place > {_VOCABULARY}), 0) AS BIGINT) AS lost FROM v")
+def vocabulary_loss(spark, d):
+    """What a topic model of the most frequent terms leaves out."""
+    usable = TO.usable_documents(TO.tokenise(B.calls(spark, d), stop_words=[]))
+    return TO.vocabulary_loss(usable, TO.topic_vocabulary(usable), _VOCABULARY)
+
+
 def _sql_overlap(words):
     return f"len(list_intersect({_TOK}, [{', '.join(q(w) for w in words)}]))::DOUBLE / {len(words)}"
 

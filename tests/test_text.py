@@ -172,3 +172,23 @@ def test_overlapping_entities_are_merged(spark):
     ends = sorted(spans)
     assert all(b[0] >= a[1] for a, b in zip(ends[:-1], ends[1:], strict=True))
     assert {"PHONE", "EMAIL", "INSURANCE_1", "TIME_0"} <= {label for label, _ in spans.values()}
+
+
+def test_topic_vocabularies_are_bounded(spark):
+    from switchboard.operators import topics as TO
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(60)]
+    df = spark.createDataFrame([(str(k), " ".join(rng.choices(words, k=30))) for k in range(40)], "call_id string, transcript string")
+    tokenised = TO.tokenise(df, stop_words=[])
+    passed = {r["term"]: r["docs"] for r in TO.topic_vocabulary(tokenised, 10, 0.4).collect()}
+    texts = [set(r["transcript"].split()) for r in df.collect()]
+    assert passed == {w: n for w in words if 10 <= (n := sum(w in t for t in texts)) <= 16} and 0 < len(passed) < len(set(words))
+    with pytest.raises(TO.VocabularyTooLarge):
+        TO.train_topics(tokenised, 2, 2, most_terms=5)
+    model = TO.train_topics(tokenised, 2, 2, vocabulary=7)
+    every = TO.topic_vocabulary(tokenised)
+    assert model.stages[0].vocabulary == [r["term"] for r in TO.most_frequent(every, 7).collect()]
+    loss = TO.vocabulary_loss(tokenised, every, 7).first()
+    assert loss["kept"] == 7 and loss["terms"] == every.count() and 0 < loss["lost"] < loss["tokens"] <= 1200
+    assert TO.top_terms(model, 3).count() == 6
