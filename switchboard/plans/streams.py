@@ -15,6 +15,7 @@ from switchboard.plans.monitoring import KEPT, WINDOW_HOURS
 from switchboard.plans.registry import ORACLES, big, joined, num, query
 from switchboard.session import scratch_path
 from switchboard.sources import sinks
+from switchboard.sources.files import Folder
 from switchboard.streaming import calls as SC
 from switchboard.streaming import coaching as SCO
 from switchboard.streaming import monitoring as SM
@@ -35,14 +36,41 @@ def _calls(spark, d):
                        F.lit(False).alias("needs_transcription"), F.lit(None).cast("string").alias("audio_file"))
 
 
-@query("call_stream", f"WITH {B.CALLS} SELECT call_id, md5(transcript) AS digest, 'landing' AS source_id FROM calls")
-def call_stream(spark, d):
-    """Call files landed as JSON, read by a polling file stream."""
+#: calls in a landed file
+FILE_CALLS = 250
+
+
+def _landed_files(spark, d):
+    """A folder of JSON files, each a list of calls."""
     path = scratch_path(spark, "landing")
-    B.calls(spark, d).select("call_id", "transcript").write.option("maxRecordsPerFile", 1000).json(path)
-    reader = spark.readStream.schema("call_id string, transcript string").json(path)
-    stream = reader.withColumn("source_id", F.lit("landing"))
-    return ST.run_available(stream, "calls").select("call_id", F.md5("transcript").alias("digest"), "source_id")
+    one = B.read(spark, d, "documents").groupBy(F.floor(F.col("doc_id") / FILE_CALLS)).agg(F.to_json(F.collect_list(F.struct(
+        F.col("doc_id").cast("string").alias("call_id"), F.col("text").alias("transcript")))).alias("value"))
+    one.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+def _consumed(spark, path, root, archive=None):
+    """Reads the landed files in several batches, every batch written twice as after a lost commit."""
+    sink = ST.landed_sink(root, archive)
+
+    def twice(batch, number):
+        sink(batch, number)
+        sink(batch, number)
+
+    stream = ST.call_stream(spark, path, "part-*", "landing", archive=archive, max_files=100)
+    checkpoint = scratch_path(spark, "calls-state")
+    ST.run_batches(stream.select("call_id", "transcript", "source_id", "source_file"), twice, "calls", checkpoint)
+    if archive is not None:
+        ST.archive_last_batch(spark, root, checkpoint)
+
+
+@query("call_stream", f"WITH {B.CALLS} SELECT call_id, md5(transcript) AS digest, 'landing' AS source_id, CAST((SELECT count(*) FROM documents p WHERE p.doc_id // {FILE_CALLS} = CAST(call_id AS BIGINT) // {FILE_CALLS}) AS BIGINT) AS calls_of_file FROM calls")
+def call_stream(spark, d):
+    """Call files read by the polling stream, and the ledger of the files they came from."""
+    path, root = _landed_files(spark, d), scratch_path(spark, "consumed")
+    _consumed(spark, path, root)
+    files = ST.landed(spark, root, "files").select("source_file", F.col("calls").alias("calls_of_file"))
+    return ST.landed(spark, root, "calls").join(files, "source_file").select("call_id", F.md5("transcript").alias("digest"), "source_id", "calls_of_file")
 
 
 @query("analyse_stream", ORACLES["call_insight_rules"])
@@ -151,12 +179,17 @@ def insight_stream(spark, d):
                       num(F.element_at("emotional_journey", F.lit("middle"))).alias("middle"))
 
 
-@query("archive_processed", f"WITH {B.CALLS} SELECT CAST(count(*) AS BIGINT) AS calls, CAST(count(DISTINCT call_id) AS BIGINT) AS ids FROM calls")
+@query("archive_processed", f"WITH {B.CALLS} SELECT call_id, md5(transcript) AS digest, TRUE AS in_ledger FROM calls")
 def archive_processed(spark, d):
-    """Landed call files consumed by a stream that moves them to an archive."""
-    inbox, archive = scratch_path(spark, "inbox"), scratch_path(spark, "archive")
-    B.calls(spark, d).select("call_id", "transcript").write.json(inbox)
-    stream = (spark.readStream.schema("call_id string, transcript string").option("cleanSource", "archive")
-              .option("sourceArchiveDir", archive).json(inbox))
-    out = ST.run_available(stream.select("call_id"), "archived")
-    return out.agg(F.count("*").alias("calls"), F.count_distinct("call_id").alias("ids"))
+    """Consumed files lie in the archive, where the ledger says, with all their calls; none is left in the inbox."""
+    path, root, archive = _landed_files(spark, d), scratch_path(spark, "consumed"), scratch_path(spark, "archive")
+    _consumed(spark, path, root, archive)
+    left = [n for n in Folder(spark, path).names() if n.startswith("part-")]
+    if left:
+        raise ValueError(f"{len(left)} consumed files were not archived")
+    ledger = ST.landed(spark, root, "files").select(F.col("archived_as").alias("place"), F.lit(True).alias("in_ledger"))
+    files = spark.read.schema("call_id string, transcript string").option("multiLine", True).option("recursiveFileLookup", True).json(archive)
+    place = F.regexp_replace("_metadata.file_path", r"^\w+:(//[^/]*)?", "")
+    return files.select("call_id", F.md5("transcript").alias("digest"), place.alias("place")).join(
+        ledger.withColumn("place", F.regexp_replace("place", r"^\w+:(//[^/]*)?", "")), "place", "left").select(
+        "call_id", "digest", F.coalesce("in_ledger", F.lit(False)).alias("in_ledger"))

@@ -61,3 +61,11 @@ class Folder:
 
     def delete(self, name: str) -> None:
         self.fs.delete(self.at(name), True)
+
+    def move(self, source: str, target: str) -> bool:
+        """Moves a file of the same store, given whole paths; false if it isn't there."""
+        path = self.jvm.org.apache.hadoop.fs.Path
+        if not self.fs.exists(path(source)):
+            return False
+        self.fs.mkdirs(path(target).getParent())
+        return self.fs.rename(path(source), path(target))

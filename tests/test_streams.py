@@ -179,3 +179,33 @@ def test_session_start_query_runs_the_operator(spark, monkeypatch):
     seen, operator = [], CO.session_start
     monkeypatch.setattr(CO, "session_start", lambda first, *given: seen.append(first.isStreaming) or operator(first, *given))
     assert QUERIES["session_start"](spark, TESTDATA).count() > 0 and seen == [True]
+
+
+def test_ledger_tells_files_batches_and_places(spark, tmp_path):
+    """Files are archived where the ledger says, the last batch's too; a repeated batch and a later run tell nothing twice."""
+    inbox, archive, root, state = (str(tmp_path / n) for n in ("in", "done", "out", "state"))
+    os.makedirs(inbox)
+    for k in range(5):
+        with open(f"{inbox}/f{k}.json", "w") as f:
+            json.dump([{"call_id": f"{k}-{c}", "transcript": f"text {c}"} for c in range(k + 1)], f)
+    sink = ST.landed_sink(root, archive)
+
+    def twice(batch, number):
+        sink(batch, number)
+        sink(batch, number)
+
+    def run():
+        stream = ST.call_stream(spark, inbox, "*.json", "desk", archive=archive, max_files=2)
+        ST.run_batches(stream.select("call_id", "transcript", "source_file"), twice, "calls", state)
+
+    run()
+    assert 0 < ST.archive_last_batch(spark, root, state) <= 2 and os.listdir(inbox) == []
+    assert ST.archive_last_batch(spark, root, state) == 0
+    files = ST.landed(spark, root, "files").collect()
+    assert sorted((os.path.basename(r["source_file"]), r["calls"]) for r in files) == [(f"f{k}.json", k + 1) for k in range(5)]
+    assert len({r["batch_id"] for r in files}) == 3 and all(os.path.isfile(r["archived_as"]) for r in files)
+    assert ST.landed(spark, root, "calls").count() == 15
+    with open(f"{inbox}/late.json", "w") as f:
+        json.dump({"call_id": "late", "transcript": "x"}, f)
+    run()
+    assert ST.landed(spark, root, "calls").count() == 16 and ST.landed(spark, root, "files").count() == 6
