@@ -27,9 +27,8 @@ from pyspark.sql import functions as F
 from switchboard.llm import words as W
 from switchboard.session import materialise
 
-#: share of a host's pages that must have a tag, and a text node, of the template; in hosts of fewer pages template texts
-#: stay if their template element has other text as well
-TAG_SUPPORT, TEXT_SUPPORT, TEXT_PAGES = 0.5, 0.9, 8
+#: share of a host's pages that must have a tag, and a text node, of the template
+TAG_SUPPORT, TEXT_SUPPORT = 0.5, 0.9
 #: a template of so many hosts at most is broadcast, more are joined by a shuffle
 BROADCAST_HOSTS = 20_000
 #: what a token is
@@ -217,7 +216,7 @@ def few_hosts(hosts: DataFrame) -> DataFrame:
 
 
 def host_templates(pages: DataFrame) -> DataFrame:
-    """(host, template, pages): the tokens of the host's large and frequent classes that keep their order and nest, and its number of pages.
+    """(host, template): the tokens of the host's large and frequent classes that keep their order and nest.
 
     A class needs at least two tokens: a tag alone says nothing of a template's structure.  If only a class's texts
     break its order, its tags stay; of other classes that fail no tag but ``MAIN`` stays.
@@ -229,16 +228,16 @@ def host_templates(pages: DataFrame) -> DataFrame:
     frequent = sums.where(f"kind <> {PAGE}").join(size, "host").where(
         F.col("pages") >= F.when(F.col("kind") == TEXT, TEXT_SUPPORT).otherwise(TAG_SUPPORT) * F.col("of"))
     classes = frequent.groupBy("host", "pages", "total", "v0", "v1").agg(
-        F.collect_list(F.struct("token", "kind")).alias("tokens"), F.first("of").alias("of")).where(F.size("tokens") >= 2)
-    classes = materialise(classes.select("host", F.xxhash64("pages", "total", "v0", "v1").alias("class"), "tokens", "of"), "page-classes")
+        F.collect_list(F.struct("token", "kind")).alias("tokens")).where(F.size("tokens") >= 2)
+    classes = materialise(classes.select("host", F.xxhash64("pages", "total", "v0", "v1").alias("class"), "tokens"), "page-classes")
     by_host = classes.groupBy("host").agg(F.collect_list(F.struct("class", "tokens")).alias("classes"))
     orders = pages.select("host", "html").join(few_hosts(by_host), "host").mapInArrow(class_orders, ORDER)
     orders = orders.groupBy("host", "class").agg(*((F.min if "least" in c else F.max)(c).alias(c) for c in ORDERS.names[2:]))
     whole = (F.col("least") == F.col("most")) & ~F.col("crosses")
     tags = (F.col("tags_least") == F.col("tags_most")) & ~F.col("crosses")
-    valid = classes.join(orders, ["host", "class"]).select("host", "of", F.transform(F.filter("tokens", lambda t: F.when(
+    valid = classes.join(orders, ["host", "class"]).select("host", F.transform(F.filter("tokens", lambda t: F.when(
         t["kind"] == MAIN_TAG, True).when(t["kind"] == TAG, tags).otherwise(whole)), lambda t: t["token"]).alias("tokens"))
-    return valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"), F.max("of").alias("pages"))
+    return valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
 
 
 class Element:
@@ -260,11 +259,11 @@ class Main:
         self.name, self.node, self.hard, self.outer, self.beside, self.size = name, node, hard, outer, beside, 0
 
 
-def main_text(page: str, template: frozenset[int] | None, few: bool = False) -> str:
+def main_text(page: str, template: frozenset[int] | None) -> str:
     """The blocks of the article, or of all slots that vary, joined by line breaks; without a template every tag counts as one of it.
 
-    A text of the template goes outside articles; on a host of ``few`` pages, which may be copies of one another, it
-    stays if its template element has other text as well.  A page that would have no text keeps those of the template.
+    A text of the template goes outside articles, unless its template element has text of the page's own as well, whatever the
+    number of pages.  A page that would have no text keeps those of the template.
 
     What may be an aside (a form, a header, or a class, id or role of ``ASIDE_WORDS``) never is one if it holds most of
     the text around it, and never for an article inside it.  Inside an article such names count only for elements of the host's template.
@@ -335,7 +334,7 @@ def main_text(page: str, template: frozenset[int] | None, few: bool = False) ->
 
     def kept(node: int, hard: int, main: int, shared: bool) -> bool:
         if not chosen:
-            return hard == 0 and not (shared and not (few and size[node])) and not any(is_aside(k, 0) for k in path(parents, node, 0))
+            return hard == 0 and not (shared and not size[node]) and not any(is_aside(k, 0) for k in path(parents, node, 0))
         while main >= 0:
             own = mains[main]
             if hard != own.hard or any(is_aside(k, own.node) for k in path(parents, node, own.node)):
@@ -385,16 +384,16 @@ def outer(mains: list[Main], main: int) -> Iterator[int]:
 
 
 def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (page_id, url, html, host, template, pages) as (page_id, url, text, n_chars)."""
-    known: dict[str, tuple[frozenset[int] | None, bool]] = {}
+    """Batches of (page_id, url, html, host, template) as (page_id, url, text, n_chars)."""
+    known: dict[str, frozenset[int] | None] = {}
     for batch in batches:
         texts = []
         for at, (page, host) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
             if host not in known:
                 if len(known) > 1000:
                     known.clear()
-                known[host] = frozenset(batch.column(4)[at].as_py() or ()) or None, (batch.column(5)[at].as_py() or 0) < TEXT_PAGES
-            texts.append(main_text(page or "", *known[host]))
+                known[host] = frozenset(batch.column(4)[at].as_py() or ()) or None
+            texts.append(main_text(page or "", known[host]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                          ["page_id", "url", "text", "n_chars"])
 
@@ -414,6 +413,6 @@ def extract_pages(pages: DataFrame, id_column: str = "page_id", url_column: str
     own = own.withColumn("host", host_of(F.col("url")))
     templates = few_hosts(materialise(host_templates(own), "page-templates"))
     kind = dict(own.dtypes)["page_id"]
-    found = own.join(templates, "host", "left").select("page_id", "url", "html", "host", "template", "pages").mapInArrow(
+    found = own.join(templates, "host", "left").select("page_id", "url", "html", "host", "template").mapInArrow(
         extracted, f"page_id {kind}, url string, text string, n_chars long")
     return found.withColumnsRenamed({"page_id": id_column, "url": url_column})

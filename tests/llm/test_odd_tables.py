@@ -153,3 +153,13 @@ def test_empty_tables(spark):
     assert decontamination.contaminated(empty, items).count() == decontamination.contaminated(some, items).count() == 0
     assert decontamination.contaminated(empty, spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
     assert decontamination.without_benchmark(some, items).count() == 1 and ngram_join.one_per_component(empty).count() == 0
+
+
+def test_text_does_not_depend_on_the_number_of_pages(spark):
+    """The same page has the same text on hosts of 2 to 30 pages, with and without article elements."""
+    from switchboard.llm import templates
+
+    post = "<body><div class=top>Buy now</div><div class=post><h1>Head {k}</h1><p>In all</p><p>Own words {k}</p></div><div class=bottom>All rights</div></body>"
+    rows = [(100 * n + k, f"http://h{n}.example.com/{k}", post.format(k=k)) for n in (2, 7, 8, 30) for k in range(n)]
+    got = {r["page_id"]: r["text"] for r in templates.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Head {i % 100}\nIn all\nOwn words {i % 100}" for i, _, _ in rows}
