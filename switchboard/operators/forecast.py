@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 
 from switchboard import rules as R
 from switchboard.operators import daily as D
+from switchboard.session import materialise
+from switchboard.sources.files import Folder
 
 TARGETS = {"call_volume": "call_volume", "sentiment": "sentiment_mean", "revenue": "revenue_sum"}
 CALENDAR = {"hour": "hour_first", "day_of_week": "dow_first", "month": "month_first",
@@ -223,6 +227,50 @@ def anomalous_days(daily: DataFrame, features: Sequence[str], contamination: flo
     return scored.withColumn("is_anomaly", F.col("anomaly_score") > cut.scalar())
 
 
+class AnomalyModel(NamedTuple):
+    """Isolation trees with the features they were grown on and the score above which a day is unusual."""
+
+    trees: DataFrame
+    features: list[str]
+    cut: float
+
+    def score(self, daily: DataFrame) -> DataFrame:
+        """Adds ``anomaly_score`` and ``is_anomaly``, also to days the trees haven't seen."""
+        return anomaly_scores(daily, self.trees, self.features).withColumn("is_anomaly", F.col("anomaly_score") > self.cut)
+
+    def save(self, path: str) -> int:
+        """Writes a new version: the nodes as a table, then one small file that makes them a version; its number."""
+        folder = Folder(self.trees.sparkSession, path)
+        version = max(saved_versions(folder), default=0) + 1
+        self.trees.coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes/version={version}")  # trees times 511 nodes at most
+        if not folder.publish(f"versions/{version}", json.dumps({"features": self.features, "cut": self.cut})):
+            raise RuntimeError(f"version {version} was saved by another job")
+        return version
+
+
+def saved_versions(folder: Folder) -> list[int]:
+    return sorted(int(n) for n in folder.names("versions"))
+
+
+def load_anomaly_model(spark: SparkSession, path: str, version: int | None = None) -> AnomalyModel:
+    """A saved version, the latest if none is named."""
+    folder = Folder(spark, path)
+    known = saved_versions(folder)
+    version = version if version is not None else max(known, default=0)
+    if version not in known:
+        raise FileNotFoundError(f"{path} has no anomaly model of version {version or 1}")
+    told = json.loads(folder.read(f"versions/{version}"))
+    return AnomalyModel(spark.read.schema(NODE).parquet(f"{path}/nodes/version={version}"), told["features"], told["cut"])
+
+
+def train_anomaly_model(daily: DataFrame, features: Sequence[str], contamination: float = 0.1, trees: int = 100, seed: int = 42,
+                        sample_rows: int = SAMPLE_ROWS) -> AnomalyModel:
+    """The model behind ``anomalous_days``, to be saved; its trees are written once."""
+    grown = materialise(isolation_trees(daily, "day", features, trees, seed, sample_rows), "isolation-trees")
+    cut = anomaly_scores(daily, grown, features).agg(F.percentile_approx("anomaly_score", 1 - contamination, 10000)).first()[0]
+    return AnomalyModel(grown, list(features), cut)
+
+
 def robust_outliers(daily: DataFrame, column: str, limit: float = 3.5) -> DataFrame:
     """Robust z-score per day from the median and the median absolute deviation."""
     centred = daily.withColumn("_off", F.col(column) - daily.agg(F.median(column)).scalar())

@@ -8,7 +8,7 @@ from switchboard.operators import daily as D
 from switchboard.operators import forecast as FC
 from switchboard.operators import topics as TO
 from switchboard.plans import tables as B
-from switchboard.plans.registry import big, num, query
+from switchboard.plans.registry import ORACLES, big, num, query
 from switchboard.session import scratch_path
 
 
@@ -49,6 +49,18 @@ def anomalous_days(spark, d):
     return _flagged(spark, d).select(F.col("day").cast("string").alias("day"), num("anomaly_score").alias("anomaly_score"), "is_anomaly")
 
 
+@query("saved_anomaly_model", ORACLES["drop_incomplete"].replace(", CAST(call_volume AS BIGINT) AS call_volume", ", TRUE AS same_score, TRUE AS same_flag").replace(" WHERE sentiment_std IS NOT NULL", ""))
+def saved_anomaly_model(spark, d):
+    """Isolation trees saved as a versioned table: every day's score after loading is that of before."""
+    path, days = scratch_path(spark, "anomaly-model"), D.daily_rollup(B.orders_as_insights(spark, d))
+    model = FC.train_anomaly_model(days, _FEATURES)
+    model.save(path)
+    before = model.score(days).select("day", F.col("anomaly_score").alias("score"), F.col("is_anomaly").alias("flag"))
+    after = FC.load_anomaly_model(spark, path).score(days)
+    return after.join(before, "day").select(F.col("day").cast("string").alias("day"), (F.col("anomaly_score") == F.col("score")).alias("same_score"),
+                                            (F.col("is_anomaly") == F.col("flag")).alias("same_flag"))
+
+
 @query("outlier_ratio")
 def outlier_ratio(spark, d):
     return D.outlier_ratio(_flagged(spark, d))

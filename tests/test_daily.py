@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,3 +116,21 @@ def test_key_phrases_with_hot_tokens(spark):
         finally:
             TO.HOT_TOKENS = before
         assert got == pytest.approx(want)
+
+
+def test_saved_anomaly_models_score_alike(spark, tmp_path):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(f"d{k}", rng.random(), rng.random()) for k in range(80)] + [("odd", 9.0, -9.0)], "day string, a double, b double")
+    path = str(tmp_path / "model")
+    with pytest.raises(FileNotFoundError):
+        FC.load_anomaly_model(spark, path)
+    first = FC.train_anomaly_model(df, ["a", "b"], trees=20)
+    second = FC.train_anomaly_model(df, ["b"], trees=5, seed=7)
+    assert (first.save(path), second.save(path)) == (1, 2)
+    shown = lambda m: rows(m.score(df), "day", "anomaly_score", "is_anomaly")
+    assert shown(FC.load_anomaly_model(spark, path, 1)) == shown(first) == rows(FC.anomalous_days(df, ["a", "b"], trees=20), "day", "anomaly_score", "is_anomaly")
+    assert shown(FC.load_anomaly_model(spark, path)) == shown(second)
+    unseen = spark.createDataFrame([("new", 50.0, 50.0)], "day string, a double, b double")
+    assert FC.load_anomaly_model(spark, path, 1).score(unseen).first()["is_anomaly"]
+    with pytest.raises(FileNotFoundError):
+        FC.load_anomaly_model(spark, path, 3)
