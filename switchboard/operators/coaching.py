@@ -598,11 +598,19 @@ def opening_advice(sessions: DataFrame, known: str | None = None) -> DataFrame:
 
 
 def customer_insights(sessions: DataFrame, customers: DataFrame, key: str = "customer_id") -> DataFrame:
-    """Visit pattern, preferred services and communication notes of the caller."""
+    """Visit pattern, preferred services and communication notes of the caller.
+
+    ``customers`` may have visit_history (a list), service_preferences and communication_style; what
+    it lacks, like what is empty or unknown of a customer, gives null.
+    """
     joined = sessions.join(customers, key, "left")
-    visits = F.coalesce(F.size("visit_history"), F.lit(0))
-    return joined.withColumn("visit_pattern", F.when(visits > 3, "Regular patient")
-                             .when(visits > 0, "Occasional patient"))
+    told = lambda name: F.col(name) if name in customers.columns else F.lit(None).cast("string")
+    visits = F.coalesce(F.size("visit_history"), F.lit(0)) if "visit_history" in customers.columns else F.lit(0)
+    filled = lambda c, kind: F.when(F.size(c) > 0, c) if kind.startswith("array") else F.when(c != "", c)
+    kinds = {**dict.fromkeys(("service_preferences", "communication_style"), "string"), **dict(customers.dtypes)}
+    return joined.withColumns({
+        "visit_pattern": F.when(visits > 3, "Regular patient").when(visits > 0, "Occasional patient"),
+        **{new: filled(told(old), kinds[old]) for new, old in (("preferred_services", "service_preferences"), ("communication_notes", "communication_style"))}})
 
 
 def session_start(first_chunks: DataFrame, staff: DataFrame, baseline: DataFrame) -> DataFrame:

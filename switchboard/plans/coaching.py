@@ -269,13 +269,16 @@ def opening_tips(spark, d):
 
 
 @query("customer_insights", "WITH v AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT CAST(c_custkey AS BIGINT) AS customer_id, "
-       "CASE WHEN n > 3 THEN 'Regular patient' WHEN n > 0 THEN 'Occasional patient' END AS visit_pattern, c_mktsegment AS preferred_services FROM customer LEFT JOIN v ON c_custkey = o_custkey")
+       "CASE WHEN n > 3 THEN 'Regular patient' WHEN n > 0 THEN 'Occasional patient' END AS visit_pattern, CASE WHEN n > 0 THEN c_mktsegment END AS preferred_services, "
+       "CASE WHEN n > 0 AND c_acctbal < 0 THEN 'prefers short answers' END AS communication_notes FROM customer LEFT JOIN v ON c_custkey = o_custkey")
 def customer_insights(spark, d):
-    """Visits are the orders of a customer."""
-    visits = B.read(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).select(
-        F.col("o_custkey").alias("customer_id"), F.sequence(F.lit(1), F.col("n").cast("int")).alias("visit_history"))
-    sessions = B.read(spark, d, "customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("preferred_services"))
-    return CO.customer_insights(sessions, visits).select(big("customer_id").alias("customer_id"), "visit_pattern", "preferred_services")
+    """Visits are the orders of a customer, whose profile is known if there is any."""
+    visits = B.read(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    known = visits.join(B.read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_custkey").alias("customer_id"), F.sequence(F.lit(1), F.col("n").cast("int")).alias("visit_history"), F.col("c_mktsegment").alias("service_preferences"),
+        F.when(F.col("c_acctbal") < 0, "prefers short answers").otherwise("").alias("communication_style"))
+    sessions = B.read(spark, d, "customer").select(F.col("c_custkey").alias("customer_id"))
+    return CO.customer_insights(sessions, known).select(big("customer_id").alias("customer_id"), "visit_pattern", "preferred_services", "communication_notes")
 
 
 @query("coaching_sessions", _G + ", k AS (SELECT call_id, concat_ws('|', CASE WHEN a_customer_emotion > 0 THEN 'customer_emotion' END, CASE WHEN a_duration > 0 THEN 'duration' END, "

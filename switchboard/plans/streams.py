@@ -99,17 +99,16 @@ def coach_stream(spark, d):
 
 
 @query("session_start", "WITH s AS (SELECT conv_id, min(turn) AS first FROM conversations GROUP BY 1) SELECT CAST(conv_id AS VARCHAR) AS call_id, 'staff_' || CAST(conv_id % 7 AS VARCHAR) AS staff_id, "
-       "CASE WHEN conv_id % 7 = 3 THEN 0.9 ELSE 0.7 END::DOUBLE AS baseline_empathy, CASE WHEN c_acctbal < 1000 THEN 'new' ELSE 'known' END AS customer FROM s JOIN customer ON c_custkey = conv_id + 1")
+       "CASE WHEN conv_id % 7 = 3 THEN 0.9 ELSE 0.7 END::DOUBLE AS baseline_empathy, CASE WHEN c_acctbal < 1000 THEN 'new' ELSE 'known' END AS customer FROM s "
+       "LEFT JOIN (SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)) ON c_custkey = conv_id + 1")
 def session_start(spark, d):
-    """The first chunk of a call opens its session: stream-static joins with staff and customers."""
+    """The first chunk of a call opens its session: stream-static joins with staff and customers, who are known from their first order on."""
     staff = B.read(spark, d, "supplier").select(F.concat(F.lit("staff_"), F.col("s_suppkey") % 7).alias("staff_id")).distinct()
     baseline = staff.where("staff_id = 'staff_3'").withColumn("empathy", F.lit(0.9))
-    customers = B.read(spark, d, "customer").select((F.col("c_custkey") - 1).cast("string").alias("call_id"),
-                                                    (F.col("c_acctbal") < 1000).alias("is_new_patient"))
+    known = B.read(spark, d, "customer").join(B.read(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
+    customers = known.select((F.col("c_custkey") - 1).cast("string").alias("call_id"), (F.col("c_acctbal") < 1000).alias("is_new_patient"))
     first = _chunks(spark, d).where("seq = 0").select("call_id", "staff_id", "ts")
-    # calls of unknown customers open no session here
-    opened = CO.session_start(first, customers, baseline).where("is_new_patient is not null")
-    out = ST.run_available(opened.select("call_id", "staff_id", "baseline_empathy", "opening_tips"), "opened")
+    out = ST.run_available(CO.session_start(first, customers, baseline).select("call_id", "staff_id", "baseline_empathy", "opening_tips"), "opened")
     return out.select("call_id", "staff_id", "baseline_empathy", F.when(F.size("opening_tips") > 3, "new").otherwise("known").alias("customer"))
 
 
@@ -156,18 +155,26 @@ def alert_stream(spark, d):
     return ST.run_available(SM.alert_stream(B.alerts_of(_events(spark, d)), WINDOW_HOURS * 3600), "alerts").select("alert_id", "component", "message")
 
 
-@query("stale_component_stream")
+#: the stream's watermark is ten seconds behind its last event
+_WATERMARK = "(SELECT max(ts) - INTERVAL 10 SECOND FROM events)"
+
+
+@query("stale_component_stream", "SELECT 'user_' || CAST(user_id AS VARCHAR) AS component, epoch_us(max(ts)) AS last_seen, 'high' AS severity FROM events "
+       f"GROUP BY user_id HAVING max(ts) + INTERVAL 1 DAY <= {_WATERMARK}")
 def stale_component_stream(spark, d):
     """Components silent for a day before the stream's watermark."""
-    return ST.run_available(SM.stale_component_stream(B.beats_of(_events(spark, d)), 86_400), "stale")
+    out = ST.run_available(SM.stale_component_stream(B.beats_of(_events(spark, d)), 86_400), "stale")
+    return out.select("component", F.unix_micros("last_seen").alias("last_seen"), "severity")
 
 
-@query("stalled_run_stream")
+@query("stalled_run_stream", "WITH r AS (SELECT user_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS place FROM events) "
+       f"SELECT 'run_' || CAST(user_id AS VARCHAR) AS run_id, epoch_us(ts) AS last_seen, 'high' AS severity FROM r WHERE place = 1 AND event_type <> 'purchase' AND ts + INTERVAL 1 DAY <= {_WATERMARK}")
 def stalled_run_stream(spark, d):
     """Every event starts a run of its user; purchases end it."""
     status = F.when(F.col("event_type") == "purchase", "ended").otherwise("started")
     runs = _events(spark, d).select(F.concat(F.lit("run_"), F.col("user_id")).alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), status.alias("status"))
-    return ST.run_available(SM.stalled_run_stream(runs, 86_400), "stalled")
+    out = ST.run_available(SM.stalled_run_stream(runs, 86_400), "stalled")
+    return out.select("run_id", F.unix_micros("last_seen").alias("last_seen"), "severity")
 
 
 @query("insight_stream", ORACLES["fallback_insight"].replace("round(", "round(").split(" AS middle")[0] + " AS middle FROM calls")

@@ -163,3 +163,13 @@ def test_segments_round_trip_in_parts(spark):
 def test_key_themes(spark):
     df = spark.createDataFrame([("a", "banana banana apple pain cherry apple banana zebra")], "call_id string, transcript string")
     assert rows(CV.key_themes(df), "theme_rank", "token", "n") == [(1, "banana", 3), (2, "apple", 2), (3, "pain", 1)]
+
+
+def test_customer_notes_need_not_be_there(spark):
+    sessions = spark.createDataFrame([(1,), (2,), (3,)], "customer_id long")
+    known = spark.createDataFrame([(1, ["a"] * 4, ["whitening"], "brief"), (2, [], [], "")],
+                                  "customer_id long, visit_history array<string>, service_preferences array<string>, communication_style string")
+    got = {r["customer_id"]: tuple(r)[-3:] for r in CO.customer_insights(sessions, known).select("customer_id", "visit_pattern", "preferred_services", "communication_notes").collect()}
+    assert got == {1: ("Regular patient", ["whitening"], "brief"), 2: (None, None, None), 3: (None, None, None)}
+    bare = CO.customer_insights(sessions, known.select("customer_id")).first()
+    assert (bare["visit_pattern"], bare["preferred_services"], bare["communication_notes"]) == (None, None, None)
