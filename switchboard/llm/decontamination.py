@@ -20,6 +20,8 @@ SPAN = 11
 MIN_SCORE = 10
 #: words of benchmark items that are broadcast together; a larger benchmark goes in several blocks
 BLOCK_WORDS = 200_000
+#: an item of fewer words is too common a phrase to be looked for inside texts
+LEAST_RUN = 5
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -76,14 +78,15 @@ KEY = ["_id", "_no_id", "_sum"]
 
 
 def short_hits(hashed: DataFrame, items: DataFrame) -> DataFrame:
-    """(key, item, score, first, last) of rows that hold all words of an item of fewer than ``SPAN`` words, one behind the other."""
+    """(key, item, score, first, last) of rows that hold all words of an item of fewer than ``SPAN`` words, one behind the other; with fewer than ``LEAST_RUN``, nothing else."""
     lengths = sorted(r[0] for r in items.select("_n").distinct().collect())  # fewer than SPAN
     run = lambda words, place, n: F.xxhash64(F.lit(n), *(F.get(F.col(words), place + i) for i in range(n)))
     keys = items.select("_item", "_n", F.coalesce(*(F.when(F.col("_n") == n, run("_words", F.lit(0), n)) for n in lengths)).alias("_seed"))
     found = None
     for n in lengths:
         own = keys.where(F.col("_n") == n).select("_item", "_seed")
-        places = hashed.where(F.size("_h") >= n).select(*KEY, "_h", F.explode(F.sequence(F.lit(0), F.size("_h") - n)).alias("_i"))
+        fits = F.size("_h") >= n if n >= LEAST_RUN else F.size("_h") == n
+        places = hashed.where(fits).select(*KEY, "_h", F.explode(F.sequence(F.lit(0), F.size("_h") - n)).alias("_i"))
         hits = places.select(*KEY, run("_h", F.col("_i"), n).alias("_seed")).join(own, "_seed").select(
             *KEY, "_item", F.lit(n).alias("score"), F.lit(0).alias("first"), F.lit(n - 1).alias("last")).distinct()
         found = hits if found is None else found.unionByName(hits)
@@ -127,7 +130,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
 
     ``item_id`` is the item with the best score (of equals the smallest id); the words are
     those of the item, from 0, that the overlap covers.  An item of fewer than eleven words has no seed: it counts
-    where all its words stand one behind the other, with its number of words as score.  Texts and items without words (null: none)
+    where all its words stand one behind the other, with its number of words as score; one of fewer than five words only if the text has no
+    other words.  Texts and items without words (null: none)
     match nothing; items with equal words count once, under their
     smallest id.  Rows that repeat a document id give one row, the best of them all; null ids give one row together.  An
     empty benchmark gives no rows.  Other columns are ignored.
@@ -183,7 +187,7 @@ stretch AS (
   WHERE t.r = 1 AND t.p - t.m >= {MIN_SCORE} GROUP BY t.doc_id, t.item_id, t.shift, t.p, t.m, t.k, t.k0),
 short AS (
   SELECT doc_id, item_id, len(b.w)::BIGINT AS score, len(b.w) - 1 AS last, 0 AS first
-  FROM d JOIN b ON len(b.w) < {SPAN} AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(b.w, ' ') || ' ')),
+  FROM d JOIN b ON len(b.w) < {SPAN} AND (len(b.w) >= {LEAST_RUN} OR len(b.w) = len(d.w)) AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(b.w, ' ') || ' ')),
 each AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, first, last DESC) AS r
   FROM (SELECT doc_id, item_id, score, last, first FROM stretch UNION ALL SELECT * FROM short)),

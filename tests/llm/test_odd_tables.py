@@ -73,11 +73,12 @@ def test_contaminated_rows_go_and_rows_of_their_ids_stay(spark):
 
 
 def test_short_items_match_whole(spark):
-    items = spark.createDataFrame([(1, "Quiet grey harbour"), (2, "one two three four five six seven eight nine ten"), (3, "grey"), (4, "grey!")], "item_id long, text string")
-    rows = [(1, "the quiet, GREY harbour"), (2, "quiet grey old harbour"), (3, "zero one two three four five six seven eight nine ten eleven"),
-            (4, "one two three four five six seven eight nine"), (5, "greyish quiet"), (6, None), (7, "harbour")]
+    """Items of five to ten words inside a text, shorter ones only if the text is nothing else."""
+    items = spark.createDataFrame([(1, "Quiet grey harbour wall light"), (2, "one two three four five six seven eight nine ten"), (3, "grey"), (4, "grey!")], "item_id long, text string")
+    rows = [(1, "the quiet, GREY harbour wall -- light on"), (2, "quiet grey old harbour wall light"), (3, "zero one two three four five six seven eight nine ten eleven"),
+            (4, "one two three four five six seven eight nine"), (5, "Grey."), (6, None), (7, "harbour")]
     got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
-    assert sorted(tuple(r) for r in got) == [(1, 1, 3, 0, 2, 2), (2, 3, 1, 0, 0, 1), (3, 2, 10, 0, 9, 1)]
+    assert sorted(tuple(r) for r in got) == [(1, 1, 5, 0, 4, 1), (3, 2, 10, 0, 9, 1), (5, 3, 1, 0, 0, 1)]
     left = decontamination.without_benchmark(spark.createDataFrame(rows, "doc_id long, text string"), items.where("item_id = 2"))
     assert sorted(r["doc_id"] for r in left.collect()) == [1, 2, 4, 5, 6, 7]
 
