@@ -6,7 +6,7 @@ shingles, so they meet in the ``|A| - T + 1`` shortest inverted lists of either.
 
 1. Documents with equal sets form a class; only one document of a class is searched.
 2. Every class is sent, with its rarest shingles, to the buckets of these shingles' short
-   lists.  Pairs in a list whose sizes and parity sketches allow a link are united.  The
+   lists.  A long list is cut into blocks, and every two of them meet in a bucket of their own.  Pairs in a list whose sizes and parity sketches allow a link are united.  The
    sketch has one parity bit for each residue of the shingle hashes, so the number of
    differing bits never exceeds the number of differing shingles: no link is lost.
 3. In each group of united classes DivideSkip merges the short lists of a document and
@@ -35,6 +35,8 @@ FREQUENT = 1 / 400
 KNOWN_FREQUENT = 50_000
 #: shingles of short lists in a bucket (there are at least so many buckets), and shingles of a block of a group
 BUCKET, LEAST_BUCKETS, BLOCK = 1_000_000, 64, 1_000_000
+#: sets of a block of a frequent shingle's list; every two blocks meet in a bucket of their own
+LIST = 20_000
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,21 +100,26 @@ def sketches(row: np.ndarray, value: np.ndarray, n: np.ndarray, percent: int) ->
 
 
 def measure(size: int, percent: int):
-    """Batches of (id, text, digest) as (id, digest, n, key) of each document and (token, seen) of frequent shingles."""
+    """Batches of (id, text, digest) as (id, digest, n, key) of each document and (token, seen) of frequent shingles.
+
+    ``seen`` counts the different sets of an input partition, as only these get entries in lists.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "digest", "n", "key", "token", "seen"]
-        docs, heavy = 0, []
+        docs, heavy, done = 0, [], np.zeros(0, np.uint64)
         for batch in batches:
             for i, j, data, at in W.slices(batch.column(1)):
                 row, value, n = shingle_sets(data, at, size)
                 docs += j - i
-                token, seen = np.unique(value, return_counts=True)
+                key = set_keys(row, value, n)
+                first, done = unseen(key, n, done)
+                token, seen = np.unique(value[first[row]], return_counts=True)
                 heavy.append((token[seen > 1], seen[seen > 1]))
                 if len(heavy) == 16:
                     heavy = [merge_counts(heavy)]
                 none = pa.nulls(j - i, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(n), W.signed(set_keys(row, value, n)), none, none], names)
+                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(n), W.signed(key), none, none], names)
         if heavy:
             token, seen = merge_counts(heavy)
             often = seen >= max(8, docs * FREQUENT)
@@ -122,14 +129,37 @@ def measure(size: int, percent: int):
     return run
 
 
+def unseen(key: np.ndarray, n: np.ndarray, done: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with a set that is not empty and neither in ``done`` nor in an earlier row, and ``done`` with their keys."""
+    first = np.zeros(len(n), bool)
+    first[np.unique(key, return_index=True)[1]] = True
+    first &= ~np.isin(key, done) & (n > 0)
+    return first, np.concatenate([done, key[first]])
+
+
+def block_pairs(value: np.ndarray, key: np.ndarray, blocks: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, bucket): the buckets that the entry of set ``key`` in the list of shingle ``value`` goes to.
+
+    An uncut list has one bucket.  In a list of several blocks an entry goes to the pairs of its own block with
+    every block, so any two entries meet.
+    """
+    entry = np.repeat(np.arange(len(value)), blocks)
+    other = np.arange(len(entry)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    of, own = blocks[entry], (W.mix(key ^ np.uint64(W.STEP)) % blocks.astype(np.uint64)).astype(np.int64)[entry]
+    pair = np.minimum(own, other) * of + np.maximum(own, other)
+    spread = np.where(of > 1, W.mix(value[entry] + pair.astype(np.uint64) * np.uint64(W.ODD)), value[entry])
+    return entry, ((spread >> np.uint64(17)) % np.uint64(buckets)).astype(np.int64)
+
+
 def merge_counts(parts: list) -> tuple[np.ndarray, np.ndarray]:
     token, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     return token, np.bincount(back, np.concatenate([p[1] for p in parts]), len(token)).astype(np.int64)
 
 
-def prefixes(size: int, percent: int, buckets: int, frequent: np.ndarray):
+def prefixes(size: int, percent: int, buckets: int, frequent: np.ndarray, blocks: np.ndarray):
     """Batches of (text) as the short-list entries of each set: bucket, key, n, tokens, sketch.
 
+    ``frequent``: shingles in ascending order, with the number of ``blocks`` of their lists.
     A set seen before in the same input partition gives no more entries.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,26 +168,28 @@ def prefixes(size: int, percent: int, buckets: int, frequent: np.ndarray):
             for _, _, data, at in W.slices(batch.column(0)):
                 row, value, n = shingle_sets(data, at, size)
                 key = set_keys(row, value, n)
-                first = np.zeros(len(n), bool)
-                first[np.unique(key, return_index=True)[1]] = True
-                first &= ~np.isin(key, done) & (n > 0)
-                done = np.concatenate([done, key[first]])
+                first, done = unseen(key, n, done)
                 flat, words = sketches(row, value, n, percent)
                 bounds = np.concatenate([[0], np.cumsum(words * 8)])
                 sketch = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(flat)])
                 place = np.minimum(np.searchsorted(frequent, value), max(len(frequent) - 1, 0))
                 often = frequent[place] == value if len(frequent) else np.zeros(len(value), bool)
+                cut = np.where(often, blocks[place], 1) if len(frequent) else np.ones(len(value), np.int64)
                 order = np.lexsort((value, often, row))
-                row, value = row[order], value[order]
+                row, value, cut = row[order], value[order], cut[order]
                 start = np.cumsum(n) - n
                 short = n - (-(-percent * n // 100)) + 1
                 take = (np.arange(len(row)) - start[row] < short[row]) & first[row]
-                row, value = row[take], value[take]
+                row, value, cut = row[take], value[take], cut[take]
                 if not len(row):
                     continue
-                bucket = ((value >> np.uint64(17)) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((bucket, row))
+                entry, bucket = block_pairs(value, key[row], cut, buckets)
+                row, value = row[entry], value[entry]
+                order = np.lexsort((value, bucket, row))
                 row, value, bucket = row[order], value[order], bucket[order]
+                # two pairs of blocks of a list may have one bucket
+                once = np.concatenate([[True], (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1]) | (value[1:] != value[:-1])])
+                row, value, bucket = row[once], value[once], bucket[once]
                 new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])]))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)).astype(np.int32)), W.signed(value))
                 yield pa.RecordBatch.from_arrays(
@@ -231,9 +263,15 @@ def coarse_links(percent: int):
         token, doc = token[order], doc[order]
         sets = Union(len(n))
         at = np.arange(len(token))
+        begin_of = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else at
+        list_of = np.repeat(np.arange(len(begin_of)), np.diff(np.append(begin_of, len(token))))
         step = 0
         while len(at):
             step += 1
+            if step & (step - 1) == 0:  # lists whose entries are all united are done
+                root = sets.roots()[doc]
+                open_list = np.minimum.reduceat(root, begin_of) < np.maximum.reduceat(root, begin_of)
+                at = at[open_list[list_of[at]]]
             at = at[at + step < len(token)]
             at = at[token[at] == token[at + step]]
             a, b = doc[at], doc[at + step]
@@ -352,8 +390,9 @@ def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col
 
     No frame holds pairs of a group: buckets and blocks give forests.  A group larger than
     ``BLOCK`` shingles is compared block by block, which bounds the memory of a task of
-    ``exact_links`` and sends every set to all blocks of its group.  An inverted list is not cut:
-    its sketches are in one task of ``coarse_links``, which takes about L * L / 2 comparisons for L classes.
+    ``exact_links`` and sends every set to all blocks of its group.  The list of a frequent shingle is cut into
+    blocks of about ``LIST`` sets, and an entry goes to the pairs of its block with each block; a list is left once all its
+    entries are united.  A list of many unlike sets still takes about L * L / 2 comparisons for L classes, on many tasks.
     """
     sets, named = named_classes(docs, size, percent, id_column, text_column)
     return sets.join(named, (F.col("key") == F.col("of")) & (F.col("n") > 0), "left").select(
@@ -368,12 +407,16 @@ def named_classes(docs: DataFrame, size: int, percent: int, id_column: str, text
     measured = materialise(texts.mapInArrow(measure(size, percent), "id long, digest long, n long, key long, token long, seen long"), "ngram-sets")
     sets = measured.where("n is not null").select("id", "digest", "n", "key")
     often = measured.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen"))
-    frequent = np.sort(np.array([r[0] for r in often.orderBy(F.desc("seen"), "token").limit(KNOWN_FREQUENT).collect()],
-                                np.int64).view(np.uint64))
+    known = often.orderBy(F.desc("seen"), "token").limit(KNOWN_FREQUENT).collect()
+    frequent, length = np.array([r["token"] for r in known], np.int64).view(np.uint64), np.array([r["seen"] for r in known], np.int64)
+    order = np.argsort(frequent)
+    frequent, length = frequent[order], length[order]
+    blocks = -(-length // LIST)
     short = F.expr(f"n - ceil({percent} * n / 100) + 1")
     entries = sets.where("n > 0").agg(F.sum(short)).first()[0] or 0
-    buckets = max(LEAST_BUCKETS, int(entries) // BUCKET + 1)
-    lists = texts.select("text").mapInArrow(prefixes(size, percent, buckets, frequent),
+    again = int((length * (blocks - 1)).sum())  # entries of cut lists beyond one for each set
+    buckets = max(LEAST_BUCKETS, (int(entries) + again) // BUCKET + 1)
+    lists = texts.select("text").mapInArrow(prefixes(size, percent, buckets, frequent, blocks),
                                             "bucket long, key long, n long, tokens array<long>, sketch binary")
     coarse = lists.groupBy("bucket").applyInArrow(coarse_links(percent), "a long, b long")
     groups = connected_components(coarse, "ngram-groups")

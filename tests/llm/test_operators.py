@@ -76,6 +76,38 @@ def test_join_equals_brute_force(spark, size, percent, monkeypatch):
     assert ngram_join.one_per_component(table(spark, rows)).columns == SCHEMA.replace(",", "").split()[::2]
 
 
+def test_long_lists_in_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LIST", 4)
+    rng = random.Random(12)
+    rows = []
+    for k in range(3):  # three groups of near copies of very different sizes with a common beginning
+        whole = ("the same beginning of all of them " + prose(rng, 60, 3000)).split()
+        for _ in range((60, 30, 5)[k]):
+            words = list(whole)
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(len(words))] = f"new{rng.randrange(9)}"
+            rows.append((len(rows), " ".join(words)))
+    sets = [shingles(t, 3) for _, t in rows]
+    linked = [[j for j, b in enumerate(sets) if j != i and 100 * len(a & b) >= 90 * len(a | b)] for i, a in enumerate(sets)]
+    group = list(range(len(rows)))
+    for _ in rows:
+        group = [min([group[i], *(group[j] for j in linked[i])]) for i in range(len(rows))]
+    want = sorted(((i, len(sets[i]), group[i], len(linked[i])) for i, _ in rows), key=repr)
+    assert found(ngram_join.ngram_jaccard_join(table(spark, rows), 3, 90)) == want
+
+
+def test_any_two_entries_of_a_cut_list_meet():
+    rng = np.random.default_rng(5)
+    key = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
+    value = np.full(50, 77, np.uint64)
+    for blocks in (1, 2, 7):
+        entry, bucket = ngram_join.block_pairs(value, key, np.full(50, blocks), 1000)
+        assert np.bincount(entry).tolist() == [blocks] * 50
+        places = [set(bucket[entry == k].tolist()) for k in range(50)]
+        assert all(a & b for a in places for b in places)
+        assert len(set().union(*places)) == blocks * (blocks + 1) // 2
+
+
 def test_unlinked_texts_of_one_id_stay(spark):
     rng = random.Random(9)
     first, alone, other = (prose(rng, 60, 5000) for _ in range(3))
