@@ -148,9 +148,17 @@ def test_pipeline_stages(spark, database, tmp_path):
                 a, b = sorted((name[i], name[j]))
                 name = {k: a if v == b else v for k, v in name.items()}
     assert ids("ngram_jaccard_join") == set(name.values()) and len(kept["ngram_jaccard_join"]) == len(set(name.values()))
-    assert ids("benchmark_decontamination") < ids("ngram_jaccard_join")
+    # the SQL of the operators over what each stage was given
+    over = duckdb.connect()
+    over.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{TESTDATA}/benchmark.parquet'")
+    over.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/ngram_jaccard_join/*.parquet'")
+    hit = {i for (i,) in over.execute(f"SELECT doc_id FROM ({queries.ORACLES['op1_benchmark_decontamination']})").fetchall()}
+    assert hit and ids("benchmark_decontamination") == ids("ngram_jaccard_join") - hit
+    over.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/benchmark_decontamination/*.parquet'")
     count = Counter(r["doc_id"] for r in kept["mixing_sources"])
-    assert set(count) <= ids("benchmark_decontamination") and max(count.values()) <= 2
+    plan = over.execute(f"SELECT doc_id, size, taken FROM ({queries.ORACLES['op6_mixing_sources']})").fetchall()
+    assert {i for i, _, _ in plan} == ids("benchmark_decontamination") >= set(count)
+    assert all(count[i] * size == taken for i, size, taken in plan) and max(count.values()) <= 2
     library = Tokenizer.from_file(queries.tokenizer_path())
     mixed = sorted(kept["mixing_sources"], key=lambda r: r["doc_id"])
     want = [len(library.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in mixed]
