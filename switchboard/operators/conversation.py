@@ -12,6 +12,7 @@ from switchboard.functions import text as T
 from switchboard.functions import topics as TP
 from switchboard.functions import vectors as V
 from switchboard.operators import ordered as O
+from switchboard.session import by_key
 
 KEY = ["call_id"]
 
@@ -107,10 +108,13 @@ def concern_counts(chunks: DataFrame, concerns: Mapping[str, Sequence[str]] = R.
 def key_themes(calls: DataFrame, key: str = "call_id", text: str = "transcript",
                topics: Mapping[str, Sequence[str]] = R.TOPICS, most: int = 10, keep: int = 5,
                stop_words: Sequence[str] | None = None) -> DataFrame:
-    """Of a call's ``most`` frequent tokens, those known or repeated; at most ``keep``."""
+    """Of a call's ``most`` frequent tokens, those known or repeated; at most ``keep``.
+
+    Only the texts are shuffled: tokens are counted and ranked where the rows of their call are.
+    """
     stop = TP.stop_words() if stop_words is None else stop_words
     # the outer form, because the inner one would tokenise once more to test for emptiness
-    words = calls.select(key, F.posexplode_outer(T.tokens(F.col(text), stop)).alias("pos", "token")) \
+    words = by_key(calls.select(key, text), key).select(key, F.posexplode_outer(T.tokens(F.col(text), stop)).alias("pos", "token")) \
         .where(F.col("token").isNotNull())
     counted = words.groupBy(key, "token").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
     frequent = Window.partitionBy(key).orderBy(F.desc("n"), "first_pos")

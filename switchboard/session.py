@@ -73,3 +73,21 @@ def spread(df: DataFrame, key: str) -> DataFrame:
         return df
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(spark.sparkContext.defaultParallelism, key) if size < ONE_SPLIT else df
+
+
+#: input of a task whose rows are multiplied before they are grouped
+KEYED_SPLIT = 16 * 1024 * 1024
+UNKNOWN_SIZE = 1_000_000
+
+
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """All rows of a key in one task, so that what is exploded from them is grouped by key without a further shuffle.
+
+    The rows are moved once and whole, which is less than to move all that comes out of them.
+    """
+    if not hasattr(df, "_jdf"):  # no plan statistics over a remote session
+        return df.repartition(key)
+    tasks = -(-int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // KEYED_SPLIT)
+    if tasks > UNKNOWN_SIZE:  # rows that don't come from files have no size
+        return df.repartition(key)
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, tasks), key)

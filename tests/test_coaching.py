@@ -173,3 +173,11 @@ def test_customer_notes_need_not_be_there(spark):
     assert got == {1: ("Regular patient", ["whitening"], "brief"), 2: (None, None, None), 3: (None, None, None)}
     bare = CO.customer_insights(sessions, known.select("customer_id")).first()
     assert (bare["visit_pattern"], bare["preferred_services"], bare["communication_notes"]) == (None, None, None)
+
+
+def test_key_themes_shuffle_texts_only(spark):
+    df = spark.createDataFrame([("a", "pear plum pear"), ("a", "plum pear fig"), ("b", "fig fig"), (None, "kiwi kiwi")], "call_id string, transcript string")
+    themes = CV.key_themes(df, stop_words=[])
+    assert rows(themes, "call_id", "theme_rank", "token", "n") == sorted([("a", 1, "pear", 3), ("a", 2, "plum", 2), ("b", 1, "fig", 2), (None, 1, "kiwi", 2)], key=str)
+    plan = themes._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(call_id") == 1 and plan.index("Generate") < plan.index("Exchange")  # printed from the top
