@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from switchboard import rules as R
 from switchboard.functions import text as T
 from switchboard.functions import topics as TP
-from switchboard.session import materialise
+from switchboard.session import by_key, materialise
 
 MIN_DOC_TOKENS = 5
 MIN_DOCS = 3
-HOT_TOKENS = 1000
+#: parts of all (call, token) pairs of which a hot token holds one, so the most tokens that are broadcast
+HOT_TOKENS = 100_000
 #: terms of a topic model
 MOST_TERMS = 200_000
 
@@ -163,26 +164,22 @@ def _bit(mask: str, position: str):
 def key_phrases(tokenised: DataFrame, key: str = "call_id", n: int = 10) -> DataFrame:
     """The ``n`` heaviest tokens of each call by TF-IDF.
 
-    Document frequencies are joined on the token.  A token holding a thousandth
-    of all pairs or more is hot; there can be no more than a thousand of those,
-    so they are broadcast.  The rows of hot tokens are spread over a key of
-    their own in the join that finds the frequencies of all other tokens.
+    Texts are shuffled once and their tokens counted where the rows of their call are.  A token holding one of
+    ``HOT_TOKENS`` parts of all pairs or more is hot; there can be no more than so many of those, so their document
+    frequencies are broadcast and their pairs stay in place, where all but the ``n`` heaviest of a call are dropped
+    before the last shuffle.  Only the pairs of all other tokens are joined on the token.
     """
-    tokens = tokenised.select(key, F.explode_outer("tokens").alias("token"))
+    tokens = by_key(tokenised.select(key, "tokens"), key).select(key, F.explode_outer("tokens").alias("token"))
     # texts are tokenised once: what follows reads the written counts
     counts = materialise(tokens.groupBy(key, "token").agg(F.count("*").alias("tf")), "key-phrases")
     tf = counts.where(F.col("token").isNotNull())
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
+    df = materialise(tf.groupBy("token").agg(F.count("*").alias("df")), "key-phrase-documents")
     n_docs = tokenised.agg(F.count("*")).scalar()
     is_hot = F.col("df") * HOT_TOKENS >= tf.agg(F.count("*")).scalar()
-    hot = df.where(is_hot).withColumnRenamed("df", "_hot_df")
-    cold = df.where(~is_hot).withColumnRenamed("token", "_token")
-    marked = tf.join(F.broadcast(hot), "token", "left")
-    own = F.concat(F.lit("\x00"), F.xxhash64(key).cast("string"))
-    joined = marked.withColumn("_k", F.when(F.col("_hot_df").isNull(), F.col("token")).otherwise(own)).join(
-        cold, F.col("_k") == F.col("_token"), "left")
-    idf = F.log((n_docs + 1) / (F.coalesce("_hot_df", "df") + 1))
-    scored = joined.select(key, "token", "tf", (F.col("tf") * idf).alias("score"))
+    hot = F.broadcast(df.where(is_hot))
+    found = tf.join(hot, "token").unionByName(tf.join(hot, "token", "left_anti").join(df, "token"))
+    idf = F.log((n_docs + 1) / (F.col("df") + 1))
+    scored = found.select(key, "token", "tf", (F.col("tf") * idf).alias("score"))
     heaviest = Window.partitionBy(key).orderBy(F.desc("score"), "token")
     return scored.withColumn("rank", F.row_number().over(heaviest)).where(F.col("rank") <= n)
 

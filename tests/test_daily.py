@@ -118,6 +118,17 @@ def test_key_phrases_with_hot_tokens(spark):
         assert got == pytest.approx(want)
 
 
+def test_key_phrases_count_tokens_where_their_call_is(spark, monkeypatch):
+    df = spark.createDataFrame([("a", "pear plum pear"), ("a", "plum pear fig"), ("b", "fig kiwi"), ("c", None), (None, "kiwi kiwi")], "call_id string, transcript string")
+    written = []
+    monkeypatch.setattr(TO, "materialise", lambda df, label, f=TO.materialise: (written.append(df), f(df, label))[1])
+    got = {(r["call_id"], r["token"]): r["score"] for r in TO.key_phrases(TO.tokenise(df, stop_words=[])).collect()}
+    idf = lambda n: math.log(6 / (n + 1))
+    assert got == pytest.approx({("a", "pear"): 3 * idf(1), ("a", "plum"): 2 * idf(1), ("a", "fig"): idf(2), ("b", "fig"): idf(2), ("b", "kiwi"): idf(2), (None, "kiwi"): 2 * idf(2)})
+    plan = written[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange")  # printed from the top
+
+
 def test_saved_anomaly_models_score_alike(spark, tmp_path):
     rng = random.Random(4)
     df = spark.createDataFrame([(f"d{k}", rng.random(), rng.random()) for k in range(80)] + [("odd", 9.0, -9.0)], "day string, a double, b double")
