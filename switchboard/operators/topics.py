@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 from switchboard import rules as R
 from switchboard.functions import text as T
 from switchboard.functions import topics as TP
+from switchboard.operators import topic_table
+from switchboard.operators.topic_table import TopicTable
 from switchboard.session import by_key, materialise
 
 MIN_DOC_TOKENS = 5
 MIN_DOCS = 3
 #: parts of all (call, token) pairs of which a hot token holds one, so the most tokens that are broadcast
 HOT_TOKENS = 100_000
-#: terms of a topic model
+#: terms of a topic model's matrix
 MOST_TERMS = 200_000
 
 
@@ -72,27 +74,35 @@ def most_frequent(vocabulary: DataFrame, n: int) -> DataFrame:
 
 
 def train_topics(tokenised: DataFrame, num_topics: int = 10, passes: int = 20, seed: int = 42,
-                 min_docs: int = 2, max_share: float = 0.7, vocabulary: int | None = None, most_terms: int = MOST_TERMS) -> PipelineModel | None:
+                 min_docs: int = 2, max_share: float = 0.7, vocabulary: int | None = None, most_terms: int | None = None) -> PipelineModel | TopicTable | None:
     """Term counts and an LDA model; None for fewer than three usable documents.
 
-    Terms are pruned by document frequency on the cluster.  A model, so a matrix of topics times terms and a list of
-    terms on the driver, has at most ``most_terms``: if more pass, that is an error.  ``vocabulary`` asks for
+    Terms are pruned by document frequency on the cluster.  Spark's LDA keeps a matrix of topics times terms and a list of
+    terms on the driver, so it is used for up to ``MOST_TERMS``; with more, the model is a ``TopicTable``, which has
+    all of them.  ``most_terms`` asks for an error if more pass.  ``vocabulary`` asks for
     so many of the most frequent ones only; ``vocabulary_loss`` tells what that leaves out.
     """
     usable = usable_documents(tokenised)
     if usable.select("tokens").limit(MIN_DOCS).count() < MIN_DOCS:
         return None
-    passed = materialise(topic_vocabulary(usable, min_docs, max_share), "topic-terms")
-    if vocabulary is None and (n := passed.count()) > most_terms:
-        raise VocabularyTooLarge(f"{n} terms pass, a model has at most {most_terms}: raise min_docs or ask for a vocabulary")
-    chosen = [r["term"] for r in most_frequent(passed, min(vocabulary or most_terms, most_terms)).collect()]
+    written = materialise(usable.select("tokens"), "topic-documents")  # texts are tokenised once for what follows
+    passed = materialise(topic_vocabulary(written, min_docs, max_share), "topic-terms")
+    if vocabulary is None:
+        n = passed.count()
+        if most_terms is not None and n > most_terms:
+            raise VocabularyTooLarge(f"{n} terms pass, the model may have at most {most_terms}: raise min_docs or ask for a vocabulary")
+        if n > MOST_TERMS:
+            return topic_table.train(written, passed, min(MOST_TERMS, topic_table.FREQUENT), num_topics, passes, seed)
+    chosen = [r["term"] for r in most_frequent(passed, min(vocabulary or MOST_TERMS, most_terms or MOST_TERMS)).collect()]
     counts = CountVectorizerModel.from_vocabulary(chosen or [""], inputCol="tokens", outputCol="counts")
     lda = LDA(k=num_topics, maxIter=passes, seed=seed, optimizer="online", featuresCol="counts").fit(counts.transform(usable))
     return PipelineModel([counts, lda])
 
 
-def top_terms(model: PipelineModel, n: int = 10) -> DataFrame:
+def top_terms(model: PipelineModel | TopicTable, n: int = 10) -> DataFrame:
     """(topic, rank, term, weight); as many rows as topics times ``n``."""
+    if isinstance(model, TopicTable):
+        return model.top_terms(n)
     vectoriser, lda = model.stages
     described = lda.describeTopics(n).select(
         "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
@@ -103,7 +113,7 @@ def top_terms(model: PipelineModel, n: int = 10) -> DataFrame:
     return flat.join(F.broadcast(names), "i").select("topic", "rank", "term", "weight")
 
 
-def topic_labels(model: PipelineModel, topics: Mapping = R.TOPICS, n: int = 3) -> DataFrame:
+def topic_labels(model: PipelineModel | TopicTable, topics: Mapping = R.TOPICS, n: int = 3) -> DataFrame:
     """Readable label of every topic from its heaviest terms."""
     ranked = top_terms(model, n).groupBy("topic").agg(
         F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("_t"))
@@ -111,9 +121,12 @@ def topic_labels(model: PipelineModel, topics: Mapping = R.TOPICS, n: int = 3) -
     return terms.withColumn("label", TP.topic_label(F.col("terms"), topics))
 
 
-def document_topics(model: PipelineModel, tokenised: DataFrame) -> DataFrame:
+def document_topics(model: PipelineModel | TopicTable, tokenised: DataFrame) -> DataFrame:
     """Topic distribution and the most likely topic of each document."""
-    shares = model.transform(tokenised).withColumn("topic_distribution", vector_to_array("topicDistribution"))
+    if isinstance(model, TopicTable):
+        shares = model.shares(tokenised)
+    else:
+        shares = model.transform(tokenised).withColumn("topic_distribution", vector_to_array("topicDistribution"))
     best = F.array_max("topic_distribution")
     return shares.drop("counts", "topicDistribution").withColumns({
         "dominant_topic_id": (F.array_position("topic_distribution", best) - 1).cast("int"),
@@ -201,9 +214,13 @@ def predict_intent(model: PipelineModel, tokenised: DataFrame) -> DataFrame:
     return out.drop("bigrams", "grams", "tf", "features", "rawPrediction")
 
 
-def save_topics(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_topics(model: PipelineModel | TopicTable, path: str) -> None:
+    if isinstance(model, TopicTable):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_topics(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_topics(path: str) -> PipelineModel | TopicTable:
+    spark = SparkSession.active()
+    return TopicTable.load(spark, path) if TopicTable.saved(spark, path) else PipelineModel.load(path)

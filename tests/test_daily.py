@@ -118,6 +118,30 @@ def test_key_phrases_with_hot_tokens(spark):
         assert got == pytest.approx(want)
 
 
+def test_topics_of_more_terms_than_a_matrix_holds(spark, tmp_path, monkeypatch):
+    fruit, tools = "apple pear plum grape cherry melon quince".split(), "hammer nail saw drill wrench screw chisel".split()
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(ws, k=12)) for ws in (fruit, tools) for _ in range(40)]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)] + [("empty", "unknownword"), ("null", None)], "call_id string, transcript string")
+    tokens = TO.tokenise(df)
+    monkeypatch.setattr(TO, "MOST_TERMS", 5)
+    model = TO.train_topics(tokens, 2, 20)
+    assert len(model.terms) == 5 and {*model.terms, *(r["term"] for r in model.rest.collect())} == {*fruit, *tools}
+    shares = {r["call_id"]: r for r in TO.document_topics(model, tokens).collect()}
+    assert len(shares) == 82 and list(shares["empty"]["topic_distribution"]) == list(shares["null"]["topic_distribution"]) == [0, 0]
+    assert all(sum(shares[str(i)]["topic_distribution"]) == pytest.approx(1) for i in range(80))
+    top = {}
+    for r in TO.top_terms(model, 14).collect():
+        top.setdefault(r["topic"], {})[r["term"]] = r["weight"]
+    assert all(sum(x.values()) == pytest.approx(1) for x in top.values()) and len(top[0]) == len(top[1]) == 14
+    groups = [[shares[str(i)]["dominant_topic_id"] for i in part] for part in (range(40), range(40, 80))]
+    assert max(g.count(0) for g in groups) >= 36 and min(g.count(0) for g in groups) <= 4
+    TO.save_topics(model, str(tmp_path / "t"))
+    again = TO.load_topics(str(tmp_path / "t"))
+    assert rows(TO.top_terms(again, 3)) == rows(TO.top_terms(model, 3)) and again.terms == model.terms
+    assert all(r["npmi"] is not None for r in TO.topic_coherence(tokens.where("tokens is not null"), TO.top_terms(model, 3)).collect())
+
+
 def test_key_phrases_count_tokens_where_their_call_is(spark, monkeypatch):
     df = spark.createDataFrame([("a", "pear plum pear"), ("a", "plum pear fig"), ("b", "fig kiwi"), ("c", None), (None, "kiwi kiwi")], "call_id string, transcript string")
     written = []
