@@ -57,7 +57,7 @@ class TopicTable:
     def save(self, path: str) -> None:
         spark = self.rest.sparkSession
         Folder(spark, path).delete("")
-        frequent = pd.DataFrame({"place": np.arange(len(self.terms), dtype=np.int32), "term": self.terms, "weights": list(self.matrix)})
+        frequent = [(i, t, w) for i, (t, w) in enumerate(zip(self.terms, self.matrix.tolist(), strict=True))]
         rows = spark.createDataFrame(frequent, "place int, term string, weights array<double>").unionByName(self.rest.select(F.lit(None).cast("int").alias("place"), "term", F.col("weights").cast("array<double>")))
         rows.write.parquet(f"{path}/topic-terms")
         spark.createDataFrame([(self.prior.tolist(),)], "prior array<double>").write.parquet(f"{path}/topic-prior")

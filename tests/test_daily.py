@@ -142,6 +142,19 @@ def test_topics_of_more_terms_than_a_matrix_holds(spark, tmp_path, monkeypatch):
     assert all(r["npmi"] is not None for r in TO.topic_coherence(tokens.where("tokens is not null"), TO.top_terms(model, 3)).collect())
 
 
+def test_topic_tables_are_saved_without_arrow(spark, tmp_path):
+    import numpy as np
+
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    try:
+        rest = spark.createDataFrame([("c", [1.5, 2.5])], "term string, weights array<float>")
+        TO.save_topics(TO.TopicTable(["a", "b"], np.array([[1.0, 2.0], [3.0, 4.0]]), rest, np.array([0.5, 0.5])), str(tmp_path / "t"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    again = TO.load_topics(str(tmp_path / "t"))
+    assert again.terms == ["a", "b"] and again.matrix.tolist() == [[1, 2], [3, 4]] and rows(again.rest) == [("c", [1.5, 2.5])]
+
+
 def test_key_phrases_count_tokens_where_their_call_is(spark, monkeypatch):
     df = spark.createDataFrame([("a", "pear plum pear"), ("a", "plum pear fig"), ("b", "fig kiwi"), ("c", None), (None, "kiwi kiwi")], "call_id string, transcript string")
     written = []
