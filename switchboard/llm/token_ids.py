@@ -18,6 +18,7 @@ import sys
 import types
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,14 @@ from pyspark.sql import functions as F
 
 from switchboard.llm import words as W
 
-#: distinct pieces whose ids a worker remembers before it starts anew
-KNOWN_PIECES = 4_000_000
+#: distinct pieces whose ids a worker remembers before it starts anew, about 50 bytes each
+KNOWN_PIECES = 1_500_000
+#: bytes of text encoded together, but for a single longer one; a worker's arrays take some fifty times as much
+SLICE_BYTES = 512 << 10
+#: rows that an executor hands to a worker together: the batch lies in the memory of both
+BATCH_ROWS = 2000
 #: ids of a block, but for a single longer document
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 18
 #: bytes of text of a shard
 SHARD_BYTES = 32 << 20
 
@@ -82,6 +87,13 @@ def of_this_process(name: str, make):
     return getattr(shelf, name)
 
 
+def forget_pieces() -> None:
+    """Drops what the encoders of this process remember."""
+    for kept in vars(sys.modules.get("switchboard_worker_shelf", types)).values():
+        if isinstance(kept, Known):
+            kept.__init__()
+
+
 class Encoder:
     """Whole texts to ids; with ``by_word`` one library call encodes the new distinct pieces of many texts.
 
@@ -186,7 +198,7 @@ def count_ids(path: str, by_word: bool, end: int):
         encoder = Encoder(path, by_word)
         seen, size = np.zeros(max(encoder.vocabulary, end + 1), np.int64), 0
         for batch in batches:
-            for i, j, data, at in W.slices(batch.column(0)):
+            for i, j, data, at in W.slices(batch.column(0), SLICE_BYTES):
                 ids, _ = encoder.encode(data, at)
                 seen += np.bincount(ids, minlength=len(seen))
                 seen[end] += j - i
@@ -205,7 +217,7 @@ def coded_blocks(path: str, by_word: bool, end: int, rank: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, number = Encoder(path, by_word), 0
         for batch in batches:
-            for i, j, data, at in W.slices(batch.column(1)):
+            for i, j, data, at in W.slices(batch.column(1), SLICE_BYTES):
                 ids, n = encoder.encode(data, at)
                 ranks, n = np.insert(rank[ids], np.cumsum(n), rank[end]), n + 1
                 lo, ends = 0, np.cumsum(n)
@@ -227,6 +239,18 @@ def one_list(values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside hand whole texts to their workers ``BATCH_ROWS`` at a time, or fewer if the session says so."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def write_corpus(docs: DataFrame, folder: str, tokenizer: str, end: int, by_word: bool = False,
                  id_column: str = "doc_id", text_column: str = "text") -> None:
     """Encodes every whole text, adds the id ``end`` to each, and writes the corpus in ascending order of the document id.
@@ -239,7 +263,8 @@ def write_corpus(docs: DataFrame, folder: str, tokenizer: str, end: int, by_word
     spark = docs.sparkSession
     texts = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
     counted = texts.select("text").mapInArrow(count_ids(tokenizer, by_word, end), "id long, seen long").groupBy("id").agg(F.sum("seen").alias("seen"))
-    seen = {r["id"]: r["seen"] for r in counted.collect()}  # at most the vocabulary
+    with small_batches(spark):
+        seen = {r["id"]: r["seen"] for r in counted.collect()}  # at most the vocabulary
     size = seen.pop(-1, 0)
     ids = np.array(sorted(range(max([Encoder(tokenizer, by_word).vocabulary - 1, end, *seen]) + 1), key=lambda i: (-seen.get(i, 0), i)), np.uint32)
     rank = np.empty(len(ids), np.uint32)
@@ -248,12 +273,14 @@ def write_corpus(docs: DataFrame, folder: str, tokenizer: str, end: int, by_word
     order = [F.col("doc").asc_nulls_first(), F.xxhash64("text").asc()]
     shards = max(1, size // SHARD_BYTES + 1)
     ranged = texts.repartitionByRange(shards, *order).sortWithinPartitions(*order).withColumn("shard", F.spark_partition_id())
-    ranged.mapInArrow(coded_blocks(tokenizer, by_word, end, rank), BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
+    with small_batches(spark):
+        ranged.mapInArrow(coded_blocks(tokenizer, by_word, end, rank), BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
 def decoded(ids: np.ndarray, with_ids: bool):
     """Blocks as one row for each document: doc, shard, block, place in the block, n_tokens, crc32 and, if asked for, ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_pieces()  # the worker may have encoded before
         for batch in batches:
             for k in range(batch.num_rows):
                 one = batch.slice(k, 1)

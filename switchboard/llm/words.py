@@ -102,9 +102,11 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     power = np.full(n, np.uint64(ODD))
     power[0] = 1
     np.cumprod(power, out=power)
+    power *= values[data]
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(values[data] * power, out=total[1:])
-    back = np.full(n, np.uint64(pow(ODD, -1, 1 << 64)))
+    np.cumsum(power, out=total[1:])
+    back = power  # in its place, as there may be many texts
+    back[:] = np.uint64(pow(ODD, -1, 1 << 64))
     back[0] = 1
     np.cumprod(back, out=back)
     return mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64) * np.uint64(STEP))

@@ -483,3 +483,28 @@ def test_corpus_file_round_trip(spark, tmp_path, monkeypatch):
     empty = str(tmp_path / "empty")
     token_ids.write_corpus(table(spark, rows).limit(0), empty, queries.tokenizer_path(), end=2)
     assert token_ids.read_corpus(spark, empty).count() == 0
+
+
+def test_encoding_takes_little_memory_and_is_forgotten(spark):
+    pytest.importorskip("tokenizers")
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([f"call {k} was about the bridge. " * 20 for k in range(4000)])], ["text"])
+    count = token_ids.count_ids(queries.tokenizer_path(), True, 2)
+    tracemalloc.start()
+    try:
+        counted = next(count(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 60 << 20 and counted.column(0).to_pylist()[-1] == -1
+    known = token_ids.of_this_process(f"known {queries.tokenizer_path()}", token_ids.Known)
+    assert len(known)
+    assert list(token_ids.decoded(np.arange(9, dtype=np.uint32), False)(iter([]))) == [] and not len(known) and not known.used
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with token_ids.small_batches(spark):
+        assert 0 < int(spark.conf.get(key)) <= token_ids.BATCH_ROWS
+    assert spark.conf.get(key) == before
