@@ -61,17 +61,20 @@ def _context(text: Column, start: Column, end: Column, window: int) -> Column:
 def medical_terms(text: Column, terms: Sequence[str] | None = None,
                   window: int = R.CONTEXT_CHARS) -> Column:
     """Terms found as substrings of the folded text, at their first position."""
-    low = F.lower(text)
-    out = []
-    for term in terms if terms is not None else all_terms():
-        start = F.instr(low, term) - 1
-        end = start + len(term)
-        out.append(F.when(start >= 0, F.struct(
-            F.lit(term).alias("text"), F.lit("MEDICAL_TERM").alias("label"),
-            start.alias("start"), end.alias("end"),
-            F.lit(R.ENTITY_CONFIDENCE["TERM"]).alias("confidence"),
-            _context(text, start, end, window).alias("context"))))
-    return F.array_compact(F.array(*out)).cast(f"array<{ENTITY}>")
+    def found(low: Column) -> Column:
+        out = []
+        for term in terms if terms is not None else all_terms():
+            start = F.instr(low, term) - 1
+            end = start + len(term)
+            out.append(F.when(F.contains(low, F.lit(term)), F.struct(
+                F.lit(term).alias("text"), F.lit("MEDICAL_TERM").alias("label"),
+                start.alias("start"), end.alias("end"),
+                F.lit(R.ENTITY_CONFIDENCE["TERM"]).alias("confidence"),
+                _context(text, start, end, window).alias("context"))))
+        return F.array_compact(F.array(*out)).cast(f"array<{ENTITY}>")
+
+    # a lambda's argument is computed once, however many terms look at it
+    return F.transform(F.array(F.lower(text)), found)[0]
 
 
 def phrase_patterns(terms: Sequence[str] | None = None) -> list[str]:
@@ -99,24 +102,35 @@ def token_entities(text: Column, patterns: Mapping[str, str] = R.TOKEN_PATTERNS)
 def located(text: Column, pattern: str, label: str, confidence: float, window: int = R.CONTEXT_CHARS) -> Column:
     """Every match of one regex with its offsets and surroundings.
 
-    Splitting at the pattern gives what lies between the matches, so a match begins where
-    the texts and matches before it end: one fold, without leaving the JVM.
+    A second regex takes each match together with what lies before it, so a match ends where
+    the pieces so far end: one fold, without leaving the JVM.  Word classes follow Unicode; as that makes a scan
+    slow, ASCII texts are scanned without where it can make no difference.
     """
-    found = hits(text, pattern)
-    between = F.split(text, "(?U)" + pattern, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{ENTITY}>").alias("out"))
-
-    def add(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["before"])
-        end = start + F.length(pair["hit"])
-        entity = F.struct(pair["hit"].alias("text"), F.lit(label).alias("label"), start.alias("start"), end.alias("end"),
-                          F.lit(confidence).alias("confidence"), _context(text, start, end, window).alias("context"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(entity)).cast(f"array<{ENTITY}>").alias("out"))
-
-    pairs = F.arrays_zip(found.alias("hit"), F.slice(between, F.lit(1), F.size(found)).alias("before"))
-    entities = F.aggregate(pairs, empty, add, lambda state: state["out"])
-    # most texts match nothing and are only scanned once
-    return F.when(F.rlike(text, F.lit("(?U)" + pattern)), entities).otherwise(F.array().cast(f"array<{ENTITY}>"))
+    def entities(flag: str, pattern: str) -> Column:
+        pieces, found = (F.regexp_extract_all(text, F.lit(rf"{flag}\G(?s:.*?)({pattern})"), F.lit(k)) for k in (0, 1))
+        empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{ENTITY}>").alias("out"))
+
+        def add(state: Column, pair: Column) -> Column:
+            end = state["at"] + F.length(pair["piece"])
+            start = end - F.length(pair["hit"])
+            entity = F.struct(pair["hit"].alias("text"), F.lit(label).alias("label"), start.alias("start"), end.alias("end"),
+                              F.lit(confidence).alias("confidence"), _context(text, start, end, window).alias("context"))
+            return F.struct(end.alias("at"), F.concat(state["out"], F.array(entity)).cast(f"array<{ENTITY}>").alias("out"))
+
+        pairs = F.arrays_zip(found.alias("hit"), pieces.alias("piece"))
+        # most texts match nothing and are only scanned once
+        return F.when(F.rlike(text, F.lit(flag + pattern)), F.aggregate(pairs, empty, add, lambda state: state["out"])).otherwise(
+            F.array().cast(f"array<{ENTITY}>"))
+
+    if not same_in_ascii(pattern):
+        return entities("(?U)", pattern)
+    plain = pattern.replace(r"[\p{L}\p{N}_]", r"\w")
+    return F.when(F.octet_length(text) == F.length(text), entities("", plain)).otherwise(entities("(?U)", pattern))
+
+
+def same_in_ascii(pattern: str) -> bool:
+    """True if a regex matches the same in ASCII texts whether or not its classes and cases follow Unicode."""
+    return pattern.isascii() and not re.search(r"\\[uxN0cpP]|\(\?\w*[uU]", re.sub(r"\\p\{[LN]\}", "", pattern))
 
 
 def located_entities(text: Column, patterns: Iterable[tuple[str, str, float]], window: int = R.CONTEXT_CHARS) -> Column:

@@ -192,3 +192,15 @@ def test_topic_vocabularies_are_bounded(spark):
     loss = TO.vocabulary_loss(tokenised, every, 7).first()
     assert loss["kept"] == 7 and loss["terms"] == every.count() and 0 < loss["lost"] < loss["tokens"] <= 1200
     assert TO.top_terms(model, 3).count() == 6
+
+
+def test_entities_scan_ascii_and_fold_once(spark, capsys):
+    assert not E.same_in_ascii(r"\p{Punct}") and not E.same_in_ascii("é") and not E.same_in_ascii("(?iu)a") and E.same_in_ascii(R.EMAIL_PATTERN)
+    texts = ["cigna 5 pm", "c\u0131gna AETNA", "met\u0131ife 5\u00a0pm", "x.cigna_ cigna", "\u0661 pm 7 pm", "a\ncigna\r\ncigna", "crown\u0301 crown", "1555-123-4567 555-123-4567", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for pattern in [R.TOKEN_PATTERNS["INSURANCE_2"], R.TOKEN_PATTERNS["TIME_0"], R.TOKEN_PATTERNS["PHONE_0"], *E.phrase_patterns()]:
+        for r in df.select("t", E.located(F.col("t"), pattern, "L", 0.5).alias("e"), E.hits(F.col("t"), pattern).alias("h")).collect():
+            assert [x["text"] for x in r["e"]] == (r["h"] or [])
+            assert all(r["t"][x["start"]:x["end"]] == x["text"] for x in r["e"])
+    df.select(E.medical_terms(F.col("t")).alias("m")).explain(True)
+    assert capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0].count("lower(t") == 1
