@@ -27,9 +27,13 @@ from pyspark.sql import functions as F
 
 from switchboard.llm import words as W
 
-#: distinct pieces whose ids a worker remembers before it starts anew, about 50 bytes each
-KNOWN_PIECES = 1_500_000
-#: bytes of text encoded together, but for a single longer one; a worker's arrays take some fifty times as much
+#: distinct pieces whose ids a worker remembers before it drops those not seen again, about 26 bytes each
+KNOWN_PIECES = 2_000_000
+#: pieces of letters that the library gets as one string
+JOINED_PIECES = 512
+#: bytes of a span up to which it is hashed by itself
+SHORT_BYTES = 64
+#: bytes of text encoded together, but for a single longer one; a worker's arrays take some thirty times as much
 SLICE_BYTES = 512 << 10
 #: rows that an executor hands to a worker together: the batch lies in the memory of both
 BATCH_ROWS = 2000
@@ -42,41 +46,62 @@ SHARD_BYTES = 32 << 20
 class Known:
     """Ids of pieces of text seen before, by the piece's hash.
 
-    ``main`` and the small ``recent`` are sorted (hash, first id, number of ids); the ids themselves are only appended.
+    ``main`` and the small ``recent`` are sorted (hash, first id, number of ids, found again); the ids themselves are only
+    appended, in 16 bits while all fit.
     """
 
     def __init__(self) -> None:
-        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, bool))
         self.main, self.recent = none, none
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.ids, self.used = np.zeros(1 << 16, np.uint16), 0
 
     def __len__(self) -> int:
         return len(self.main[0]) + len(self.recent[0])
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First id and number of ids of each hash; -1 if it isn't known."""
+        """First id and number of ids of each hash, hashes in order; -1 if it isn't known."""
         begin, size = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
         for part in (self.main, self.recent):
             if len(part[0]):
                 place = np.minimum(np.searchsorted(part[0], hashes), len(part[0]) - 1)
                 has = part[0][place] == hashes
-                begin[has], size[has] = part[1][place[has]], part[2][place[has]]
+                own = place[has]
+                begin[has], size[has], part[3][own] = part[1][own], part[2][own], True
         return begin, size
 
     def add(self, hashes: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
         """New pieces in order of their hashes."""
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+        if len(ids) and ids.max() > np.iinfo(self.ids.dtype).max:
+            self.ids = self.ids.astype(np.uint32)
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) // 4 + len(ids), self.ids.dtype)])
         self.ids[self.used:self.used + len(ids)] = ids
-        self.recent = inserted(self.recent, (hashes, self.used + np.cumsum(size) - size, size))
+        self.recent = inserted(self.recent, (hashes, self.used + np.cumsum(size) - size, size, False))
         self.used += len(ids)
         if len(self.recent[0]) > 100_000:
             self.main, self.recent = inserted(self.main, self.recent), tuple(x[:0] for x in self.recent)
 
+    def make_room(self, new: int) -> None:
+        """Before ``new`` pieces come: if there is no room for them, keeps pieces that were found again since the last time, at most half of all."""
+        if len(self) + new <= KNOWN_PIECES and self.used <= 8 * KNOWN_PIECES:
+            return
+        hashes, begin, size, again = inserted(self.main, self.recent)
+        kept = np.flatnonzero(again)[:KNOWN_PIECES // 2]
+        kept = kept[np.cumsum(size[kept], dtype=np.int64) <= 4 * KNOWN_PIECES]
+        size = size[kept].astype(np.int64)
+        ids = self.ids[ranges(begin[kept].astype(np.int64), size)]
+        self.__init__()
+        self.add(hashes[kept], size, ids)
+
 
 def inserted(table: tuple, rows: tuple) -> tuple:
-    place = np.searchsorted(table[0], rows[0])
-    return tuple(np.insert(a, place, b) for a, b in zip(table, rows, strict=True))
+    place = np.searchsorted(table[0], rows[0]) + np.arange(len(rows[0]))
+    old = np.ones(len(table[0]) + len(rows[0]), bool)
+    old[place] = False
+    both = tuple(np.empty(len(old), a.dtype) for a in table)
+    for to, a, b in zip(both, table, rows, strict=True):
+        to[old], to[place] = a, b
+    return both
 
 
 def of_this_process(name: str, make):
@@ -100,7 +125,7 @@ class Encoder:
     That is only for tokenizers that split at white space and drop it, ignore case, and
     split between a letter and another ASCII character that isn't an apostrophe (``word_bpe_49k``): there the ids of a
     text are those of its pieces.  Others encode text by text.  A worker keeps the ids of
-    ``KNOWN_PIECES`` pieces between its tasks.
+    ``KNOWN_PIECES`` pieces between its tasks; when they are full, those found again stay.
     """
 
     def __init__(self, path: str, by_word: bool) -> None:
@@ -110,6 +135,7 @@ class Encoder:
         self.by_word, self.name = by_word, f"known {path}"
         self.tokenizer = of_this_process(f"tokenizer {path}", lambda: Tokenizer.from_file(path))
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.ends_word = of_this_process(f"word ends {path}", lambda: word_ends(self.tokenizer))
 
     def ids_of(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all strings and the number of each; a few thousand at a time, as the library's results are large."""
@@ -120,31 +146,100 @@ class Encoder:
             ids.append(np.fromiter((i for x in found for i in x), np.uint32))
         return np.concatenate(ids), np.array(size, np.int64)
 
+    def ids_of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``ids_of``, but pieces of letters alone are joined by spaces, as the library takes most of its time for a string, not for its length.
+
+        Each gives one word or more, so if a string has as many ids that end a word as it has pieces, they end its pieces; else its pieces go one by one.
+        """
+        letters = np.array([p.isalpha() for p in pieces], bool) & self.ends_word.any()
+        alone, joined, ids, size = np.flatnonzero(~letters).tolist(), np.flatnonzero(letters).tolist(), [], []
+        order = []
+        for lo in range(0, len(joined), JOINED_PIECES):
+            own = joined[lo:lo + JOINED_PIECES]
+            found = np.array(self.tokenizer.encode_batch_fast([" ".join([pieces[k] for k in own])], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends_word[found]) + 1
+            if len(ends) == len(own) and ends[-1] == len(found):
+                ids.append(found)
+                size.append(np.diff(ends, prepend=0))
+                order += own
+            else:
+                alone += own
+        found, n = self.ids_of([pieces[k] for k in alone])
+        ids, size = np.concatenate([*ids, found]), np.concatenate([*size, n])
+        place = np.argsort(order + alone)
+        return ids[ranges((np.cumsum(size) - size)[place], size[place])], size[place]
+
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each text."""
-        raw = data.tobytes()
         if not self.by_word:
+            raw = data.tobytes()
             return self.ids_of([raw[i:j].decode() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
-        cuts = None
+        row, back, begin, size, known = self.pieces(data, at)
+        size = size[back]
+        return known[ranges(begin[back], size)].astype(np.uint32), np.bincount(row, size, len(at) - 1).astype(np.int64)
+
+    def count(self, data: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
+        """How often each id is in the texts, for ``least`` ids at least."""
+        if not self.by_word:
+            return np.bincount(self.encode(data, at)[0], minlength=least)
+        _, back, begin, size, known = self.pieces(data, at)
+        times = np.bincount(back, minlength=len(size))
+        return np.bincount(known[ranges(begin, size)], np.repeat(times, size), least).astype(np.int64)
+
+    def pieces(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row and distinct piece of each piece; first id and number of ids of each distinct piece; the array these ids are in."""
+        raw, cuts = data.tobytes(), None
         if b"<|" not in raw:  # else there may be special tokens, which are case-sensitive
             data = W.lower(data)
             raw, cuts = data.tobytes(), piece_borders(data)
         row, start, end = W.spans(W.space(data), at, cuts)
-        if not len(row):
-            return np.zeros(0, np.uint32), np.zeros(len(at) - 1, np.int64)
-        hashes, first, back = np.unique(W.hash_spans(data, start, end), return_index=True, return_inverse=True)
+        hashes, some, back = distinct(span_hashes(data, start, end))
         known = of_this_process(self.name, Known)
-        if len(known) + len(hashes) > KNOWN_PIECES:
-            known.__init__()
+        known.make_room(len(hashes))
         begin, size = known.find(hashes)
         new = begin < 0
         if new.any():
-            own = first[new]
-            ids, count = self.ids_of([raw[i:j].decode() for i, j in zip(start[own].tolist(), end[own].tolist(), strict=True)])
+            own = some[new]
+            ids, count = self.ids_of_pieces([raw[i:j].decode() for i, j in zip(start[own].tolist(), end[own].tolist(), strict=True)])
             begin[new], size[new] = known.used + np.cumsum(count) - count, count
             known.add(hashes[new], count, ids)
-        size = size[back]
-        return known.ids[ranges(begin[back], size)], np.bincount(row, size, len(at) - 1).astype(np.int64)
+        return row, back, begin, size, known.ids
+
+
+def word_ends(tokenizer) -> np.ndarray:
+    """Whether an id ends a word, by id; of none if the tokenizer doesn't mark them."""
+    vocabulary, mark = tokenizer.get_vocab(with_added_tokens=True), getattr(tokenizer.model, "end_of_word_suffix", None)
+    ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+    if mark:
+        ends[[i for token, i in vocabulary.items() if token.endswith(mark)]] = True
+    return ends
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, read eight at a time; long spans take ``words.hash_spans``."""
+    eight = np.ndarray(len(data) + 1, "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))  # the bytes from each place
+    some = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    size = end - start
+    found = W.mix(W.mix(size.astype(np.uint64)) ^ eight[start] & some[np.minimum(size, 8)])
+    for lo in range(8, SHORT_BYTES, 8):
+        more = np.flatnonzero(size > lo)
+        found[more] = W.mix(found[more] ^ eight[start[more] + lo] & some[np.minimum(size[more] - lo, 8)])
+    long = size > SHORT_BYTES
+    if long.any():
+        found[long] = W.hash_spans(data, start[long], end[long])
+    return found
+
+
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes in order, a place of each, and where among them each given hash is."""
+    coded = pa.array(hashes).dictionary_encode()
+    found, back = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    some = np.empty(len(found), np.int64)
+    some[back] = np.arange(len(back))
+    order = np.argsort(found)
+    rank = np.empty(len(found), np.int64)
+    rank[order] = np.arange(len(found))
+    return found[order], some[order], rank[back]
 
 
 def piece_borders(data: np.ndarray) -> np.ndarray:
@@ -173,9 +268,15 @@ def pack(ranks: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     full = np.zeros(int(padded.sum()), "<u4")
     full[ranges(np.cumsum(padded) - padded, n)] = ranks
     length = 1 + (full > 0xFF).astype(np.uint8) + (full > 0xFFFF) + (full > 0xFFFFFF)
-    data = full.view(np.uint8).reshape(-1, 4)[np.arange(4) < length[:, None]]
+    after = np.cumsum(length, dtype=np.int64)
+    begin = after - length
+    data = np.empty(int(after[-1]) if len(after) else 0, np.uint8)
+    data[begin] = full & 0xFF
+    for byte in range(1, 4):
+        has = np.flatnonzero(length > byte)
+        data[begin[has] + byte] = full[has] >> 8 * byte & 0xFF
     code = (length - 1).reshape(-1, 4)
-    ends = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])[np.concatenate([[0], np.cumsum(padded)])]
+    ends = np.append(0, after)[np.append(0, np.cumsum(padded))]
     return (code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6).astype(np.uint8), data, np.diff(ends)
 
 
@@ -199,8 +300,7 @@ def count_ids(path: str, by_word: bool, end: int):
         seen, size = np.zeros(max(encoder.vocabulary, end + 1), np.int64), 0
         for batch in batches:
             for i, j, data, at in W.slices(batch.column(0), SLICE_BYTES):
-                ids, _ = encoder.encode(data, at)
-                seen += np.bincount(ids, minlength=len(seen))
+                seen += encoder.count(data, at, len(seen))
                 seen[end] += j - i
                 size += len(data)
         own = np.flatnonzero(seen)

@@ -508,3 +508,57 @@ def test_encoding_takes_little_memory_and_is_forgotten(spark):
     with token_ids.small_batches(spark):
         assert 0 < int(spark.conf.get(key)) <= token_ids.BATCH_ROWS
     assert spark.conf.get(key) == before
+
+
+def test_the_library_gets_few_strings(monkeypatch):
+    """New pieces of letters go to the library many in a string, and pieces that are found again are kept when there is no room for more."""
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(queries.tokenizer_path())
+    sent = []
+
+    class Counting:
+        def encode_batch_fast(self, strings, **options):
+            sent.extend(strings)
+            return library.encode_batch_fast(strings, **options)
+
+    def check(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        ids, n = encoder.encode(data, np.array([0, len(data)]))
+        want = library.encode(text, add_special_tokens=False).ids
+        assert ids.tolist() == want and n.tolist() == [len(want)]
+        return data, want
+
+    encoder = token_ids.Encoder(queries.tokenizer_path(), True)
+    encoder.tokenizer = Counting()
+    token_ids.forget_pieces()
+    rng = random.Random(8)
+    name = lambda: "".join(rng.choices("abcdefghijklmnoprstué", k=12))
+    often = [name() for _ in range(300)]
+    check(" ".join(often + [name() for _ in range(3000)]))
+    assert 0 < len(sent) < 30
+    # letters that the library takes apart or doesn't know as letters, and other pieces among them
+    data, want = check("क़ख़ \u0958\u0959 İstanbul ﬁne ΣΑΣ ªº \u0345 日本語 x\u00a0y 3 a1 it's café. \U0001e900\U0001e922 \u1c89\u1c8a a\u1c89 e\u0301t\u0301 \ufb1d")
+    assert encoder.count(data, np.array([0, len(data)]), 60_000).tolist() == np.bincount(want, minlength=60_000).tolist()
+    assert not encoder.count(data[:0], np.array([0, 0]), 9).any()
+    monkeypatch.setattr(token_ids, "KNOWN_PIECES", 1000)
+    token_ids.forget_pieces()
+    for k in range(20):
+        sent.clear()
+        check(" ".join(often + [name() for _ in range(100)]))
+        assert len(token_ids.of_this_process(encoder.name, token_ids.Known)) <= 1000
+        assert set(often) & {w for s in sent for w in s.split()} == (set() if k else set(often))
+    token_ids.forget_pieces()
+
+
+def test_span_hashes_tell_spans_apart():
+    rng = np.random.default_rng(3)
+    spans = [bytes([k]) * n for k in (0, 1, 97) for n in range(1, 140)] + [rng.bytes(n) for n in range(9, 140)]
+    spans += [b"a" * 70 + b"b" + b"a" * n for n in range(9)] + [b"\0a", b"a\0"]
+    places = [*range(len(spans)), *rng.permutation(len(spans))]
+    data = np.frombuffer(b" ".join(spans[k] for k in places), np.uint8)
+    size = np.array([len(spans[k]) for k in places])
+    end = np.cumsum(size + 1) - 1
+    hashes = token_ids.span_hashes(data, end - size, end)
+    assert len(set(spans)) == len(set(hashes.tolist())) == len({(spans[k], h) for k, h in zip(places, hashes.tolist(), strict=True)})
+    found, some, back = token_ids.distinct(hashes)
+    assert found.tolist() == sorted(set(hashes.tolist())) and (found[back] == hashes).all() and (hashes[some] == found).all()
