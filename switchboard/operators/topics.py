@@ -9,7 +9,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import IDF, CountVectorizerModel, HashingTF, NGram
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from switchboard import rules as R
@@ -136,16 +136,21 @@ def document_topics(model: PipelineModel | TopicTable, tokenised: DataFrame) ->
 def topic_coherence(tokenised: DataFrame, terms: DataFrame) -> DataFrame:
     """Document-level NPMI of each topic's terms.
 
-    A document is reduced to one bit mask per topic, and equal masks are
-    counted first; pairs are only formed on the few distinct masks.
+    A document is reduced to the topics' words it has, then to one bit mask per topic, and equal masks are
+    counted first; pairs are only formed on the few distinct masks.  The words are tested in a loop over a
+    literal: a test written out for each makes a method too long to be compiled.
     """
     listed = terms.select("topic", "rank", "term").collect()  # topics * terms per topic
     by_topic: dict[int, list[str]] = {}
     for r in sorted(listed, key=lambda r: (r["topic"], r["rank"])):
         by_topic.setdefault(r["topic"], []).append(r["term"])
-    per_doc = F.array(*[F.struct(F.lit(t).alias("topic"), _presence(words).alias("mask"))
-                        for t, words in by_topic.items()])
-    masks = (tokenised.select(F.inline(per_doc)).groupBy("topic", "mask").agg(F.count("*").alias("docs")))
+    if max(len(w) for w in by_topic.values()) > 63:
+        raise ValueError("a bit mask holds at most 63 terms of a topic")
+    words = F.array(*[F.lit(w) for w in sorted({r["term"] for r in listed})])
+    present = tokenised.select(F.array_intersect("tokens", words).alias("present"))
+    of_topics = F.array(*[F.struct(F.lit(t).alias("topic"), F.array(*map(F.lit, words)).alias("terms")) for t, words in by_topic.items()])
+    per_doc = F.transform(of_topics, lambda t: F.struct(t["topic"].alias("topic"), _presence(t["terms"]).alias("mask")))
+    masks = (present.select(F.inline_outer(per_doc)).groupBy("topic", "mask").agg(F.count("*").alias("docs")))
     n = max(len(w) for w in by_topic.values())
     pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
                       for i in range(n) for j in range(i + 1, n)])
@@ -160,14 +165,11 @@ def topic_coherence(tokenised: DataFrame, terms: DataFrame) -> DataFrame:
     return counted.where("n_i > 0 and n_j > 0").groupBy("topic").agg(F.avg(npmi).alias("npmi"))
 
 
-def _presence(words: Sequence[str]):
-    if len(words) > 63:
-        raise ValueError("a bit mask holds at most 63 terms of a topic")
-    mask = F.lit(0).cast("bigint")
-    for i, w in enumerate(words):
-        mask = mask.bitwiseOR(F.when(F.array_contains("tokens", w), F.lit(1 << i).cast("bigint"))
-                              .otherwise(F.lit(0).cast("bigint")))
-    return mask
+def _presence(terms: Column) -> Column:
+    """Bit ``i`` is set where the document has term ``i``."""
+    bits = F.transform(terms, lambda w, i: F.when(F.array_contains("present", w), F.call_function("shiftleft", F.lit(1).cast("bigint"), i))
+                       .otherwise(F.lit(0).cast("bigint")))
+    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda mask, bit: mask.bitwiseOR(bit))
 
 
 def _bit(mask: str, position: str):

@@ -155,6 +155,30 @@ def test_topic_tables_are_saved_without_arrow(spark, tmp_path):
     assert again.terms == ["a", "b"] and again.matrix.tolist() == [[1, 2], [3, 4]] and rows(again.rest) == [("c", [1.5, 2.5])]
 
 
+def test_coherence_tests_words_in_a_loop(spark):
+    rng, words = random.Random(5), [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(90)]
+    docs = [rng.sample(words, rng.randint(0, 40)) * rng.randint(1, 2) for _ in range(60)] + [None, []]
+    chosen = {0: words[:8], 1: words[4:12], 2: words[20:83], 3: ["nowhere", "never"]}
+    tokens = spark.createDataFrame([(t,) for t in docs], "tokens array<string>")
+    terms = spark.createDataFrame([(t, i, w) for t, ws in chosen.items() for i, w in enumerate(ws)], "topic int, rank int, term string")
+    found = TO.topic_coherence(tokens, terms)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_contains") == 1  # one for each word is a method too long for the compiler
+    have, want = [set(t or ()) for t in docs], {}
+    for topic, ws in chosen.items():
+        scores = []
+        for i, a in enumerate(ws):
+            for b in ws[i + 1:]:
+                n_a, n_b, n_ab = (sum(all(w in h for w in x) for h in have) for x in ((a,), (b,), (a, b)))
+                if n_a and n_b:
+                    scores.append(math.log(n_ab * len(docs) / (n_a * n_b)) / -math.log(n_ab / len(docs)) if n_ab else -1)
+        if scores:
+            want[topic] = sum(scores) / len(scores)
+    assert {r["topic"]: r["npmi"] for r in found.collect()} == pytest.approx(want) and set(want) == {0, 1, 2}
+    with pytest.raises(ValueError):
+        TO.topic_coherence(tokens, spark.createDataFrame([(0, i, w) for i, w in enumerate(words[:64])], "topic int, rank int, term string"))
+
+
 def test_key_phrases_count_tokens_where_their_call_is(spark, monkeypatch):
     df = spark.createDataFrame([("a", "pear plum pear"), ("a", "plum pear fig"), ("b", "fig kiwi"), ("c", None), (None, "kiwi kiwi")], "call_id string, transcript string")
     written = []
