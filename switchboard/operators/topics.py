@@ -74,18 +74,21 @@ def most_frequent(vocabulary: DataFrame, n: int) -> DataFrame:
 
 
 def train_topics(tokenised: DataFrame, num_topics: int = 10, passes: int = 20, seed: int = 42,
-                 min_docs: int = 2, max_share: float = 0.7, vocabulary: int | None = None, most_terms: int | None = None) -> PipelineModel | TopicTable | None:
+                 min_docs: int = 2, max_share: float = 0.7, vocabulary: int | None = None, most_terms: int | None = None,
+                 stored: DataFrame | None = None) -> PipelineModel | TopicTable | None:
     """Term counts and an LDA model; None for fewer than three usable documents.
 
     Terms are pruned by document frequency on the cluster.  Spark's LDA keeps a matrix of topics times terms and a list of
     terms on the driver, so it is used for up to ``MOST_TERMS``; with more, the model is a ``TopicTable``, which has
     all of them.  ``most_terms`` asks for an error if more pass.  ``vocabulary`` asks for
-    so many of the most frequent ones only; ``vocabulary_loss`` tells what that leaves out.
+    so many of the most frequent ones only; ``vocabulary_loss`` tells what that leaves out.  ``stored`` are the same rows
+    as a table, if they have been written already.
     """
     usable = usable_documents(tokenised)
-    if usable.select("tokens").limit(MIN_DOCS).count() < MIN_DOCS:
+    if usable_documents(tokenised if stored is None else stored).select("tokens").limit(MIN_DOCS).count() < MIN_DOCS:
         return None
-    written = materialise(usable.select("tokens"), "topic-documents")  # texts are tokenised once for what follows
+    # texts are tokenised once for what follows
+    written = materialise(usable.select("tokens"), "topic-documents") if stored is None else usable_documents(stored).select("tokens")
     passed = materialise(topic_vocabulary(written, min_docs, max_share), "topic-terms")
     if vocabulary is None:
         n = passed.count()

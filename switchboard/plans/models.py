@@ -9,7 +9,7 @@ from switchboard.operators import forecast as FC
 from switchboard.operators import topics as TO
 from switchboard.plans import tables as B
 from switchboard.plans.registry import ORACLES, big, num, query
-from switchboard.session import scratch_path
+from switchboard.session import materialise, scratch_path
 
 
 def _forecasters(spark, d):
@@ -101,7 +101,8 @@ def document_topics(spark, d):
 @query("topic_coherence")
 def topic_coherence(spark, d):
     tokens = _tokenised(spark, d)
-    return TO.topic_coherence(tokens, TO.top_terms(_topic_model(spark, d), 8))
+    stored = materialise(tokens.select("tokens"), "topic-tokens")  # texts are tokenised once, for the model and for the masks
+    return TO.topic_coherence(stored, TO.top_terms(TO.train_topics(tokens, stored=stored), 8))
 
 
 @query("topic_coherence_of_fixed_terms", f"WITH {B.CALLS}, t AS (SELECT call_id, list_distinct(list_filter(string_split_regex(low, '[^\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) > 2 AND NOT regexp_matches(x, '[\\p{{N}}_]'))) AS k FROM calls), "
