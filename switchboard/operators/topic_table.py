@@ -106,7 +106,7 @@ def train(usable: DataFrame, vocabulary: DataFrame, frequent: int, num_topics: i
         if at in sizes:
             now = F.col("batch") == at
             model = _learned(model, counted.where(now), pairs.where(now), held, step, others, sum(sizes.values()) / sizes[at], rate)
-    return TopicTable(terms, model.matrix, held.all(), model.prior, model.rest_totals)
+    return TopicTable(terms, model.matrix, held.all(), model.prior)  # summed anew, as when it is loaded
 
 
 class _Weights:

@@ -149,7 +149,7 @@ def test_a_batch_reads_the_weights_of_its_own_terms(spark, monkeypatch):
     rare = [f"rare{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
     texts = [rng.choices(common, k=8) + rng.sample(rare, 3) for _ in range(80)]
     tokens = TO.tokenise(spark.createDataFrame([(str(i), " ".join(t)) for i, t in enumerate(texts)], "call_id string, transcript string"))
-    read, written = [], []
+    read, written, learned = [], [], []
 
     def with_rare(counted, pairs, rest, f=topic_table._with_rare):
         read.append(tuple({r["term"] for r in x.select("term").collect()} for x in (pairs, rest)))
@@ -157,6 +157,7 @@ def test_a_batch_reads_the_weights_of_its_own_terms(spark, monkeypatch):
 
     monkeypatch.setattr(TO, "MOST_TERMS", 5)
     monkeypatch.setattr(topic_table, "_with_rare", with_rare)
+    monkeypatch.setattr(topic_table, "_learned", lambda *a, f=topic_table._learned: (learned.append(f(*a)), learned[-1])[1])
     stored = TO.materialise(tokens.select("tokens"), "stored")
     monkeypatch.setattr(TO, "materialise", lambda df, label, f=TO.materialise: (written.append(label), f(df, label))[1])
     model = TO.train_topics(tokens, 2, 8, max_share=1.0, stored=stored)
@@ -164,6 +165,7 @@ def test_a_batch_reads_the_weights_of_its_own_terms(spark, monkeypatch):
     assert len(read) == 8 and all(batch == weights for batch, weights in read) and min(len(batch) for batch, _ in read) < len(rest)
     assert set(rest) | set(model.terms) == {t for t in {*common, *rare} if sum(t in x for x in texts) > 1}
     assert list(model.totals) == pytest.approx([model.matrix[:, j].sum() + sum(w[j] for w in rest.values()) for j in range(2)], rel=1e-5)
+    assert list(learned[-1].totals) == pytest.approx(list(model.totals), rel=1e-6)  # carried from batch to batch
     weights = {**rest, **dict(zip(model.terms, model.matrix.tolist(), strict=True))}
     for n in (3, 40):
         want = [(j, i, t) for j in range(2) for i, t in enumerate(sorted(weights, key=lambda t: (-weights[t][j], t))[:n])]  # noqa: B023
